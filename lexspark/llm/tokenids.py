@@ -190,7 +190,8 @@ def write_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
 
     kind, name = to_arrow.to_arrow_type(key.schema["k"].dataType), key.schema["k"].dataType.simpleString()
     schema = f"shard int, chunk bigint, first bigint, n_ids bigint, first_doc_start bigint, doc_ids array<{name}>, lengths array<bigint>, ends array<boolean>, payload binary"
-    rows = docs.select(common.column(docs, id_col).alias("k"), F.coalesce(common.column(docs, text_col).cast("string"), F.lit("")).alias("t")).orderBy("k", "t")
+    rows = docs.select(common.column(docs, id_col).alias("k"), F.coalesce(common.column(docs, text_col).cast("string"), F.lit("")).alias("t"))
+    rows = rows.repartitionByRange("k").sortWithinPartitions("k", "t")  # the sample for the bounds holds ids only
     return common.written(rows.mapInArrow(lambda it: _blocks(it, kind, tokenizer, block, end_id, mode), schema), "token-ids")
 
 
