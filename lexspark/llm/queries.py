@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, licenses, mixing, orderminhash, sharding, simhash, tokenids
+from . import chat, decontam, langid, licenses, mixing, orderminhash, sharding, simhash, suffixdedup, tokenids
 
 
 def queries() -> dict:
-    found = (licenses.op1_license_scan, sharding.op2_virtual_slots, mixing.op3_temperature_mix, chat.op4_chat_format, orderminhash.op5_order_minhash, tokenids.op6_token_ids, simhash.op8_simhash, decontam.op9_decontaminate, langid.op10_ppm_langid)
+    found = (licenses.op1_license_scan, sharding.op2_virtual_slots, mixing.op3_temperature_mix, chat.op4_chat_format, orderminhash.op5_order_minhash, tokenids.op6_token_ids, suffixdedup.op7_suffix_dedup, simhash.op8_simhash, decontam.op9_decontaminate, langid.op10_ppm_langid)
     return {f.__name__: f for f in found}
 
 
