@@ -79,3 +79,14 @@ def text_or_empty(name: str) -> Column:
 def column(df: DataFrame, name: str) -> Column:
     """``name`` of ``df``; quoted, so a name with dots or spaces works too."""
     return df["`" + name.replace("`", "``") + "`"]
+
+
+def semi(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, once: bool = False, anti: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose (id, text hash) is, or with ``anti`` isn't, in ``keys (_kept_id, _kept_hash)``.
+
+    Null ids match each other.  ``once``: rows repeated whole are returned once.
+    """
+    hashed = docs.withColumn("_row_hash", F.xxhash64(column(docs, text_col).cast("string")))
+    on = column(hashed, id_col).eqNullSafe(keys["_kept_id"]) & (hashed["_row_hash"] == keys["_kept_hash"])
+    out = hashed.join(keys, on, "left_anti" if anti else "left_semi")
+    return (out.dropDuplicates([id_col, "_row_hash"]) if once else out).drop("_row_hash")

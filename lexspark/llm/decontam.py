@@ -50,17 +50,7 @@ def prefix_table(docs: DataFrame, items: DataFrame, window: int, max_broadcast:
     return common.written(table, "decontam-prefix"), small
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_hit, n_items, items, spans``.
-
-    ``spans`` are the (start, len) word spans of all window occurrences, sorted; ``n_hit`` counts the
-    words that any of them covers; ``items`` are the ids of items with an occurring window, sorted as
-    strings.
-
-    Nulls: a null text has no words; an item without words has no window; a null item id isn't listed.
-    Ties: among equally rare tokens the smaller one is the prefix, which changes no result.
-    Repeated rows each give a row; empty tables give no rows or no hits.
-    """
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
     text = common.column(docs, text_col).cast("string")
     rows = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("th"), words(text).alias("w"))
     items = benchmark.select(common.column(benchmark, item_col).cast("string").alias("item"), words(common.column(benchmark, item_text_col).cast("string")).alias("w"))
@@ -73,6 +63,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         .filter(F.slice("w", at + 1, F.col("len")) == F.col("win"))
         .select("doc_id", "th", F.struct(at.alias("start"), "len").alias("span"), "items")
     )
+    return rows, hits
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Per document: ``doc_id, n_words, n_hit, n_items, items, spans``.
+
+    ``spans`` are the (start, len) word spans of all window occurrences, sorted; ``n_hit`` counts the
+    words that any of them covers; ``items`` are the ids of items with an occurring window, sorted as
+    strings.
+
+    Nulls: a null text has no words; an item without words has no window; a null item id isn't listed.
+    Ties: among equally rare tokens the smaller one is the prefix, which changes no result.
+    Repeated rows each give a row; empty tables give no rows or no hits.
+    """
+    rows, hits = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, max_broadcast)
     found = hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(
         F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
@@ -89,6 +94,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of any item occurs."""
+    _, hits = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, max_broadcast)
+    keys = common.written(hits.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_hash")).distinct(), "decontam-hit")
+    return common.semi(docs, keys, id_col, text_col, anti=True)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.greatest("n_items", F.lit(0)).alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -173,6 +173,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"doc_id {key}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, max_bits: float = 6.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told.
+
+    Rejected are texts that are null or without letters, that score under ``min_score``, or that the best
+    language needs more than ``max_bits`` bits a byte for (nothing like what was learnt).
+    """
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            raw = [t.encode() if m.languages and t and _LETTER.search(t) else b"" for t in texts]
+            bits = code_lengths(m, raw) if m.languages else np.zeros((len(raw), 1))
+            _, score = posterior(bits)
+            sizes = np.array([len(r) for r in raw])
+            yield batch.filter(pa.array((sizes > 0) & (score >= min_score) & (bits.min(1) <= max_bits * sizes)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 

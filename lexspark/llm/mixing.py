@@ -64,7 +64,7 @@ def _entropy(z: float, y: float, a: float) -> float:
 
 
 def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, n_blocks: int = N_BLOCKS, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per draw: ``doc_id, source, n_tokens, pass_no, start, block, order_key``.
+    """One row per draw: ``doc_id, source, n_tokens, pass_no, start, block, order_key, text_hash``.
 
     ``n_tokens`` counts words (runs that aren't white space); ``budget`` is in tokens, by
     default all of them.  A draw belongs to the result if it *starts* inside its source's
@@ -80,6 +80,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None =
     narrow = common.written(
         docs.select(
             common.column(docs, id_col).alias("doc_id"),
+            F.xxhash64(common.column(docs, text_col).cast("string")).alias("text_hash"),
             common.column(docs, source_col).alias("source"),
             F.coalesce(words, F.lit(0)).cast("long").alias("n_tokens"),
         ),
@@ -113,12 +114,22 @@ def _draws(spark: SparkSession, narrow: DataFrame, budget: int | None, max_repea
     placed = keyed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     started = placed.join(offsets, placed.source.eqNullSafe(offsets.o_source) & (placed.pass_no == offsets.o_pass) & (placed.run == offsets.o_run)).withColumn("start", F.col("pass_no") * F.col("per_pass") + F.col("before") + F.col("inside"))
     block = F.floor(F.col("start") * F.lit(n_blocks) / F.col("quota")).cast("int")
-    return started.filter("start < quota").select("doc_id", "source", "n_tokens", "pass_no", "start", block.alias("block"), "order_key")
+    return started.filter("start < quota").select("doc_id", "source", "n_tokens", "pass_no", "start", block.alias("block"), "order_key", "text_hash")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each of their draws."""
+    draws = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    counts = draws.groupBy("_kept_id", "_kept_hash").agg(F.count("*").cast("int").alias("_times"))
+    hashed = docs.withColumn("_row_hash", F.xxhash64(common.column(docs, text_col).cast("string"))).dropDuplicates([id_col, "_row_hash"])
+    on = common.column(hashed, id_col).eqNullSafe(counts["_kept_id"]) & (hashed["_row_hash"] == counts["_kept_hash"])
+    rows = hashed.join(counts, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*docs.columns)
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's source mixed to at most four repetitions, over a budget of all tokens."""
-    return mix(common.documents(spark, sf_dir))
+    return mix(common.documents(spark, sf_dir)).drop("text_hash")
 
 
 OP3_SQL = r"""

@@ -37,8 +37,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PAIRS = 1 << 21  # candidates that are verified at once
 
 
-def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Lower-cases A-Z; no word at all: 0."""
+def text_fingerprint(text: bytes, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """Lower-cases A-Z; no word at all: 0.  ``distinct`` counts each shingle once."""
     import xxhash
 
     w = _WORD.findall(text.lower())
@@ -46,6 +46,7 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
+    grams = set(grams) if distinct else grams
     h = np.array([digest(g, SEED) for g in grams], np.uint64)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):  # bounded memory for very long texts
@@ -54,17 +55,18 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (a signed long with the 64 bits) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """``doc_id, text_hash, fp`` (a signed long with the 64 bits) of every row."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([text_fingerprint(t.encode() if t else b"", shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([text_fingerprint(t.encode() if t else b"", shingle, distinct) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(common.column(docs, id_col).alias("doc_id"), common.column(docs, text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {key}, fp bigint")
+    text = common.column(docs, text_col).cast("string")
+    rows = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {key}, text_hash bigint, fp bigint")
 
 
 # -- the plan ------------------------------------------------------------------------------
@@ -282,6 +284,14 @@ def links(fps: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     return _links(rest.unionByName(again), radius)
 
 
+def _roots(rows: DataFrame, radius: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """``(fp, least, root)`` of every distinct fingerprint of ``rows``; ``least`` is its first row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    distinct = common.written(rows.groupBy("fp").agg(first.alias("least")), "simhash-distinct")
+    found = components(links(distinct, radius, cap))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
     """``doc_id, fp, component_id`` of every row; the component's id is its smallest document id.
 
@@ -290,14 +300,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     are in one component; each row is returned.  An empty table gives no rows.
     """
     rows = common.written(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
-    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct, radius, cap))
-    roots = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = common.written(roots.join(named, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-member")
+    roots = _roots(rows, radius, cap)
+    named = roots.groupBy("root").agg(F.min("least").alias("first"))
+    member = common.written(roots.join(named, "root").select(F.col("fp").alias("f"), F.col("first.doc_id").alias("component_id")), "simhash-member")
     return rows.join(member, rows.fp == member.f).select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, shingle: int = 1, radius: int = 6, distinct: bool = True, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each component keeps one: that of the smallest id.
+
+    The defaults take the set of single words and six bits: of pairs that share 0.8 of their
+    five-word shingles about 95 in 100 are linked so (three-word shingles: about 65).
+
+    Nulls: rows without an id are kept only if their component has no id; text null counts as empty.  Rows
+    repeated whole are kept once.  An empty table gives no rows.
+    """
+    rows = common.written(fingerprints(docs, shingle, id_col, text_col, distinct), "simhash-fp")
+    kept = common.written(_roots(rows, radius, cap).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash")), "simhash-kept")
+    return common.semi(docs, kept, id_col, text_col, once=True)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
