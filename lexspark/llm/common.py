@@ -81,12 +81,19 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, or the first of ``name_1``, ``name_2``, ... that no column of ``tables`` has in any case."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
 def semi(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, once: bool = False, anti: bool = False) -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is, or with ``anti`` isn't, in ``keys (_kept_id, _kept_hash)``.
 
     Null ids match each other.  ``once``: rows repeated whole are returned once.
     """
-    hashed = docs.withColumn("_row_hash", F.xxhash64(column(docs, text_col).cast("string")))
-    on = column(hashed, id_col).eqNullSafe(keys["_kept_id"]) & (hashed["_row_hash"] == keys["_kept_hash"])
+    name, kid, kh = (unused(n, docs) for n in ("_row_hash", "_kept_id", "_kept_hash"))
+    hashed, keys = docs.withColumn(name, F.xxhash64(column(docs, text_col).cast("string"))), keys.toDF(kid, kh)
+    on = column(hashed, id_col).eqNullSafe(keys[kid]) & (hashed[name] == keys[kh])
     out = hashed.join(keys, on, "left_anti" if anti else "left_semi")
-    return (out.dropDuplicates([id_col, "_row_hash"]) if once else out).drop("_row_hash")
+    return (out.dropDuplicates([id_col, name]) if once else out).drop(name)

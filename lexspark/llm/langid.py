@@ -13,12 +13,12 @@ of their id, ``SAMPLE_CHARS`` characters of each.  Scoring covers whole texts of
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ MIN_CONTEXT = 4
 UNIT = 2048  # parts of a bit in the table of code lengths
 SLICE = 1 << 19
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -140,7 +140,6 @@ def learn(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
     return fit(sample)
 
 
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, bits_per_byte`` of every row.
 

@@ -119,12 +119,13 @@ def _draws(spark: SparkSession, narrow: DataFrame, budget: int | None, max_repea
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, once for each of their draws."""
-    draws = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    counts = draws.groupBy("_kept_id", "_kept_hash").agg(F.count("*").cast("int").alias("_times"))
-    hashed = docs.withColumn("_row_hash", F.xxhash64(common.column(docs, text_col).cast("string"))).dropDuplicates([id_col, "_row_hash"])
-    on = common.column(hashed, id_col).eqNullSafe(counts["_kept_id"]) & (hashed["_row_hash"] == counts["_kept_hash"])
-    rows = hashed.join(counts, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*docs.columns)
+    kid, kh, times, once, name = (common.unused(n, docs) for n in ("_kept_id", "_kept_hash", "_times", "_time", "_row_hash"))
+    draws = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(kid), F.col("text_hash").alias(kh))
+    counts = draws.groupBy(kid, kh).agg(F.count("*").cast("int").alias(times))
+    hashed = docs.withColumn(name, F.xxhash64(common.column(docs, text_col).cast("string"))).dropDuplicates([id_col, name])
+    on = common.column(hashed, id_col).eqNullSafe(counts[kid]) & (hashed[name] == counts[kh])
+    rows = hashed.join(counts, on).withColumn(once, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return rows.drop(kid, kh, times, once, name)
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
