@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
     return simhash.keep_first(docs)
 
 
