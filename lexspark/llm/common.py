@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,13 @@ def dropped(*tables: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of whole texts hold fewer rows: a batch is copied several times on its way.
+
+    It decides memory, not results.  A smaller setting of the session's own stays.
+    """
+    conf = df.sparkSession.conf
+    conf.set(BATCH, str(min(1000, int(conf.get(BATCH, "10000")) or 1000)))
 
 
 def column(df: DataFrame, name: str) -> Column:

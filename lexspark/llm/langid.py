@@ -147,6 +147,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     text if nothing was learnt.  Ties go to the smaller label.  Repeated rows each give a row; a
     null id is passed on.  An empty table gives no rows.
     """
+    common.small_batches(docs)
     key = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -178,6 +179,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, max_b
     Rejected are texts that are null or without letters, that score under ``min_score``, or that the best
     language needs more than ``max_bits`` bits a byte for (nothing like what was learnt).
     """
+    common.small_batches(docs)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

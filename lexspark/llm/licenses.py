@@ -111,6 +111,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     ``dice`` are null, ``unit_no`` is -1, ``n_matches`` 0 and ``licenses`` empty.  Repeated rows each give a
     row; a null id is passed on.  An empty table gives no rows.
     """
+    common.small_batches(docs)
     table = compiled(templates or TEMPLATES, threshold)
     key = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {key}, license string, dice double, unit_no int, n_matches int, licenses string"

@@ -58,6 +58,7 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE, distinct: bool = False
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """``doc_id, text_hash, fp`` (a signed long with the 64 bits) of every row."""
+    common.small_batches(docs)
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

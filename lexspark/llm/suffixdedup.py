@@ -248,6 +248,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged against the rest alike.  An id must not stand for two different texts.  Ids must be integers.
     Texts of under 100 bytes lose nothing.  An empty table gives no rows.
     """
+    common.small_batches(docs)
     key, text = common.column(docs, id_col), common.column(docs, text_col).cast("string")
     hidden = F.lit(-(1 << 62)) + F.xxhash64(text).bitwiseAND(F.lit((1 << 60) - 1))
     name = docs.schema[id_col].dataType.simpleString()

@@ -32,8 +32,8 @@ from . import common
 BLOCK = 65536
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: entries that a worker's caches hold at most, before they start anew
-CACHE = 1_500_000
+#: entries of a worker's newer cache generation; when it is full it replaces the older one
+CACHE = 250_000
 
 MAGIC = b"BPS1"
 
@@ -66,7 +66,7 @@ _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|
 
 
 class Encoder:
-    """Whole-text encoding with caches of words.
+    """Whole-text encoding with a cache of words in two generations.
 
     The tokenizer cuts a text into pretokens and encodes each for itself, and a single space
     between two other characters always starts a pretoken.  So a text whose white space is single
@@ -84,25 +84,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer) if "/" not in tokenizer else tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.letters = byte_letters()
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            as_letters = word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(as_letters)], "<u4").tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        """Ids of one pretoken."""
+        as_letters = word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(as_letters)], "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        found = b"".join(map(self.word, _PRETOKEN.findall(piece)))
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        self.pieces[piece] = found
+        """Ids of a piece that the newer generation doesn't hold; from there on it does."""
+        found = self.old.get(piece)
+        if found is None:
+            words = _PRETOKEN.findall(piece)
+            found = self.word(piece) if len(words) == 1 else b"".join([self.new.get(w) or self.piece(w) for w in words])
+        if len(self.new) >= CACHE:
+            self.old, self.new = self.new, {}
+        self.new[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -112,10 +111,10 @@ class Encoder:
         if not text.isascii() and _UNSURE.search(text) or "  " in text or _SPECIAL_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        out, get = [self.piece(first)], self.pieces.get
+        out = [self.piece(first)]
         for p in rest:
-            found = get(" " + p)
-            out.append(self.piece(" " + p) if found is None else found)
+            p = " " + p
+            out.append(self.new.get(p) or self.piece(p))
         return b"".join(out)
 
 
@@ -188,6 +187,7 @@ def write_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     key = docs.select(common.column(docs, id_col).alias("k"))
     import pyspark.sql.pandas.types as to_arrow
 
+    common.small_batches(docs)
     kind, name = to_arrow.to_arrow_type(key.schema["k"].dataType), key.schema["k"].dataType.simpleString()
     schema = f"shard int, chunk bigint, first bigint, n_ids bigint, first_doc_start bigint, doc_ids array<{name}>, lengths array<bigint>, ends array<boolean>, payload binary"
     rows = docs.select(common.column(docs, id_col).alias("k"), F.coalesce(common.column(docs, text_col).cast("string"), F.lit("")).alias("t"))
