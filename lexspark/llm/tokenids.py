@@ -33,7 +33,7 @@ BLOCK = 65536
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: entries of a worker's newer cache generation; when it is full it replaces the older one
-CACHE = 250_000
+CACHE = 700_000
 
 MAGIC = b"BPS1"
 
@@ -70,8 +70,9 @@ class Encoder:
 
     The tokenizer cuts a text into pretokens and encodes each for itself, and a single space
     between two other characters always starts a pretoken.  So a text whose white space is single
-    is cut at spaces, and what a piece encodes to is kept; new pieces are cut by the tokenizer's own
-    pretokenizer and their pretokens go through its model.  Other texts are encoded as they are.
+    is cut at spaces, and what a piece encodes to is kept.  A piece of letters alone is one pretoken: those
+    of a text that aren't known are encoded in one call.  Other pieces are cut into pretokens first.
+    Texts with other white space are encoded as they are.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
@@ -83,25 +84,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer) if "/" not in tokenizer else tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.new: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}  # by the piece without its space
         self.old: dict[str, bytes] = {}
-        self.letters = byte_letters()
 
-    def word(self, word: str) -> bytes:
-        """Ids of one pretoken."""
-        as_letters = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(as_letters)], "<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece that the newer generation doesn't hold; from there on it does."""
-        found = self.old.get(piece)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Take pieces that the newer generation doesn't hold into it."""
+        new, old = self.new, self.old
+        again = {p for p in pieces if p in old}
+        new.update([(p, old[p]) for p in again])
+        pieces = pieces - again if again else pieces
+        words = {p for p in pieces if p.isalpha()}
+        cut = {p: _PRETOKEN.findall(" " + p) for p in pieces - words}
+        heads = {ws[0][1:] for ws in cut.values() if ws[0][1:].isalpha()}
+        words = [*(words | heads.difference(new))]
+        if words:
+            enc = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+            raw, at = np.array(enc.ids, "<u4").tobytes(), (np.searchsorted(enc.word_ids, np.arange(len(words) + 1)) * 4).tolist()
+            new.update([(w, raw[lo:hi]) for w, lo, hi in zip(words, at, at[1:])])
+        for p, ws in cut.items():
+            head = ws[0][1:]
+            new[p] = (new[head] if head in heads else self.bare(ws[0])) + b"".join(map(self.bare, ws[1:]))
+
+    def bare(self, word: str) -> bytes:
+        """Ids of a pretoken, under a key that no piece has."""
+        key = " " + word
+        found = self.new.get(key) or self.old.get(key)
         if found is None:
-            words = _PRETOKEN.findall(piece)
-            found = self.word(piece) if len(words) == 1 else b"".join([self.new.get(w) or self.piece(w) for w in words])
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        self.new[piece] = found
+            found = self.whole(word)
+        self.new[key] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -109,13 +122,14 @@ class Encoder:
         if not text:
             return b""
         if not text.isascii() and _UNSURE.search(text) or "  " in text or _SPECIAL_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
+        if len(self.new) >= CACHE:
+            self.old, self.new = self.new, {}
         first, *rest = text.split(" ")
-        out = [self.piece(first)]
-        for p in rest:
-            p = " " + p
-            out.append(self.new.get(p) or self.piece(p))
-        return b"".join(out)
+        missing = set(rest).difference(self.new)
+        if missing:
+            self.learn(missing)
+        return b"".join([*map(self.bare, _PRETOKEN.findall(first)), *map(self.new.__getitem__, rest)])
 
 
 #: Where Python's idea of letters, digits or spaces may differ from the tokenizer's: number-like and
@@ -123,13 +137,6 @@ class Encoder:
 _UNSURE = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ɏ‘’“”–—…«»¡¿]")
 
 
-def byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, others for U+0100 onwards."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(keep)]
-    return {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)}
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
