@@ -37,7 +37,7 @@ def project(records: DataFrame, record_col: str = "record") -> DataFrame:
     m = F.col("_m")
     url = first_of(m, ALIASES["source_url"])
     text = lambda name: F.coalesce(first_of(m, ALIASES[name]), F.lit("")).alias(name)
-    nested = lambda k: F.coalesce(F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")), F.lit("[]")).alias(k)
+    nested = lambda k: F.coalesce(F.try_parse_json(F.try_element_at(m, F.lit(k))), F.parse_json(F.lit("[]"))).alias(k)
     code = first_of(m, ALIASES["code"])
     return records.withColumn("_m", record_map(F.col(record_col))).select(
         *[c for c in records.columns], *[text(k) for k in ALIASES if k not in ("source_url", "code")],
