@@ -69,7 +69,7 @@ def _quote_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).decisions.filter("kind is not null").select("doc_id", "line_no", "accepted", "code", F.round(F.col("score") * 100).cast("int").alias("score"), F.array_join("reasons", ",").alias("reasons"))
+    return _synth(spark, d).decisions.filter("kind is not null").select("doc_id", "line_no", "accepted", "code", F.coalesce(F.round(F.col("score") * 100).cast("int"), F.lit(-1)).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
 def _lookahead(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ def _listed(column: Callable[..., Column], rows: list, names: str, schema: str,
 
 def _sequence_value(spark: SparkSession, d: str) -> DataFrame:
     v = Q.sequence_value(F.col("number"), F.col("kind"))
-    return _values(spark, _SEQUENCE, "number string, kind string").withColumn("v", v).select("number", "kind", F.col("v.base").alias("base"), F.col("v.suffix").alias("suffix"))
+    return _values(spark, _SEQUENCE, "number string, kind string").withColumn("v", v).select("number", "kind", *[F.coalesce(f"v.{c}", F.lit(-1)).alias(c) for c in ("base", "suffix")])
 
 
 def _clause_follows(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decisions": _decisions, "lookahead": _lookahead, "diagnostics": _diagnostics, "doc_stats": _doc_stats, "confidence_gate": _confidence_gate, "doc_refs": _doc_refs, "annex_split": _annex_split, "annex_number": _annex_number,
         "article_reversal": _reverse_articles, "unstructured": _unstructured, "flat_recovery": _flat_recovery, "partial_recovery": _partial_recovery, "looks_like_html": _looks_like_html, "flattened": _flattened, "collapse_ws": _collapse_ws,
         "explode_lines": _explode_lines, "normalize_text": _normalize_text, "nfc": _nfc, "content_sha256": lambda s, d: _documents(s, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")),
-        "pdf_cue_repair": _listed(T.repair_cues, _CUES, "raw", "raw string", "repaired"), "roman": _listed(Q.roman, _NUMBERS, "numeral", "numeral string", "n"), "sequence_value": _sequence_value,
+        "pdf_cue_repair": _listed(T.repair_cues, _CUES, "raw", "raw string", "repaired"), "roman": _listed(lambda c: F.coalesce(Q.roman(c), F.lit(0)), _NUMBERS, "numeral", "numeral string", "n"), "sequence_value": _sequence_value,
         "transition": _listed(Q.transition, [m[:3] for m in _MOVES], "previous number kind", "previous string, number string, kind string", "relation"), "clause_follows": _clause_follows, "canonical_number": _line_kinds, "cross_refs": _reference_list,
         "numeric_payload": _listed(lambda n, m, r: M.numeric_payload(F.lit("clause"), n, m, r), [p[:3] for p in _PAYLOADS], "number marker rest", "number string, marker string, rest string", "numeric"),
         "structural_reference": _listed(M.structural_reference, [c[:3] for c in _CITED], "kind marker rest", "kind string, marker string, rest string", "cited"),
@@ -263,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
   CASE what WHEN 'chapter' THEN '' WHEN 'cited' THEN 'của Luật Đất đai' WHEN 'numeric' THEN '5 triệu đồng' WHEN 'quoted' THEN 'Nội dung trích”' WHEN 'dotted' THEN 'Ghi chú riêng' ELSE regexp_replace(text, '^[^.)]*[.)] ', '') END AS rest FROM body WHERE what <> 'title'"""),
         "quote_state": synth.duck("SELECT doc_id, line_no, 'article' AS kind, '9' AS number FROM body WHERE what = 'quoted'"),
         "decisions": synth.duck(f"""SELECT doc_id, line_no, what IN ('chapter', 'article', 'clause', 'point') AS accepted, {_REJECT} AS code,
-  CASE what WHEN 'cited' THEN 5 WHEN 'numeric' THEN 2 WHEN 'dotted' THEN 35 WHEN 'chapter' THEN 98 WHEN 'article' THEN 98 WHEN 'clause' THEN 93 WHEN 'point' THEN 96 END AS score,
+  CASE what WHEN 'cited' THEN 5 WHEN 'numeric' THEN 2 WHEN 'dotted' THEN 35 WHEN 'chapter' THEN 98 WHEN 'article' THEN 98 WHEN 'clause' THEN 93 WHEN 'point' THEN 96 ELSE -1 END AS score,
   CASE what WHEN 'cited' THEN 'reference_lexical_cue' WHEN 'numeric' THEN 'numeric_payload_shape' WHEN 'dotted' THEN 'isolated_bare_letter_dot' WHEN 'clause' THEN 'valid_bare_clause_sequence' WHEN 'point' THEN 'canonical_point_parenthesis' WHEN 'quoted' THEN '' ELSE 'explicit_major_keyword' END AS reasons FROM body WHERE what <> 'title'"""),
         "lookahead": synth.duck("""SELECT doc_id, line_no, first_value(CASE WHEN what <> 'title' THEN (CASE what WHEN 'cited' THEN 'article 5' WHEN 'numeric' THEN 'clause 12' WHEN 'quoted' THEN 'article 9' WHEN 'dotted' THEN 'point k' ELSE what || ' ' || number END) END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_marker FROM body"""),
@@ -288,8 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "nfc": "SELECT doc_id, nfc_normalize('e' || chr(769) || 'a' || chr(803)) || ' ' || doc_id AS text FROM documents",
         "content_sha256": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "pdf_cue_repair": listed(list(zip(_CUES, ["CỦA", "Của", "của", "của", "LUẬT", "Luật", "điều", "Điều", "khoản", "chương", "Chương", "mục", "xc ủa"])), "raw, repaired"),
-        "roman": listed(list(zip(_NUMBERS, [1, 4, 9, 14, 40, 90, 400, 900, 1994, 3999, None, None, None, None, None, None, None])), "numeral, n"),
-        "sequence_value": listed([(*s, *(v or (None, None))) for s, v in zip(_SEQUENCE, _VALUES)], "number, kind, base, suffix"),
+        "roman": listed(list(zip(_NUMBERS, [1, 4, 9, 14, 40, 90, 400, 900, 1994, 3999, 0, 0, 0, 0, 0, 99, 0])), "numeral, n"),
+        "sequence_value": listed([(*s, *(v or (-1, -1))) for s, v in zip(_SEQUENCE, _VALUES)], "number, kind, base, suffix"),
         "transition": listed(_MOVES, "previous, number, kind, relation"), "clause_follows": boolean(_FOLLOWS, "previous, number, follows", "follows"), "canonical_number": listed(_LINE_CASES, "line, kind, number"), "cross_refs": listed(_REFS, "line, n, articles"),
         "numeric_payload": boolean(_PAYLOADS, "number, marker, rest, numeric", '"numeric"').replace("v(number, marker, rest, numeric)", 'v(number, marker, rest, "numeric")'), "structural_reference": boolean(_CITED, "kind, marker, rest, cited", "cited"),
         "fold_ascii": listed(list(zip(_FOLD, ["dieu", "nghi quyet", "dat dai", "uo", "plain", "e"])), "raw, folded"), "slug": listed(list(zip(_FOLD, ["DDieu", "Nghi-quyet", "DDAT-DDAI", "uo", "plain", "E"])), "raw, slug"), "heading_like": boolean(_HEADINGS, "line, heading", "heading"),
