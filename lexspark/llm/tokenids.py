@@ -238,14 +238,14 @@ def _xor(values: Iterator[int]) -> int:
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total, crcs = [], []
-        for pieces in batch.column("pieces").to_pylist():
-            crc = pieces[0]["crc"]
-            for p in pieces[1:]:
-                crc = crc32_combined(crc, p["crc"], 4 * p["n"])
-            total.append(sum(p["n"] for p in pieces))
-            crcs.append(crc)
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_start"), batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(crcs, pa.int64())], names=["shard", "doc_start", "doc_id", "n_tokens", "ids_crc32"])
+        pieces = batch.column("pieces")
+        edge, values = pieces.offsets.to_numpy(), pieces.values
+        n, crc = (values.field(k).to_numpy() for k in (1, 2))
+        sums, whole = np.concatenate([[0], np.cumsum(n)]), crc[edge[:-1]]
+        for i in np.flatnonzero(np.diff(edge) > 1):  # documents in several blocks
+            for j in range(edge[i] + 1, edge[i + 1]):
+                whole[i] = crc32_combined(int(whole[i]), int(crc[j]), 4 * int(n[j]))
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_start"), batch.column("doc_id"), pa.array(sums[edge[1:]] - sums[edge[:-1]], pa.int64()), pa.array(whole, pa.int64())], names=["shard", "doc_start", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def read_index(container: DataFrame) -> DataFrame:
