@@ -33,7 +33,9 @@ from . import common
 
 LENGTH = 100
 Q = 32
-CAP = 100_000
+CAP = 20_000
+#: bytes of contexts that are sorted at once, beyond which a task goes on with the next q-grams
+SORTED_BYTES = 2 << 20
 _SLICE = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
@@ -171,10 +173,34 @@ def _windows(left: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by q-gram in lots of about ``SORTED_BYTES``; a q-gram's rows are in one lot."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(0).to_numpy()
+        if size >= SORTED_BYTES:
+            last = held[-1].column(0)[-1].as_py()
+            cut = int(np.searchsorted(h, last, "right"))
+            held.append(b.slice(0, cut))
+            if cut < len(h):
+                yield held
+                held, size, b = [], 0, b.slice(cut)
+            else:
+                continue
+        held.append(b)
+        size += sum(map(len, b.column(4).to_pylist()))
+    if held:
+        yield held
+
+
 def _sorted_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
+    for lot in _by_gram(batches):
+        yield from _sorted_lot(lot)
+
+
+def _sorted_lot(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k, start, left = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (1, 2, 3))
     parts = [p for b in got for p in b.column(4).to_pylist()]
     sizes = np.array([len(p) for p in parts])
@@ -205,8 +231,8 @@ def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _edge_intervals(contexts: DataFrame, cap: int) -> DataFrame:
     large = common.written(contexts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("h"), "suffix-large")
     if large.isEmpty():
-        return contexts.repartition("h").mapInArrow(_sorted_edges, "k bigint, s bigint, e bigint")
-    rest = contexts.join(large, "h", "left_anti").repartition("h").mapInArrow(_sorted_edges, "k bigint, s bigint, e bigint")
+        return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_edges, "k bigint, s bigint, e bigint")
+    rest = contexts.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_edges, "k bigint, s bigint, e bigint")
     windows = contexts.join(large, "h", "left_semi").mapInArrow(_hashed_windows, "w binary, k bigint, at bigint")
     least = windows.groupBy("w").agg(F.min(F.struct("k", "at")).alias("least"))
     late = windows.join(least, "w").filter(F.struct("k", "at") > F.col("least"))
