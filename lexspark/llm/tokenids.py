@@ -121,12 +121,13 @@ class Encoder:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
-        if not text.isascii() and _UNSURE.search(text) or "  " in text or _SPECIAL_SPACE.search(text):
-            return self.whole(text)
         if len(self.new) >= CACHE:
             self.old, self.new = self.new, {}
         first, *rest = text.split(" ")
         missing = set(rest).difference(self.new)
+        unknown = " ".join([first, *missing])  # what is known has passed
+        if _SPECIAL_SPACE.search(unknown) or not unknown.isascii() and _UNSURE.search(unknown):
+            return self.whole(text)
         if missing:
             self.learn(missing)
         return b"".join([*map(self.bare, _PRETOKEN.findall(first)), *map(self.new.__getitem__, rest)])
