@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "nfc": "SELECT doc_id, nfc_normalize('e' || chr(769) || 'a' || chr(803)) || ' ' || doc_id AS text FROM documents",
         "content_sha256": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "pdf_cue_repair": listed(list(zip(_CUES, ["CỦA", "Của", "của", "của", "LUẬT", "Luật", "điều", "Điều", "khoản", "chương", "Chương", "mục", "xc ủa"])), "raw, repaired"),
-        "roman": listed(list(zip(_NUMBERS, [1, 4, 9, 14, 40, 90, 400, 900, 1994, 3999, 0, 0, 0, 0, 0, 99, 0])), "numeral, n"),
+        "roman": listed(list(zip(_NUMBERS, [1, 4, 9, 14, 40, 90, 400, 900, 1994, 3999, 0, 0, 0, 0, 0, 0, 0])), "numeral, n"),
         "sequence_value": listed([(*s, *(v or (-1, -1))) for s, v in zip(_SEQUENCE, _VALUES)], "number, kind, base, suffix"),
         "transition": listed(_MOVES, "previous, number, kind, relation"), "clause_follows": boolean(_FOLLOWS, "previous, number, follows", "follows"), "canonical_number": listed(_LINE_CASES, "line, kind, number"), "cross_refs": listed(_REFS, "line, n, articles"),
         "numeric_payload": boolean(_PAYLOADS, "number, marker, rest, numeric", '"numeric"').replace("v(number, marker, rest, numeric)", 'v(number, marker, rest, "numeric")'), "structural_reference": boolean(_CITED, "kind, marker, rest, cited", "cited"),
