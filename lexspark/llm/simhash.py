@@ -18,6 +18,7 @@ Only distinct fingerprints are searched; documents meet them again in a join.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ PLAN_SAMPLE = 2000
 CAP = 1 << 15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PAIRS = 1 << 21  # candidates that are verified at once
+BLOCK = 1 << 20  # shingles in a block of a bucket's texts; two blocks meet in a task
 
 
 def text_fingerprint(text: bytes, shingle: int = SHINGLE, distinct: bool = False) -> int:
@@ -333,14 +335,84 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared) - F.lit(1e-9)
 
 
-def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
+def later_copies(sets: list[np.ndarray], sides: list[int], similarity: float) -> list[int]:
+    """Numbers of the sets that are similar to an earlier one, of another side if there are two.
+
+    Similar sets share one of each one's first ``n - ceil(similarity n) + 1`` shingles, rarest first, so only sets that do are compared.
+    """
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ends = np.cumsum([len(x) for x in sets])
+    ranked = [np.sort(x) for x in np.split(rank[at], ends[:-1])]
+    two, index, empty, out = len(set(sides)) > 1, {}, [], []
+    for no, x in enumerate(ranked):
+        n = len(x)
+        prefix = x[: n - max(1, math.ceil(similarity * n - 1e-9)) + 1].tolist()
+        tried, found = set(), any(not two or sides[o] != sides[no] for o in empty) if n == 0 else False
+        for token in prefix if not found else ():
+            for o in index.get(token, ()):
+                if o in tried or two and sides[o] == sides[no]:
+                    continue
+                tried.add(o)
+                size = len(ranked[o])
+                if min(n, size) >= similarity * max(n, size) - 1e-9:
+                    shared = len(np.intersect1d(x, ranked[o], assume_unique=True))
+                    if found := shared >= similarity * (n + size - shared) - 1e-9:
+                        break
+            if found:
+                break
+        if found:
+            out.append(no)
+        if n == 0:
+            empty.append(no)
+        for token in prefix:
+            index.setdefault(token, []).append(no)
+    return out
+
+
+def _rest(left: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``(h, fp)`` of texts that are similar to an earlier one with which they share a MinHash; all such pairs are compared.
+
+    A bucket of more than ``block`` shingles is dealt by pairs of blocks of its texts.
+    """
+    spots = left.select("root", "h", "fp", F.size("set").alias("size"), F.posexplode("mh").alias("k", "m"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("size") / block)).cast("int")
+    shared = spots.groupBy("root", "k", "m").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1").drop("n")
+    side = F.pmod(F.xxhash64("h", "fp"), F.col("blocks")).cast("int")
+    dealt = spots.join(shared, ["root", "k", "m"]).select("h", "fp", "k", "m", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    place = ["root", "k", "m", "lo", "hi"]
+    rows = dealt.select("h", "fp", "k", "m", "side", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi")).join(left.select("root", "h", "fp", "key", "set"), ["h", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled() -> pa.RecordBatch:
+            gone = later_copies([x[1] for x in held], [x[0] for x in held], similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[i][c] for i in gone], pa.int64()) for c in (2, 3)], names=["h", "fp"])
+
+        now, held = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in (*place, "side", "h", "fp")]
+            sets = batch.column("set")
+            for i, row in enumerate(zip(*cols)):
+                if row[:5] != now:
+                    yield settled()
+                    now, held = row[:5], []
+                held.append((row[5], sets[i].values.to_numpy(), *row[6:]))
+        yield settled()
+
+    return rows.repartition(*place).sortWithinPartitions(*place, "key").select(*place, "side", "h", "fp", "set").mapInArrow(run, "h bigint, fp bigint").distinct()
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: texts whose sets of ``words``-word shingles have Jaccard ``similarity``.
 
     SimHash proposes, exact sets decide.  Fingerprints of the set of single words are linked at ``radius``
     bits (of pairs at 0.8 about 94 in 100 are, see the README), components of the links are candidates.
     A component is compared in ``rounds``: in each, texts that share a MinHash of their shingles are measured
-    against the one of the smallest id and go if they are similar.  A similar pair shares one with probability of
-    at least ``similarity`` a round, so six rounds miss one in 15,000; no group's pairs are emitted.
+    against the one of the smallest id and go if they are similar.  Of those left after the rounds, all that share
+    a MinHash of any round are compared with each other, and the later of two similar ones goes.  A similar pair
+    shares one with probability of at least ``similarity`` a round, so six rounds miss one candidate in 15,000; no
+    group's pairs are emitted.
 
     Nulls: rows without an id are kept only if no copy has an id; text null counts as empty.  Equal texts are
     copies.  Rows repeated whole are kept once.  An empty table gives no rows.
@@ -363,8 +435,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
         leads = at.groupBy("root", "m").agg(F.min("key").alias("lead"), F.min_by("set", "key").alias("lead_set"), F.count("*").alias("n")).filter("n > 1").drop("n")
         copies = common.written(at.join(leads, ["root", "m"]).filter((F.col("key") > F.col("lead")) & similar(F.col("set"), F.col("lead_set"), similarity)).select("h", "fp"), "simhash-copies")
         gone.append(copies)
-        if k + 1 < rounds:
-            left = common.written(left.join(copies, ["h", "fp"], "left_anti"), "simhash-sets")
+        left = common.written(left.join(copies, ["h", "fp"], "left_anti"), "simhash-sets")
+    gone.append(common.written(_rest(left, similarity, block), "simhash-copies"))
     removed = functools.reduce(DataFrame.unionByName, gone).select(F.col("h").alias("text_hash"), "fp")
     kept = common.written(texts.join(removed, ["text_hash", "fp"], "left_anti").select("least.doc_id", "text_hash"), "simhash-kept")
     return common.semi(docs, kept, id_col, text_col, once=True)

@@ -157,6 +157,31 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(20)) | set(range(40, 60)) <= kept and not kept & set(range(60, 80)) and len(kept & set(range(20, 40))) <= 2
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 150])
+def test_near_copies_go_though_an_older_text_shares_a_passage(spark, block):
+    rows = []
+    for g in range(20):
+        words, r = [f"w{g}x{i}" for i in range(120)], random.Random(g)
+        texts = [words[:104] + r.sample(words[104:], 16) for _ in range(3)]
+        texts.append(texts[2][:-2] + texts[2][:-3:-1])
+        rows += [(10 * g + i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {d: set(simhash.shingle_set(t.encode(), 5).tolist()) for d, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(10 * g + 2, 10 * g + 3) and not any(alike(10 * g + a, 10 * g + b) for a in range(3) for b in range(a)) for g in range(20))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert kept == {d for d in sets if d % 10 < 3}
+
+
+def test_later_copies_are_those_of_all_pairs():
+    r = random.Random(11)
+    base = [r.sample(range(400), 60) for _ in range(6)]
+    sets = [np.array(sorted(set(r.choice(base)[: r.randint(40, 60)]) | set(r.sample(range(400), r.randint(0, 12)))), np.int64) for _ in range(150)] + [np.zeros(0, np.int64)] * 2
+    for sides in ([0] * 152, [i % 3 // 2 for i in range(152)]):
+        two = len(set(sides)) > 1
+        want = [i for i in range(152) if any((not two or sides[i] != sides[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9 for j in range(i))]
+        assert simhash.later_copies(sets, sides, 0.8) == want and 5 < len(want) < 147
+
+
 def test_languages(spark):
     d = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in common.documents(spark, d).collect()}
