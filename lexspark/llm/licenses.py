@@ -2,7 +2,7 @@
 
 Texts are normalised (lower case, runs of anything but letters and digits to one space).  A
 document is compared whole, by paragraph (blocks between blank lines) and by line, as sets of
-word bigrams.  ``dice = 2 |A & B| / (|A| + |B|)`` is at most ``2 min / (|A| + |B|)``, so a
+word bigrams, and then by any run of words: notices of several paragraphs or lines, and those amid prose.  ``dice = 2 |A & B| / (|A| + |B|)`` is at most ``2 min / (|A| + |B|)``, so a
 template of b bigrams can reach the threshold t only against units of ``b t / (2 - t)`` to
 ``b (2 - t) / t`` bigrams; units and templates outside these bounds are never compared.
 
@@ -12,6 +12,8 @@ constant of the program (a few kilobytes), extended through a parameter.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -48,6 +50,10 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission."],
 }
 
+# complete licences: what the notices above leave out follows them
+TEMPLATES["BSD-3-Clause"].append(TEMPLATES["BSD-3-Clause"][-1] + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.')
+TEMPLATES["ISC"].append(TEMPLATES["ISC"][-1] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.')
+
 _WORD = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\n[ \t]*\n")
 
@@ -77,9 +83,57 @@ def units(text: str) -> list[str]:
     return out + (lines if len(lines) > 1 else [])
 
 
+def windows(grams: list[tuple[str, str]], b: set, high: int, threshold: float) -> Iterator[tuple[float, int, int]]:
+    """(dice, first word, last word) of runs of words that reach the threshold, the best of those that overlap.
+
+    The best run from a word ends where some bigram of the template comes up first, so only those ends are tried.
+    """
+    places: dict[tuple[str, str], list[int]] = {}
+    for p, g in enumerate(grams):
+        if g in b:
+            places.setdefault(g, []).append(p)
+    best, free, need = None, 0, len(b) * threshold / (2 - threshold) - 1e-9
+    for i in sorted(p for ps in places.values() for p in ps):
+        if best and i > best[2]:
+            yield best[0], best[1], best[2] + 1
+            best, free = None, best[2] + 1
+        if i < free:
+            continue
+        ends = sorted(ps[k] for ps in places.values() if (k := bisect.bisect_left(ps, i)) < len(ps))
+        if len(ends) < need:
+            break
+        seen, p = set(), i
+        for n, e in enumerate(ends, 1):
+            while p <= e and len(seen) <= high:
+                seen.update(grams[p : min(p + high, e + 1)])
+                p += high
+            p = e + 1
+            if len(seen) > high:
+                break
+            dice = 2.0 * n / (len(seen) + len(b))
+            if dice >= threshold and (not best or dice > best[0]):
+                best = (dice, i, e)
+    if best:
+        yield best[0], best[1], best[2] + 1
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """First word and the one after the last of each unit."""
+    out, total = [], len(_WORD.findall(text))
+    out.append((0, total))
+    for parts in (_BLANK.split(text), text.split("\n")):
+        if len(parts) > 1:
+            ends = list(itertools.accumulate(len(_WORD.findall(x)) for x in parts))
+            out += zip([0, *ends], ends)
+    return out
+
+
 def matches(text: str, table: list[tuple[str, set, int, int]], threshold: float) -> Iterator[tuple[str, float, int]]:
-    """(licence, dice, unit number) of every pair that reaches the threshold."""
-    least, seen = min((x[2] for x in table), default=0), {}
+    """(licence, dice, unit number) of every pair that reaches the threshold.
+
+    Then those of runs of words that meet no matching unit of the same licence, numbered on after the units.
+    """
+    least, seen, got = min((x[2] for x in table), default=0), {}, []
     for no, unit in enumerate(units(text)):
         if unit in seen:
             found = seen[unit]
@@ -98,7 +152,19 @@ def matches(text: str, table: list[tuple[str, set, int, int]], threshold: float)
             if len(unit) < 4096:
                 seen[unit] = found
         for name, dice in found:
+            got.append((name, no))
             yield name, dice, no
+    words, spans, no = _WORD.findall(text.lower()), None, no + 1
+    grams, runs = list(zip(words, words[1:])), []
+    own = set(grams)
+    for name, b, low, high in table:
+        if len(own & b) >= low:
+            for dice, first, last in windows(grams, b, high, threshold):
+                spans = spans or (_spans(text) if got else [])
+                if not any(n == name and spans[u][0] <= last and first < spans[u][1] for n, u in got):
+                    runs.append((first, last, name, dice))
+    for k, (_, _, name, dice) in enumerate(sorted(runs)):
+        yield name, dice, no + k
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +201,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same in SQL, comparing every unit with every template without size bounds."""
+    """The same in SQL, comparing every unit with every template without size bounds; it has no runs of words that aren't units."""
     rows = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, ts in (templates or TEMPLATES).items() for t in ts)
     words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"

@@ -51,6 +51,18 @@ def test_every_operator_takes_odd_rows_and_none(spark, docs):
     assert chat.format_chats(chats).count() == 2 and chat.format_chats(chats.limit(0)).count() == 0
 
 
+def test_licence_notices_of_several_paragraphs_and_amid_prose():
+    table, (mit, bsd) = licenses.compiled(licenses.TEMPLATES, 0.8), (licenses.TEMPLATES[n][-1] for n in ("MIT", "BSD-3-Clause"))
+    found = lambda text: {m[0] for m in licenses.matches(text, table, 0.8)}
+    for name, text, cuts in (("MIT", mit, ("The above copyright", "THE SOFTWARE IS")), ("BSD-3-Clause", bsd, ("1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE"))):
+        for c in cuts:
+            text = text.replace(c, "\n\n" + c, 1)
+        assert found(f"{prose(1, 900)}\n\n{text}\n\n{prose(2, 900)}") == {name} and found(text) == {name}
+    assert "THE IMPLIED WARRANTIES" in bsd and found(f"{prose(3, 400)} {licenses.TEMPLATES['MPL-2.0'][0]} {prose(4, 400)}") == {"MPL-2.0"}
+    line = "Released under the MIT License."
+    assert [m[2] for m in licenses.matches(f"{prose(5, 90)} {line} {prose(6, 90)}\n{line}", table, 0.8)] == [2, 3] and not found(prose(7, 900))
+
+
 def test_shards(spark):
     rows = queries.queries()["op2_virtual_slots"](spark, SF).collect()
     source = {r.doc_id: (r.text or "").encode() for r in common.documents(spark, SF).collect()}
