@@ -93,17 +93,20 @@ def windows(grams: list[tuple[str, str]], b: set, high: int, threshold: float) -
         if g in b:
             places.setdefault(g, []).append(p)
     best, free, need = None, 0, len(b) * threshold / (2 - threshold) - 1e-9
-    for i in sorted(p for ps in places.values() for p in ps):
+    nexts = {g: iter(ps[1:]) for g, ps in places.items()}
+    ends = sorted(ps[0] for ps in places.values())  # where each bigram comes up first from word i on
+    while len(ends) >= need and ends:
+        i, tried = ends[0], ends.copy()
+        del ends[0]
+        if (later := next(nexts[grams[i]], None)) is not None:
+            bisect.insort(ends, later)
         if best and i > best[2]:
             yield best[0], best[1], best[2] + 1
             best, free = None, best[2] + 1
         if i < free:
             continue
-        ends = sorted(ps[k] for ps in places.values() if (k := bisect.bisect_left(ps, i)) < len(ps))
-        if len(ends) < need:
-            break
         seen, p = set(), i
-        for n, e in enumerate(ends, 1):
+        for n, e in enumerate(tried, 1):
             while p <= e and len(seen) <= high:
                 seen.update(grams[p : min(p + high, e + 1)])
                 p += high
