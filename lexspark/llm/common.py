@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: rows in an Arrow batch that holds whole texts
+ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def small_batches(df: DataFrame) -> None:
     It decides memory, not results.  A smaller setting of the session's own stays.
     """
     conf = df.sparkSession.conf
-    conf.set(BATCH, str(min(1000, int(conf.get(BATCH, "10000")) or 1000)))
+    conf.set(BATCH, str(min(ROWS, int(conf.get(BATCH, "10000")) or ROWS)))
 
 
 def column(df: DataFrame, name: str) -> Column:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,12 @@ from . import common
 BLOCK = 65536
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: entries of a worker's newer cache generation; when it is full it replaces the older one
-CACHE = 700_000
+#: bytes of a worker's newer cache generation; when it is full it replaces the older one
+CACHE_BYTES = 56 << 20
+#: characters of the longest pretoken that is cached
+LONG = 64
+#: bytes of texts that are encoded at once (a longer text alone)
+LOT = 6 << 20
 
 MAGIC = b"BPS1"
 
@@ -61,18 +66,34 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)
 
 
-_SPECIAL_SPACE = re.compile(r"^\s|\s$|\s\s")
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# How the byte-level tokenizer cuts a text into pretokens.
+_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^\s\pL\pN]+|\s"
+# End of the fixed values.
+#: texts that aren't cut: white space in runs or at an end (it decides a pretoken by what follows), control characters
+_RUNS = r"[ \t\n\f\r][ \t\n\f\r]|^[ \t\n\f\r]|[ \t\n\f\r]$|[\x00-\x08\x0B\x0E-\x1F\x7F]"
+#: characters of which all Unicode tables agree whether they are letters, digits or space; texts with others aren't cut
+_UNSURE = r"[^\x00-\x7EÀ-ÖØ-öø-ɏ\x{1E00}-\x{1EFF}‘’“”–—…«»¡¿]"
+_CUT = "\x1f"
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``values``, of the given sizes, that ``codes`` name, one after the other."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+    total = np.cumsum(n)
+    return values[np.arange(total[-1] if len(total) else 0) + np.repeat(starts[codes] - (total - n), n)]
 
 
 class Encoder:
-    """Whole-text encoding with a cache of words in two generations.
+    """Encoding of whole texts, a column at a time, with a cache of pretokens.
+
+    The tokenizer cuts a text into pretokens and encodes each for itself, and a single space between two other
+    characters always starts one.  So texts are cut at spaces, distinct pieces into pretokens, and of these only
+    those not in the cache are encoded, all in one call: joined by line feeds, which are tokens of their own.
+    Ids are then gathered by their numbers.  A text with other white space, or with characters that Unicode tables
+    class in different ways, is encoded as it is.
 
-    The tokenizer cuts a text into pretokens and encodes each for itself, and a single space
-    between two other characters always starts a pretoken.  So a text whose white space is single
-    is cut at spaces, and what a piece encodes to is kept.  A piece of letters alone is one pretoken: those
-    of a text that aren't known are encoded in one call.  Other pieces are cut into pretokens first.
-    Texts with other white space are encoded as they are.
+    The cache holds two generations of about ``CACHE_BYTES`` each (230 bytes are reckoned for an entry, its objects
+    and its place in the table included); pretokens of over ``LONG`` characters aren't kept.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
@@ -83,59 +104,85 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer) if "/" not in tokenizer else tokenizer)
-        self.tokenizer.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}  # by the piece without its space
+        named = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole_only = "|".join([_RUNS, *named])
+        self.tokenizer.model._resize_cache(0)  # pretokens that come again are kept here
+        self.feed = int(self.whole("\n")[0])
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin with a space
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "Ġ"]] = True
+        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def ids(self, names: list[str]) -> list[bytes]:
+        """Ids of pretokens, as bytes."""
+        out = list(map(self.new.get, names))
+        if self.old:
+            again = [i for i, v in enumerate(out) if v is None]
+            found = list(map(self.old.get, map(names.__getitem__, again)))
+            for i, v in zip(again, found):
+                out[i] = v
+            self.keep([names[i] for i, v in zip(again, found) if v is not None], [v for v in found if v is not None])
+        missing = [i for i, v in enumerate(out) if v is None]
+        # those after a space tell their first id by it, others are joined by line feeds
+        after = [i for i in missing if names[i][:1] == " " and len(names[i]) > 1]
+        others = [i for i in missing if names[i][:1] != " " and names[i] and not names[i].isspace()]
+        for of, feed in ((after, False), (others, True)):
+            learnt = [names[i] for i in of]
+            got = self.whole(("\n" if feed else "").join(learnt))
+            edge = np.flatnonzero(got == self.feed) if feed else np.flatnonzero(self.spaced[got])[1:]
+            raw, ends = got.tobytes(), [*(edge * 4).tolist(), 4 * len(got)]
+            begins = [0, *(e + 4 * feed for e in ends[:-1])]
+            values = [raw[a:b] for a, b in zip(begins, ends)] if of else []
+            for i, v in zip(of, values, strict=True):
+                out[i] = v
+            self.keep(learnt, values)
+        for i in missing:  # white space and nothing
+            if out[i] is None:
+                out[i] = self.whole(names[i]).tobytes()
+        return out
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Take pieces that the newer generation doesn't hold into it."""
-        new, old = self.new, self.old
-        again = {p for p in pieces if p in old}
-        new.update([(p, old[p]) for p in again])
-        pieces = pieces - again if again else pieces
-        words = {p for p in pieces if p.isalpha()}
-        cut = {p: _PRETOKEN.findall(" " + p) for p in pieces - words}
-        heads = {ws[0][1:] for ws in cut.values() if ws[0][1:].isalpha()}
-        words = [*(words | heads.difference(new))]
-        if words:
-            enc = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-            raw, at = np.array(enc.ids, "<u4").tobytes(), (np.searchsorted(enc.word_ids, np.arange(len(words) + 1)) * 4).tolist()
-            new.update([(w, raw[lo:hi]) for w, lo, hi in zip(words, at, at[1:])])
-        for p, ws in cut.items():
-            head = ws[0][1:]
-            new[p] = (new[head] if head in heads else self.bare(ws[0])) + b"".join(map(self.bare, ws[1:]))
-
-    def bare(self, word: str) -> bytes:
-        """Ids of a pretoken, under a key that no piece has."""
-        key = " " + word
-        found = self.new.get(key) or self.old.get(key)
-        if found is None:
-            found = self.whole(word)
-        self.new[key] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        first, *rest = text.split(" ")
-        missing = set(rest).difference(self.new)
-        unknown = " ".join([first, *missing])  # what is known has passed
-        if _SPECIAL_SPACE.search(unknown) or not unknown.isascii() and _UNSURE.search(unknown):
-            return self.whole(text)
-        if missing:
-            self.learn(missing)
-        return b"".join([*map(self.bare, _PRETOKEN.findall(first)), *map(self.new.__getitem__, rest)])
-
-
-#: Where Python's idea of letters, digits or spaces may differ from the tokenizer's: number-like and
-#: mark-like characters outside Latin text, surrogates, format characters.
-_UNSURE = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ɏ‘’“”–—…«»¡¿]")
+    def keep(self, names: list[str], values: list[bytes]) -> None:
+        if self.size >= CACHE_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
+        if names and max(map(len, names)) > LONG:
+            names, values = zip(*[(n, v) for n, v in zip(names, values) if len(n) <= LONG] or [((), ())])
+        self.new.update(zip(names, values))
+        self.size += 230 * len(names)
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text; a null is empty."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        edge = pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        heads, which = np.unique(codes[edge], return_inverse=True)  # a text's first piece has no space before it
+        codes[edge] = len(distinct) + which
+        forms = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), distinct, ""), distinct.take(pa.array(heads))])
+        cut = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(forms, _PRETOKEN, rf"\0{_CUT}"), _CUT), _CUT)
+        at = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        named = cut.flatten().dictionary_encode()
+        names, parts = named.dictionary, named.indices.to_numpy()
+        unsure = pc.match_substring_regex(names, _UNSURE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.whole_only).to_numpy(zero_copy_only=False)
+        if unsure.any():
+            odd |= np.logical_or.reduceat(np.logical_or.reduceat(unsure[parts], at)[codes], edge)
+        names = pc.if_else(pa.array(unsure), "", names)  # the texts of those don't use them
+        values = self.ids(pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), _CUT)[0].as_py().split(_CUT))
+        sizes = np.array(list(map(len, values))) // 4
+        in_form = np.add.reduceat(sizes[parts], at)
+        ids = _gathered(_gathered(np.frombuffer(b"".join(values), "<u4"), sizes, parts), in_form, codes)
+        ends = np.cumsum(np.add.reduceat(in_form[codes], edge)).tolist()
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -152,29 +199,54 @@ def _container_schema(key: pa.DataType) -> pa.Schema:
     return pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("first_doc_start", pa.int64()), ("doc_ids", pa.list_(key)), ("lengths", pa.list_(pa.int64())), ("ends", pa.list_(pa.bool_())), ("payload", pa.binary())])
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts, batches put together or cut to about ``LOT`` bytes of text: the more of it, the more it repeats."""
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        return tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        at = before = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(sizes, before + LOT - size, "right"))
+            if to == at and held:
+                yield joined()
+                held, size = [], 0
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(sizes[to - 1]) - before
+            at, before = to, int(sizes[to - 1])
+    if held:
+        yield joined()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], key: pa.DataType, tokenizer: str, block: int, end_id: int, mode: str) -> Iterator[pa.RecordBatch]:
-    schema, enc, end = _container_schema(key), encoder(tokenizer), struct.pack("<I", end_id)
+    schema, enc, end = _container_schema(key), encoder(tokenizer), np.array([end_id], "<u4")
     shard, chunk, first, doc_start = TaskContext.get().partitionId(), 0, 0, 0
     ids, held, docs, lengths, ends = [], 0, [], [], []
 
     def flush() -> pa.RecordBatch:
         nonlocal chunk, first, ids, held, docs, lengths, ends
-        values = np.frombuffer(b"".join(ids), "<u4")
+        values = np.concatenate(ids)
         row = [shard, chunk, first, held, doc_start, docs, lengths, ends, pack(values, mode)]
         out = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
         chunk, first = chunk + 1, first + held
         ids, held, docs, lengths, ends = [], 0, [], [], []
         return out
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data, at, began = enc.encode(text) + end, 0, first + held
-            total = len(data) // 4
+    for keys, texts in _lots(batches):
+        for doc_id, own in zip(keys.to_pylist(), enc.encode(texts)):
+            data, at, began = np.append(own, end), 0, first + held
+            total = len(data)
             while at < total:
                 take = min(block - held, total - at)
                 if not docs:
                     doc_start = began
-                ids.append(data[4 * at : 4 * (at + take)])
+                ids.append(data[at : at + take])
                 docs.append(doc_id)
                 lengths.append(take)
                 ends.append(at + take == total)

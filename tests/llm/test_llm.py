@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -98,16 +99,17 @@ def test_token_ids(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts, start = {r.doc_id: r.text or "" for r in common.documents(spark, SF).collect()}, 0
     for r in sorted(queries.queries()["op6_token_ids"](spark, SF).collect()):
         ids = np.array([*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += r.n_tokens
     e, r = tokenids.Encoder(), random.Random(3)
-    for _ in range(3000):
-        x = "".join(r.choice(["a", "é", "9", "'s", " ", "  ", "\n", "_", ".", "you", "🙂", "²", "<|endoftext|>"]) for _ in range(r.randint(0, 20)))
-        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    parts = ["a", "é", "9", "'s", " ", "  ", "\n", "_", ".", "you", "🙂", "²", "<|endoftext|>", "ệ", "\xa0", "\x1f", "\t", " b", "\r\n"]
+    for lot in range(4):  # the later ones from the cache, and with its generations changing
+        e.size = tokenids.CACHE_BYTES * (lot == 2)
+        xs = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(1000)] + ["x" * 5000, None]
+        assert [v.tolist() for v in e.encode(pa.array(xs))] == [t.encode(x or "", add_special_tokens=False).ids for x in xs]
     for mode in "Bb":
         ids = np.arange(1003, dtype="<u4") * 37
         assert (tokenids.unpack(tokenids.pack(ids, mode)) == ids).all()
