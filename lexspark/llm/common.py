@@ -9,11 +9,14 @@ folder named by ``spark.checkpoint.dir``; a lost executor then costs a re-read.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -84,6 +87,25 @@ def small_batches(df: DataFrame) -> None:
     conf.set(BATCH, str(min(ROWS, int(conf.get(BATCH, "10000")) or ROWS)))
 
 
+def released() -> None:
+    """Give the memory that Arrow and the C library hold without need back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``; a worker that waits for its next task holds no more than that task will need."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(wrapped, schema)
+
+
 def column(df: DataFrame, name: str) -> Column:
     """``name`` of ``df``; quoted, so a name with dots or spaces works too."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -4,11 +4,13 @@ For each language a context tree of orders 0 to 3 is counted on labelled text, w
 probabilities by method C: in a context with n symbols, d of them distinct, a seen symbol has
 ``c / (n + d)`` and the escape to the shorter context ``d / (n + d)``; below order 0 all 256 bytes are
 alike.  The statistics are then frozen, so the code length of a byte depends on the three before
-it alone, and all languages' trees are flattened into one table (context, byte) -> code lengths.
+it alone, and all languages' trees are flattened into one table (context, byte) -> code lengths, as 32-bit floats:
+every context that was seen has a row, nothing is pruned or cut.  A text begins after three line feeds.
 A text's language is the one with the shortest code; the score is its posterior probability.
 
-Learning uses a bounded sample: at most ``SAMPLE_DOCS`` labelled rows a language, chosen by a hash
-of their id, ``SAMPLE_CHARS`` characters of each.  Scoring covers whole texts of all rows.
+Learning uses a bounded sample of rows: about ``SAMPLE_DOCS`` labelled rows a language, chosen by a hash
+of their id, whole texts of each.  Executors count; the driver sees counts of distinct four-byte
+strings.  The table is broadcast, so a model of more than ``MAX_TABLE`` bytes is an error.
 """
 
 from __future__ import annotations
@@ -25,12 +27,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_DOCS = 500
-SAMPLE_CHARS = 20_000
 #: labels that a model takes at most; more is an error, as the table would grow with them
 MAX_LANGUAGES = 256
-#: contexts of order 3 that are kept: those seen at least so often in some language
-MIN_CONTEXT = 4
-UNIT = 2048  # parts of a bit in the table of code lengths
+#: bytes of the table of code lengths, which every worker holds
+MAX_TABLE = 256 << 20
+START = b"\n\n\n"
 SLICE = 1 << 19
 
 _LETTER = regex.compile(r"\p{L}")
@@ -41,7 +42,7 @@ class Model:
     languages: list[str]
     symbol: np.ndarray  # byte -> symbol, 0: not seen in learning
     row: np.ndarray  # code of three symbols -> row of the table
-    cost: np.ndarray  # (row * symbols + symbol, language) -> code length
+    cost: np.ndarray  # (row * symbols + symbol, language) -> code length in bits
 
     @property
     def size(self) -> int:
@@ -56,41 +57,37 @@ def _lengths(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, seen, np.where(n > 0, escape, 0) + shorter)
 
 
-def fit(sample: dict[str, list[str]], min_context: int = MIN_CONTEXT) -> Model:
-    languages = sorted(sample)
-    raw = {lang: [np.frombuffer(("\n\n\n" + t).encode(), np.uint8) for t in sample[lang]] for lang in languages}
-    used = np.unique(np.concatenate([np.zeros(0, np.uint8), np.array([10], np.uint8), *(x for xs in raw.values() for x in xs)]))
+def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct four-byte strings of a text after ``START``, as integers, and their counts."""
+    x = np.frombuffer(START + text, np.uint8).astype(np.int64)
+    return np.unique(((x[:-3] * 256 + x[1:-2]) * 256 + x[2:-1]) * 256 + x[3:], return_counts=True)
+
+
+def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model from each language's four-byte strings and their counts."""
+    languages = sorted(counts)
+    held = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for g, _ in counts.values())]))
+    used = np.unique(np.concatenate([[START[0]], *(held >> shift & 255 for shift in (0, 8, 16, 24))]))
     symbol = np.zeros(256, np.int64)
     symbol[used] = np.arange(1, len(used) + 1)
     a = len(used) + 1
-    codes = {}
-    for lang in languages:
-        grams = [np.zeros(0, np.int64)]
-        for x in raw[lang]:
-            s = symbol[x]
-            grams.append(((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:])
-        codes[lang] = np.unique(np.concatenate(grams), return_counts=True)
-    kept = [np.zeros(0, np.int64)]
-    for grams, n in codes.values():
-        context, at = np.unique(grams // a, return_inverse=True)
-        kept.append(context[np.bincount(at, n, len(context)) >= min_context])
-    kept = np.unique(np.concatenate(kept))
+    recoded = lambda g: ((symbol[g >> 24] * a + symbol[g >> 16 & 255]) * a + symbol[g >> 8 & 255]) * a + symbol[g & 255]
+    kept = np.unique(recoded(held) // a)
+    if (size := 4 * (a * a + len(kept)) * a * len(languages)) > MAX_TABLE:
+        raise ValueError(f"a table of {size} bytes is too large to broadcast: fewer languages or sample rows are needed")
     row = np.tile(np.arange(a * a, dtype=np.int32), a)  # of order 2, by the last two symbols
     row[kept] = a * a + np.arange(len(kept), dtype=np.int32)
-    cost = np.empty(((a * a + len(kept)) * a, len(languages)), np.uint16)
+    cost = np.empty(((a * a + len(kept)) * a, len(languages)), np.float32)
     for j, lang in enumerate(languages):
-        grams, n = codes[lang]
-        order = [np.bincount(grams % a**k, n, a**k).reshape(-1, a) for k in (1, 2, 3)]
+        codes, n = recoded(counts[lang][0]), counts[lang][1]
         bits = np.full((1, a), 8.0)
-        for k, counts in enumerate(order):
-            bits = _lengths(counts, bits if k == 0 else np.tile(bits, (a, 1))[: len(counts)])
-        context = grams // a
-        at = np.searchsorted(kept, context)
-        hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == context) if len(kept) else np.zeros(len(grams), bool)
+        for k in (1, 2, 3):
+            seen = np.bincount(codes % a**k, n, a**k).reshape(-1, a)
+            bits = _lengths(seen, bits if k == 1 else np.tile(bits, (a, 1))[: len(seen)])
         top = np.zeros((len(kept), a))
-        np.add.at(top, (at[hit], grams[hit] % a), n[hit])
+        np.add.at(top, (np.searchsorted(kept, codes // a), codes % a), n)
         top = _lengths(top, bits[kept % (a * a)]) if len(kept) else top
-        cost[:, j] = np.minimum(np.rint(np.concatenate([bits, top]).ravel() * UNIT), 65535)
+        cost[:, j] = np.concatenate([bits, top]).ravel()
     return Model(languages, symbol, row, cost)
 
 
@@ -115,7 +112,7 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
         rows = model.row[(before[2] * a + before[1]) * a + before[0]].astype(np.int64)
         bits = model.cost[rows * a + s[3:]]
         mine = mine[sizes[mine] > 0]
-        out[mine] += np.add.reduceat(bits, np.maximum(starts[mine] - lo, 0), axis=0, dtype=np.int64) / UNIT
+        out[mine] += np.add.reduceat(bits, np.maximum(starts[mine] - lo, 0), axis=0, dtype=np.float64)
     return out
 
 
@@ -124,20 +121,34 @@ def posterior(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            g, n = grams(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["l", "g", "n"])
+
+
 def learn(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample of the rows for which ``trainable`` holds and text and label aren't null."""
-    rows = docs.filter(trainable).select(common.column(docs, id_col).alias("k"), common.column(docs, text_col).alias("t"), common.column(docs, lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
+    """Fit on a bounded sample of the rows for which ``trainable`` holds and text and label aren't null.
+
+    Repeated rows count each time if their id is chosen; null ids are chosen or not together.  Without any such row the model knows no language.
+    """
+    rows = docs.filter(trainable).select(common.column(docs, id_col).alias("k"), common.column(docs, text_col).cast("string").alias("t"), common.column(docs, lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
     counts = dict(map(tuple, rows.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()))
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     share = F.when(F.lit(False), F.lit(0.0))
     for lang, n in counts.items():
-        share = share.when(F.col("l") == lang, F.lit(min(1.0, 0.8 * SAMPLE_DOCS / n if n > SAMPLE_DOCS else 1.0)))
+        share = share.when(F.col("l") == lang, F.lit(min(1.0, SAMPLE_DOCS / n)))
     place = F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample: dict[str, list[str]] = {lang: [] for lang in counts}
-    for lang, text in rows.filter(place < share).select("l", F.substring("t", 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS * max(1, len(counts))).collect():
-        sample[lang].append(text)
-    return fit(sample)
+    common.small_batches(docs)
+    sample = common.mapped(rows.filter(place < share).select("l", "t"), _counted, "l string, g bigint, n bigint")
+    found = sample.groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
+    lang, g, n = found.column("l").to_pylist(), found.column("g").to_numpy(), found.column("n").to_numpy()
+    at: dict[str, list[int]] = {x: [] for x in counts}
+    for i, x in enumerate(lang):
+        at[x].append(i)
+    return fit({x: (g[i], n[i]) for x, i in at.items() if i})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +181,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             )
 
     rows = docs.select(common.column(docs, id_col).alias("doc_id"), common.column(docs, text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {key}, lang_pred string, score double, bits_per_byte double")
+    return common.mapped(rows, run, f"doc_id {key}, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, max_bits: float = 6.0, text_col: str = "text") -> DataFrame:
@@ -180,7 +191,9 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, max_b
     language needs more than ``max_bits`` bits a byte for (nothing like what was learnt).
     """
     common.small_batches(docs)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = docs.columns.index(text_col), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may hold dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -192,7 +205,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, max_b
             sizes = np.array([len(r) for r in raw])
             yield batch.filter(pa.array((sizes > 0) & (score >= min_score) & (bits.min(1) <= max_bits * sizes)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(plain, run, plain.schema).toDF(*names)
 
 
 def held_out(key: Column) -> Column:

@@ -196,7 +196,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "license", "dice", "unit_no", "n_matches", "licenses"])
 
-    return docs.select(common.column(docs, id_col).alias("doc_id"), common.column(docs, text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return common.mapped(docs.select(common.column(docs, id_col).alias("doc_id"), common.column(docs, text_col).cast("string").alias("text")), run, schema)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
     text = common.column(docs, text_col).cast("string")
     rows = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {key}, text_hash bigint, fp bigint")
+    return common.mapped(rows, run, f"doc_id {key}, text_hash bigint, fp bigint")
 
 
 # -- the plan ------------------------------------------------------------------------------
@@ -245,7 +245,7 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
             u, v = stars(np.concatenate([np.zeros(0, np.uint64), *us]), np.concatenate([np.zeros(0, np.uint64), *vs]))
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return rows.repartition("bucket").mapInArrow(run, "u bigint, v bigint")
+    return common.mapped(rows.repartition("bucket"), run, "u bigint, v bigint")
 
 
 def _split(rows: DataFrame, radius: int) -> DataFrame:
@@ -263,7 +263,7 @@ def _split(rows: DataFrame, radius: int) -> DataFrame:
                 new = (old ^ _bucket(v, k)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), b.column(1), pa.array(own)], names=["bucket", "fp", "own"])
 
-    return rows.mapInArrow(run, "bucket bigint, fp bigint, own boolean")
+    return common.mapped(rows, run, "bucket bigint, fp bigint, own boolean")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
@@ -278,7 +278,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
             for bucket, fp, own in probes(b.column(0).to_numpy().view(np.uint64), chosen):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(own)], names=["bucket", "fp", "own"])
 
-    rows = fps.select("fp").mapInArrow(run, "bucket bigint, fp bigint, own boolean")
+    rows = common.mapped(fps.select("fp"), run, "bucket bigint, fp bigint, own boolean")
     large = common.written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("bucket"), "simhash-large")
     if large.isEmpty():
         return _links(rows, radius)
@@ -400,7 +400,7 @@ def _rest(left: DataFrame, similarity: float, block: int) -> DataFrame:
                 held.append((row[5], sets[i].values.to_numpy(), *row[6:]))
         yield settled()
 
-    return rows.repartition(*place).sortWithinPartitions(*place, "key").select(*place, "side", "h", "fp", "set").mapInArrow(run, "h bigint, fp bigint").distinct()
+    return common.mapped(rows.repartition(*place).sortWithinPartitions(*place, "key").select(*place, "side", "h", "fp", "set"), run, "h bigint, fp bigint").distinct()
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, block: int = BLOCK) -> DataFrame:
@@ -428,7 +428,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     body = docs.select(common.column(docs, id_col).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
     sets = near.join(body, body.k.eqNullSafe(F.col("l.doc_id")) & (body.th == near.h)).dropDuplicates(["h", "fp"]).select("root", "h", "fp", F.struct("l.none", "l.doc_id", "h", "fp").alias("key"), "t")
     kind = sets.schema["key"].dataType.simpleString()
-    left = common.written(sets.mapInArrow(lambda it: _shingle_sets(it, words, rounds), f"root bigint, h bigint, fp bigint, key {kind}, set array<bigint>, mh array<bigint>"), "simhash-sets")
+    left = common.written(common.mapped(sets, lambda it: _shingle_sets(it, words, rounds), f"root bigint, h bigint, fp bigint, key {kind}, set array<bigint>, mh array<bigint>"), "simhash-sets")
     gone = []
     for k in range(rounds):
         at = left.withColumn("m", F.get("mh", F.lit(k)))

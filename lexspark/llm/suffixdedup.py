@@ -231,9 +231,9 @@ def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _edge_intervals(contexts: DataFrame, cap: int) -> DataFrame:
     large = common.written(contexts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("h"), "suffix-large")
     if large.isEmpty():
-        return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_edges, "k bigint, s bigint, e bigint")
-    rest = contexts.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_edges, "k bigint, s bigint, e bigint")
-    windows = contexts.join(large, "h", "left_semi").mapInArrow(_hashed_windows, "w binary, k bigint, at bigint")
+        return common.mapped(contexts.repartition("h").sortWithinPartitions("h"), _sorted_edges, "k bigint, s bigint, e bigint")
+    rest = common.mapped(contexts.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h"), _sorted_edges, "k bigint, s bigint, e bigint")
+    windows = common.mapped(contexts.join(large, "h", "left_semi"), _hashed_windows, "w binary, k bigint, at bigint")
     least = windows.groupBy("w").agg(F.min(F.struct("k", "at")).alias("least"))
     late = windows.join(least, "w").filter(F.struct("k", "at") > F.col("least"))
     return rest.unionByName(late.select("k", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e")))
@@ -279,17 +279,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hidden = F.lit(-(1 << 62)) + F.xxhash64(text).bitwiseAND(F.lit((1 << 60) - 1))
     name = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(key.alias("doc_id"), F.coalesce(key.cast("long"), hidden).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    found = rows.select("k", "t").mapInArrow(_anchor_rows, _ANCHOR)
-    marks = common.written(found.repartition("h").mapInArrow(_marks, "h bigint, k bigint, pos bigint, sure boolean"), "suffix-marks")
+    found = common.mapped(rows.select("k", "t"), _anchor_rows, _ANCHOR)
+    marks = common.written(common.mapped(found.repartition("h"), _marks, "h bigint, k bigint, pos bigint, sure boolean"), "suffix-marks")
     edges = marks.filter("not sure").groupBy("k").agg(F.collect_list(F.struct("h", "pos")).alias("edges"))
-    contexts = rows.join(edges, "k").select("k", "t", "edges").mapInArrow(_contexts, "h bigint, k bigint, start bigint, left int, context binary")
+    contexts = common.mapped(rows.join(edges, "k").select("k", "t", "edges"), _contexts, "h bigint, k bigint, start bigint, left int, context binary")
     contexts = common.written(contexts, "suffix-contexts")
     sure = marks.filter("sure").select("k", (F.col("pos") - (LENGTH - Q)).alias("s"), (F.col("pos") + LENGTH).alias("e"))
     spans = common.written(sure.unionByName(_edge_intervals(contexts, cap)).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
     common.dropped(marks, contexts)
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     joined = rows.join(spans.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2"), "left").select("doc_id", "t", F.coalesce("spans", none).alias("spans"))
-    return joined.mapInArrow(_removed, f"doc_id {name}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s:bigint,e:bigint>>")
+    return common.mapped(joined, _removed, f"doc_id {name}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s:bigint,e:bigint>>")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,11 +34,11 @@ BLOCK = 65536
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: bytes of a worker's newer cache generation; when it is full it replaces the older one
-CACHE_BYTES = 56 << 20
+CACHE_BYTES = 40 << 20
 #: characters of the longest pretoken that is cached
 LONG = 64
 #: bytes of texts that are encoded at once (a longer text alone)
-LOT = 6 << 20
+LOT = 4 << 20
 
 MAGIC = b"BPS1"
 
@@ -239,6 +239,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], key: pa.DataType, tokenizer: str,
         return out
 
     for keys, texts in _lots(batches):
+        common.released()
         for doc_id, own in zip(keys.to_pylist(), enc.encode(texts)):
             data, at, began = np.append(own, end), 0, first + held
             total = len(data)
@@ -272,7 +273,7 @@ def write_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     schema = f"shard int, chunk bigint, first bigint, n_ids bigint, first_doc_start bigint, doc_ids array<{name}>, lengths array<bigint>, ends array<boolean>, payload binary"
     rows = docs.select(common.column(docs, id_col).alias("k"), F.coalesce(common.column(docs, text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.repartitionByRange("k").sortWithinPartitions("k", "t")  # the sample for the bounds holds ids only
-    return common.written(rows.mapInArrow(lambda it: _blocks(it, kind, tokenizer, block, end_id, mode), schema), "token-ids")
+    return common.written(common.mapped(rows, lambda it: _blocks(it, kind, tokenizer, block, end_id, mode), schema), "token-ids")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,9 +325,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_index(container: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the container."""
     name = container.schema["doc_ids"].dataType.elementType.simpleString()
-    pieces = container.mapInArrow(_pieces, f"shard int, doc_start bigint, doc_id {name}, at bigint, n bigint, crc bigint")
+    pieces = common.mapped(container, _pieces, f"shard int, doc_start bigint, doc_id {name}, at bigint, n bigint, crc bigint")
     grouped = pieces.groupBy("shard", "doc_start", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"))
-    docs = grouped.mapInArrow(_joined, f"shard int, doc_start bigint, doc_id {name}, n_tokens bigint, ids_crc32 bigint")
+    docs = common.mapped(grouped, _joined, f"shard int, doc_start bigint, doc_id {name}, n_tokens bigint, ids_crc32 bigint")
     # one row per shard (output file) in this window
     totals = container.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
