@@ -75,3 +75,18 @@ def transition(before: Column, now: Column, kind: Column) -> Column:
 
 def starts_sequence(number: Column, kind: Column) -> Column:
     return let(sequence_value(number, kind), lambda v: F.coalesce((v["base"] == 1) & (v["suffix"] == 0), F.lit(False)))
+
+
+def clause_follows(before: Column, now: Column) -> Column:
+    """Whether a list of clauses may go on with ``now``: 1, 2, 2a, 2b, 3; a null before lets it begin with 1."""
+
+    def of(x: Column) -> Column:
+        goes_on = compared(x["before"], x["now"], F.lit(False)).isin("next", "suffix_next")
+        starts = (x["now"]["base"] == 1) & (x["now"]["suffix"] == 0)
+        # a letter that lists don't use still lets the next number follow
+        plain = F.regexp_extract(F.coalesce(before, F.lit("")), r"^(\d{1,3})[a-zđ]?$", 1).try_cast("int")
+        after_unknown = x["before"].isNull() & (x["now"]["base"] == plain + 1) & (x["now"]["suffix"] == 0)
+        ok = F.when(before.isNull(), starts).otherwise(goes_on | F.coalesce(after_unknown, F.lit(False)))
+        return F.coalesce(ok & (x["now"]["base"] <= 300), F.lit(False))
+
+    return let(F.struct(sequence_value(before, F.lit("clause")).alias("before"), sequence_value(now, F.lit("clause")).alias("now")), of)

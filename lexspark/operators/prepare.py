@@ -1,4 +1,4 @@
-"""From raw documents to logical lines: normalising, annex cut, layout decision, recovery."""
+"""From raw documents to bodies: normalising and the annex cut, as column expressions."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import markers as M
 from ..functions import patterns as P
 from ..functions import text as T
-from .recover import recover
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: rows in an Arrow batch that holds whole texts
+ROWS = 500
 
 
 def annex_number(line: Column) -> Column:
@@ -22,66 +25,50 @@ def annex_number(line: Column) -> Column:
     return T.let(M.probe(line), of)
 
 
-def split_annex(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``main``, ``annex`` (raw tail or null), ``annex_line``, ``annex_heading`` and ``annex_number``.
+def split_annex(text: Column) -> Column:
+    """``struct<main, annex, line, heading, number>``; without an annex all but ``main`` are null.
 
     The first line that starts an annex cuts.  A heading without a number takes that of the first
-    numbered one in the next three lines.
+    numbered one in the next three lines.  Only texts with an annex's keyword at a line's start are split into lines.
     """
-    df = df.withColumn("_ls", T.lines(F.col(text)))
-    df = df.withColumn("_nos", F.transform("_ls", annex_number))
-    at = F.array_position(F.transform("_nos", lambda x: x.isNotNull()), F.lit(True)).cast("int")
-    df = df.withColumn("_at", at)
-    near = F.filter(F.slice("_nos", F.col("_at"), F.lit(4)), lambda x: x.isNotNull() & (x != ""))
-    has = F.col("_at") > 0
-    return (
-        df.withColumn("main", F.when(has, T.strip(F.array_join(F.slice("_ls", F.lit(1), F.greatest(F.col("_at") - 1, F.lit(0))), "\n"))).otherwise(F.col(text)))
-        .withColumn("annex", F.when(has, T.strip(F.array_join(F.slice("_ls", F.greatest(F.col("_at"), F.lit(1)), F.size("_ls")), "\n"))))
-        .withColumn("annex_line", F.when(has, F.col("_at")))
-        .withColumn("annex_heading", F.when(has, T.strip(F.get("_ls", F.col("_at") - 1))))
-        .withColumn("annex_number", F.when(has, F.coalesce(F.when(F.get("_nos", F.col("_at") - 1) != "", F.get("_nos", F.col("_at") - 1)), F.get(F.when(has, near), F.lit(0)), F.lit(""))))
-        .drop("_ls", "_nos", "_at")
-    )
-
-
-def _majors(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(P.JAVA + P.INLINE_MAJOR))
-
-
-def _minors(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(P.JAVA + P.INLINE_MINOR))
+    whole = F.struct(text.alias("main"), *[F.lit(None).cast(t).alias(n) for n, t in (("annex", "string"), ("line", "int"), ("heading", "string"), ("number", "string"))])
 
+    def of(x: Column) -> Column:
+        ls, nos = x["lines"], x["nos"]
+        at = F.coalesce(F.array_position(F.transform(nos, lambda n: n.isNotNull()), F.lit(True)), F.lit(0)).cast("int")
 
-def _damaged(line: Column) -> Column:
-    """Whether recovery could cut this line: a condition that is necessary, not sufficient."""
-    majors, direct = _majors(line), M.line_kind(line)
-    heads = (majors > 1) | ((majors > 0) & (direct.isNull() | (_minors(line) > 1)))
-    return heads | line.rlike(P.JAVA + r"(?:[.;:!?]|^)[\s" + r"”’\"')\]}»]*(?<!^)" + P.INLINE_MINOR)
+        def cut(a: Column) -> Column:
+            near = F.get(F.filter(F.slice(nos, a, F.lit(4)), lambda n: n.isNotNull() & (n != "")), F.lit(0))
+            own = F.get(nos, a - 1)
+            joined = lambda part: T.strip(F.array_join(part, "\n"))
+            return F.struct(
+                joined(F.slice(ls, F.lit(1), a - 1)).alias("main"), joined(F.slice(ls, a, F.size(ls))).alias("annex"), a.alias("line"),
+                T.strip(F.get(ls, a - 1)).alias("heading"), F.coalesce(F.when(own != "", own), near, F.lit("")).alias("number"),
+            )
 
+        return F.when(at > 0, T.let(at, cut)).otherwise(whole)
 
-def logical_lines(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``flattened``, ``lines`` (array of text and source), ``made`` and ``cut`` (recovery's counts)."""
-    df = df.withColumn("_full", T.filled(T.lines(F.col(text))))
-    only = F.get("_full", F.lit(0))
-    direct = M.line_kind(only)
-    single = (F.size("_full") == 1) & ((direct.isNull() & (_majors(only) > 0)) | (_majors(only) > 1) | (direct.isNotNull() & (_minors(only) > 1)))
-    df = df.withColumn("flattened", T.is_flattened(F.col(text), F.col("_full")) | F.coalesce(single, F.lit(False)))
-    needs = F.col("flattened") | F.exists("_full", _damaged)
-    df = recover(df.withColumn("_needs", F.coalesce(needs, F.lit(False))), text, "flattened", "_needs")
-    plain = F.transform("_full", lambda x: F.struct(x.alias("text"), F.lit("line").alias("source")))
-    return df.withColumn("lines", F.coalesce("recovered", plain)).drop("_full", "_needs", "recovered")
+    numbered = lambda ls: F.struct(ls.alias("lines"), F.transform(ls, annex_number).alias("nos"))
+    keyword = P.KEYWORDS["annex"]
+    return F.when(text.rlike(rf"(?iuU)(?:^|[\n\x0B\x0C\x1C-\x1E\x85  ])\s*[“\"‘']?\s*{keyword}"), T.let(T.let(T.lines(text), numbered), of)).otherwise(whole)
 
 
-def prepare(docs: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """One row per document: sizes, annex and logical lines.  Null content is the empty text.
+def prepare(docs: DataFrame, content: str = "content") -> DataFrame:
+    """``docs`` with ``content`` replaced by its sizes, its annex and its ``body``.  Null content is the empty text.
 
     Texts are normalised once for their size, once before the annex cut and once before lines are told:
-    a pass isn't idempotent, and results depend on all three.
+    a pass isn't idempotent, and results depend on all three.  No rows meet, so ids may be null or repeated.
     """
-    one = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(content_col).cast("string"), F.lit("")).alias("content"))
-    one = one.select("doc_id", F.sha2("content", 256).alias("content_sha256"), F.length("content").alias("raw_characters"), "content")
-    one = T.composed_frame(one, "content").withColumn("content", T.normalize_composed(F.col("content")))
-    two = T.composed_frame(one.withColumn("normalized_characters", F.length("content")), "content").withColumn("content", T.normalize_composed(F.col("content")))
-    cut = split_annex(two, "content").withColumn("main_characters", F.length("main")).drop("content")
-    body = T.composed_frame(cut, "main").withColumn("body", T.normalize_composed(F.col("main"))).drop("main")
-    return logical_lines(body, "body").drop("body")
+    conf = docs.sparkSession.conf
+    conf.set(BATCH, str(min(ROWS, int(conf.get(BATCH, "10000")) or ROWS)))  # decides memory, not results
+    kept = [f"`{c}`" for c in docs.columns if c != content]
+    rows = docs.select(*kept, F.coalesce(F.col(content).cast("string"), F.lit("")).alias("body"))
+    rows = _normalised(rows.select(*kept, F.sha2("body", 256).alias("source_content_sha256"), F.length("body").alias("raw_character_count"), "body"))
+    rows = _normalised(rows.withColumn("normalized_characters", F.length("body"))).withColumn("annex_cut", split_annex(F.col("body")))
+    known = [*kept, "source_content_sha256", "raw_character_count", "normalized_characters"]
+    names = {"annex": "annex", "line": "annex_line", "heading": "annex_heading", "number": "annex_number"}
+    return _normalised(rows.select(*known, *[F.col(f"annex_cut.{k}").alias(v) for k, v in names.items()], F.length("annex_cut.main").alias("main_characters"), F.col("annex_cut.main").alias("body")))
+
+
+def _normalised(rows: DataFrame) -> DataFrame:
+    return T.composed_frame(rows, "body").withColumn("body", T.normalize_composed(F.col("body")))

@@ -1,52 +1,10 @@
-"""Validation, status and the confidence score."""
+"""The confidence score."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_COLUMNS = ("doc_id", "rank", "line_no", "code", "message", "severity", "evidence_score", "reasons")
-
-
-def _diagnostics(rows: DataFrame, rank: int, at: Column, code: str, message: Column, severity: str) -> DataFrame:
-    return rows.select("doc_id", F.lit(rank).alias("rank"), at.cast("int").alias("at"), F.lit(None).cast("int").alias("line_no"), F.lit(code).alias("code"), message.alias("message"), F.lit(severity).alias("severity"), F.lit(None).cast("double").alias("evidence_score"), F.lit(None).cast("array<string>").alias("reasons"))
-
-
-def duplicate_ids(nodes: DataFrame) -> DataFrame:
-    twice = nodes.groupBy("doc_id", "element_id").agg(F.count("*").alias("n"), F.min("node_seq").alias("at")).filter("n > 1")
-    return _diagnostics(twice, 1, F.col("at"), "duplicate_element_id", F.concat(F.lit("Duplicate element_id: "), "element_id"), "error")
-
-
-def article_reversals(nodes: DataFrame) -> DataFrame:
-    """Articles whose number falls behind the one before by more than one."""
-    digits = nodes.filter("element_type = 'article'").withColumn("n", F.regexp_extract("number", r"\d+", 0).try_cast("long")).filter("n is not null")
-    before = digits.withColumn("last", F.lag("n").over(W.partitionBy("doc_id").orderBy("node_seq"))).filter("n + 1 < last")
-    message = F.format_string("Article numbering in primary body moves backward from %d to %s; source may be reordered, quoted, or OCR-corrupted.", "last", "number")
-    return _diagnostics(before, 2, F.col("node_seq"), "article_number_reversal", message, "warning")
-
-
-def status(prepared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What is said of documents without text or without structure."""
-    heads = nodes.filter("node_seq > 0").select("doc_id").distinct()
-    bare = prepared.join(heads, "doc_id", "left_anti").select("doc_id", "normalized_characters", F.col("annex").isNotNull().alias("tail"))
-    code = F.when(F.col("normalized_characters") == 0, "empty_input").when(F.col("tail"), "annex_tail_extracted").otherwise("no_structural_markers")
-    said = {
-        "empty_input": ("Input contains no parseable text.", "error"),
-        "annex_tail_extracted": ("No primary-body markers were parsed because the document begins with an annex block.", "info"),
-        "no_structural_markers": ("No legal structural markers were recognized; text was preserved as preamble content.", "warning"),
-    }
-    tables = [_diagnostics(bare.filter(code == k), 3, F.lit(0), k, F.lit(m), s) for k, (m, s) in said.items()]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
-
-
-def diagnostics(line_rows: DataFrame, prepared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All diagnostics with ``diag_seq``: by line, then duplicates, reversals and status."""
-    by_line = line_rows.withColumn("rank", F.lit(0)).withColumn("at", F.col("line_no")).select(*_COLUMNS[:2], "at", *_COLUMNS[2:])
-    every = by_line.unionByName(duplicate_ids(nodes)).unionByName(article_reversals(nodes)).unionByName(status(prepared, nodes))
-    order = W.partitionBy("doc_id").orderBy("rank", "at", "message")
-    return every.select("doc_id", F.row_number().over(order).alias("diag_seq"), "code", "message", "severity", "line_no", "evidence_score", "reasons")
-
 
 def confidence(flattened: Column, made: Column, embedded: Column, errors: Column, warnings: Column, infos: Column) -> Column:
     """In thousandths, so that no rounding is involved: every penalty is a whole number of them."""
@@ -55,18 +13,8 @@ def confidence(flattened: Column, made: Column, embedded: Column, errors: Column
     return F.greatest(F.lit(0), 1000 - lost) / F.lit(1000.0)
 
 
-def doc_stats(prepared: DataFrame, nodes: DataFrame, diags: DataFrame, references: DataFrame) -> DataFrame:
-    """One row per document; every document has the full set of keys."""
-    counts = nodes.groupBy("doc_id", "element_type").agg(F.count("*").cast("int").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("element_type", "n")))).alias("element_counts"), F.sum("n").cast("int").alias("node_count"))
-    severity = lambda s: F.sum((F.col("severity") == s).cast("int")).alias(s)
-    said = diags.groupBy("doc_id").agg(severity("error"), severity("warning"), severity("info"), F.sum((F.col("code") == "embedded_quoted_marker").cast("int")).alias("embedded"), F.max((F.col("code") == "empty_input").cast("int")).alias("empty"))
-    refs = references.groupBy("doc_id").agg(F.count("*").cast("int").alias("refs"))
-    joined = prepared.join(counts, "doc_id", "left").join(said, "doc_id", "left").join(refs, "doc_id", "left")
-    n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-    score = F.when(n("empty") == 1, F.lit(0.0)).otherwise(confidence(F.col("flattened"), F.col("made"), n("embedded"), n("error"), n("warning"), n("info")))
-    return joined.select(
-        "doc_id", F.col("content_sha256").alias("source_content_sha256"), score.alias("confidence"), F.col("raw_characters").alias("raw_character_count"), F.col("normalized_characters").alias("normalized_character_count"),
-        F.col("main_characters").alias("main_body_character_count"), n(F.length("annex")).alias("annex_character_count"), F.col("annex").isNotNull().cast("int").alias("annex_block_count"),
-        F.size("lines").alias("logical_line_count"), F.col("flattened").alias("flattened_input"), F.col("made").alias("reconstructed_boundary_count"), F.col("cut").alias("reconstructed_physical_line_count"),
-        n("node_count").alias("node_count"), F.coalesce("element_counts", F.create_map().cast("map<string,int>")).alias("element_counts"), n("embedded").alias("embedded_marker_count"), n("refs").alias("cross_reference_count"),
-    )
+def scored(diagnostics: Column, flattened: Column, made: Column) -> Column:
+    """Of a document's array of diagnostics; an empty input scores nothing."""
+    many = lambda field, v: F.size(F.filter(diagnostics, lambda d: d[field] == v))
+    score = confidence(flattened, made, many("code", "embedded_quoted_marker"), *(many("severity", s) for s in ("error", "warning", "info")))
+    return F.when(many("code", "empty_input") > 0, F.lit(0.0)).otherwise(score)

@@ -1,220 +1,321 @@
-"""Segments, decisions, nodes and diagnostics as windows over logical lines.
+"""The pass over each document's lines: markers, quotes, decisions, the tree, its content and what is said of it.
 
-One shuffle brings a document's lines together; parents, scopes, quotes, numbering and content are
-windows over them.  The one true recurrence (a bare enumerator is accepted if it follows the last
-*accepted* one) runs as a pass over sorted lines with constant state.
+A document is one row, so nothing is shuffled: an Arrow function reads bodies and returns, per document, arrays of
+lines, nodes and diagnostics.  All state is local to a row.  What is needed of the lines before is carried along (open
+quotes, the scope, the last accepted numbers, the active branch), what is needed of those after is one backward scan.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import markers as M
 from ..functions import patterns as P
-from ..functions import text as T
-from ..functions.sequence import compared, sequence_value
-
-def _asc() -> WindowSpec:
-    return W.partitionBy("doc_id").orderBy("line_no")
-
-
-def _before() -> WindowSpec:
-    return _asc().rowsBetween(W.unboundedPreceding, -1)
-
-
-def _so_far() -> WindowSpec:
-    return _asc().rowsBetween(W.unboundedPreceding, 0)
-
-
-def _after() -> WindowSpec:
-    return W.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
-
-
-def segments(prepared: DataFrame) -> DataFrame:
-    """Logical lines with their marker columns and ``inside_quote``."""
-    lines = prepared.select("doc_id", F.posexplode("lines").alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line.text", "line.source")
-    lines = lines.withColumn("kind", M.line_kind(F.col("text")))
-    lines = lines.withColumn("g", F.when(F.col("kind").isNotNull(), M.marker_groups(F.col("kind"), F.col("text"))))
-    lines = lines.select("*", F.when(F.col("g").isNotNull(), M.canonical_number(F.col("kind"), F.col("g.number"))).alias("number"), F.col("g.number").alias("raw_number"), "g.marker", "g.rest", M.own_quote(F.col("text")).alias("own_quote")).drop("g")
-    lines = lines.withColumns({f"q_{k}": v for k, v in M.quote_marks(F.col("text")).items()})
-
-    def depth(q: str) -> Column:
-        return F.coalesce(F.sum(f"{q}.s").over(_before()), F.lit(0))
-
-    lines = lines.withColumns({f"d_{q}": depth(f"q_{q}") for q in ("curly", "single_curly")})
-    low = {q: F.coalesce(F.min(F.col(f"d_{q}") + F.col(f"q_{q}.low")).over(_before()), F.lit(0)) for q in ("curly", "single_curly")}
-    open_ = [F.col(f"d_{q}") > F.least(F.lit(0), low[q]) for q in low]
-    odd = [F.coalesce(F.sum(f"q_{q}").over(_before()), F.lit(0)) % 2 == 1 for q in ("double", "single")]
-    carried = open_[0] | open_[1] | odd[0] | odd[1]
-    lines = lines.withColumn("inside_quote", F.col("kind").isNotNull() & (F.col("own_quote") | carried))
-    return lines.drop("own_quote", *[f"q_{q}" for q in ("curly", "single_curly", "double", "single")], "d_curly", "d_single_curly")
-
-
-# Decision codes, scores and reasons.
-_RULES = {
-    "structural_reference_kept_as_text": (0.05, "reference_lexical_cue"), "clause_without_article": (0.05, "no_article_scope"),
-    "implausible_clause_number": (0.05, "clause_number_gt_300"), "numeric_data_not_clause": (0.02, "numeric_payload_shape"),
-    "noninitial_bare_clause": (0.20, "bare_clause_does_not_start_at_1"), "point_without_article": (0.05, "no_article_scope"),
-    "ambiguous_dotted_point": (0.35, "isolated_bare_letter_dot"), "ambiguous_point_marker": (0.30, "weak_point_delimiter"),
-    "explicit_clause_keyword": (0.98, "explicit_clause_keyword"), "valid_bare_clause_sequence": (0.93, "valid_bare_clause_sequence"),
-    "explicit_point_keyword": (0.99, "explicit_point_keyword"), "canonical_point_parenthesis": (0.96, "canonical_point_parenthesis"),
-    "explicit_major_keyword": (0.98, "explicit_major_keyword"), "invalid_clause_number": (0.0, None),
-}
-_ACCEPTED = {"explicit_clause_keyword", "explicit_point_keyword", "canonical_point_parenthesis", "explicit_major_keyword"}
+from . import lines as L
+from .recover import Quotes, logical_lines
+
+# Decision codes, scores and reasons; texts of diagnostics.
+ACCEPTED = {
+    "clause": {True: (0.98, "explicit_clause_keyword"), False: (0.93, "valid_bare_clause_sequence")},
+    "point": {True: (0.99, "explicit_point_keyword"), False: (0.96, "canonical_point_parenthesis")},
+    "major": (0.98, "explicit_major_keyword"),
+    "dotted": (0.88, "ambiguous_dot_resolved_by_sequence"),
+}
+REJECTED = {
+    "structural_reference_kept_as_text": (0.05, "reference_lexical_cue"),
+    "clause_without_article": (0.05, "no_article_scope"),
+    "invalid_clause_number": (0.0, None),
+    "implausible_clause_number": (0.05, "clause_number_gt_300"),
+    "numeric_data_not_clause": (0.02, "numeric_payload_shape"),
+    "noninitial_bare_clause": (0.20, "bare_clause_does_not_start_at_1"),
+    "nonsequential_bare_clause": (0.20, "clause_sequence:{}"),
+    "point_without_article": (0.05, "no_article_scope"),
+    "ambiguous_dotted_point": (0.35, "isolated_bare_letter_dot"),
+    "ambiguous_point_marker": (0.30, "weak_point_delimiter"),
+}
+MESSAGES = {
+    "embedded_quoted_marker": "Kept quoted {} marker as content: {}",
+    "annex_reference_kept_as_text": "Kept in-body annex reference as content: {}",
+    "rejected": "Rejected ambiguous marker and kept it as text: {}",
+    "major": "{} numbering in scope {} moves from {} to {} ({}).",
+    "point": "Point numbering moves from {} to {} ({}).",
+    "duplicate_element_id": "Duplicate element_id: {}",
+    "article_number_reversal": "Article numbering in primary body moves backward from {} to {}; source may be reordered, quoted, or OCR-corrupted.",
+    "empty_input": "Input contains no parseable text.",
+    "annex_tail_extracted": "No primary-body markers were parsed because the document begins with an annex block.",
+    "no_structural_markers": "No legal structural markers were recognized; text was preserved as preamble content.",
+}
+TITLES = {"clause": "Khoản {}", "point": "Điểm {}", "preamble": "Preamble"}
 # End of the fixed values.
 
-
-def _relation(before: tuple, now: tuple) -> str:
-    """As ``sequence.compared``, for the pass: values are (base, suffix), base None if not known."""
-    if now[0] is None or before[0] is None:
-        return "unknown"
-    if now[0] == before[0]:
-        return "same" if now[1] == before[1] else "suffix_next" if now[1] == before[1] + 1 and now[1] > 0 else "backward" if now[1] < before[1] else "jump"
-    return "next" if now == (before[0] + 1, 0) else "backward" if now[0] < before[0] else "jump"
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    doc, clause, point = object(), None, None
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("doc_id", "kind", "verdict", "base", "suffix", "next_point")]
-        accepted, codes, scores, reasons = [], [], [], []
-        for d, kind, verdict, base, suffix, next_point in zip(*cols):
-            if d != doc:
-                doc, clause, point = d, None, None
-            value, ok, why = (base, suffix), verdict in _ACCEPTED, []
-            if verdict in _RULES:
-                score, reason = _RULES[verdict]
-                why = [reason] if reason else []
-            elif verdict == "bare_clause":
-                relation = "first" if clause is None else _relation(clause, value)
-                ok = value == (1, 0) if clause is None else relation in ("next", "suffix_next")
-                verdict = "valid_bare_clause_sequence" if ok else "noninitial_bare_clause" if clause is None else "nonsequential_bare_clause"
-                score, why = _RULES.get(verdict, (0.20, f"clause_sequence:{relation}"))
-                why = [why]
-            elif verdict == "dotted_point":
-                relation = None if point is None else _relation(point, value)
-                why = [f"continues_point_sequence:{relation}"] if relation in ("next", "suffix_next") else [f"starts_point_sequence:{next_point}"] if next_point in ("next", "suffix_next") else []
-                ok = bool(why)
-                score, verdict, why = (0.88, None, [*why, "ambiguous_dot_resolved_by_sequence"]) if ok else (_RULES["ambiguous_dotted_point"][0], "ambiguous_dotted_point", [_RULES["ambiguous_dotted_point"][1]])
+_LEVEL = {kind: i for i, kind in enumerate(P.LEVELS)}
+_ARTICLE, _CLAUSE, _POINT = 5, 6, 7
+_QUOTE = re.compile("[“”‘’\"']")
+_BARS, _NUMBER, _MONEY = re.compile(P.BARS), re.compile(P.NUMERIC_START), re.compile(P.MONEY, re.I)
+_GOES_ON, _CUE = re.compile(P.CITATION_GOES_ON, re.I), re.compile(P.REFERENCE_REST, re.I)
+_OVER = ("same", "jump", "backward")
+
+
+def collapsed(text: str) -> str:
+    return " ".join(text.split())
+
+
+def heading_like(line: str) -> bool:
+    v = line.strip().strip("_-")
+    letters = sum(map(str.isalpha, v))
+    if not letters or len(v) > 180:
+        return False
+    return 5 * sum(map(str.isupper, v)) >= 4 * letters or len(v.split()) <= 12 and not re.search(r"[.!?;:]\n?\Z", v)
+
+
+def cited(m: L.Marker) -> bool:
+    """A heading's keyword at the start of a line that goes on as a citation."""
+    if m.kind in ("clause", "point", "annex") or not m.rest:
+        return False
+    return bool(_GOES_ON.match(m.rest)) or m.marker[-1:] not in (".", ":") and bool(_CUE.match(m.rest))
+
+
+def _explicit(m: L.Marker) -> bool:
+    """Whether a clause or point is named by its keyword."""
+    return m.marker[0].isalpha() and m.marker[1:2].isalpha()
+
+
+def _payload(m: L.Marker) -> bool:
+    """A bare clause number that begins a date, an amount or a table row."""
+    leading_zero = len(m.number) > 1 and m.number[0] == "0"
+    return leading_zero or bool(m.rest and (_BARS.match(m.rest) or _NUMBER.match(m.rest) or _MONEY.match(m.rest)))
+
+
+class Numbers:
+    """Scope and last accepted numbers, and the decisions that depend on them."""
+
+    def __init__(self) -> None:
+        self.in_article = False
+        # a number that was accepted is held in a tuple of its own, as legal numbering may not know its value
+        self.clause: tuple[L.Value] | None = None
+        self.point: tuple[L.Value] | None = None
+
+    def judge(self, m: L.Marker, following: L.Marker | None) -> tuple[bool, str | None, float, list[str]]:
+        """(accepted, code of a rejection, score, reasons)"""
+        if cited(m):
+            return self._no("structural_reference_kept_as_text")
+        if m.kind == "clause":
+            return self._clause(m)
+        if m.kind == "point":
+            return self._point(m, following)
+        return True, None, ACCEPTED["major"][0], [ACCEPTED["major"][1]]
+
+    def _no(self, code: str, *of: str) -> tuple[bool, str | None, float, list[str]]:
+        score, reason = REJECTED[code]
+        return False, code, score, [reason.format(*of)] if reason else []
+
+    def _yes(self, score: float, *reasons: str) -> tuple[bool, str | None, float, list[str]]:
+        return True, None, score, [*reasons]
+
+    def _clause(self, m: L.Marker) -> tuple[bool, str | None, float, list[str]]:
+        explicit, now = _explicit(m), L.value(m.number, "clause")
+        base = re.match(r"\d+", m.number)
+        if not self.in_article:
+            return self._no("clause_without_article")
+        if base is None:
+            return self._no("invalid_clause_number")
+        if int(base[0]) > 300:
+            return self._no("implausible_clause_number")
+        if not explicit:
+            if _payload(m):
+                return self._no("numeric_data_not_clause")
+            if self.clause is None and now != (1, 0):
+                return self._no("noninitial_bare_clause")
+            moved = "first" if self.clause is None else L.transition(self.clause[0], now)
+            if moved not in ("first", "next", "suffix_next"):
+                return self._no("nonsequential_bare_clause", moved)
+        return self._yes(*ACCEPTED["clause"][explicit])
+
+    def _point(self, m: L.Marker, following: L.Marker | None) -> tuple[bool, str | None, float, list[str]]:
+        if not self.in_article:
+            return self._no("point_without_article")
+        if _explicit(m) or m.marker[-1] == ")":
+            return self._yes(*ACCEPTED["point"][_explicit(m)])
+        if m.marker[-1] != ".":
+            return self._no("ambiguous_point_marker")
+        now = L.value(m.number, "point")
+        after = L.transition(now, L.value(following.number, "point")) if following and following.kind == "point" else ""
+        before = L.transition(self.point[0], now) if self.point else ""
+        for word, moved in (("continues", before), ("starts", after)):
+            if moved in ("next", "suffix_next"):
+                return self._yes(ACCEPTED["dotted"][0], f"{word}_point_sequence:{moved}", ACCEPTED["dotted"][1])
+        return self._no("ambiguous_dotted_point")
+
+    def enter(self, m: L.Marker) -> None:
+        """Take in an accepted node."""
+        if m.kind == "point":
+            self.point = (L.value(m.number, "point"),)
+        else:
+            self.point = None
+            self.clause = (L.value(m.number, "clause"),) if m.kind == "clause" else None
+            self.in_article = m.kind == "article" or self.in_article and m.kind == "clause"
+
+
+class Branch:
+    """The active path of the tree: by level the node that is open, ids given below it and the last numbers there."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, int, str]] = []  # (level, node, id)
+        self.given: dict[tuple[int, str], int] = {}
+        self.last: dict[tuple[int, str], str] = {}
+
+    def add(self, seq: int, m: L.Marker) -> tuple[int, int, str | None, str, int, str | None]:
+        """(level, parent's number, its id, id, depth, the number before of the same kind in the same place)"""
+        level = _LEVEL[m.kind]
+        while self.open and self.open[-1][0] >= level:
+            self.open.pop()
+        _, parent, parent_id = self.open[-1] if self.open else (-1, 0, None)
+        base = f"{m.kind}-{L.slug(m.number or 'x')}"
+        n = self.given[parent, base] = self.given.get((parent, base), 0) + 1
+        own = base if n == 1 else f"{base}-{n}"
+        path, depth = f"{parent_id}/{own}" if parent_id else own, len(self.open)
+        before = None
+        if level != _CLAUSE:
+            # points count within the last node above them, whatever its kind
+            before = self.last.get((parent, m.kind))
+            self.last[parent, m.kind] = m.number
+        self.open.append((level, seq, path))
+        return level, parent, parent_id, path, depth, before
+
+
+LINE = "line_no int, text string, source string, kind string, number string, raw_number string, marker string, rest string, inside_quote boolean, accepted boolean, code string, score double, reasons array<string>, next_marker string"
+NODE = (
+    "node_seq int, parent_seq int, element_id string, parent_id string, element_type string, level int, depth int, number string, title string, raw_text string, normalized_text string, "
+    "marker string, raw_number string, line_no int, source string, embedded boolean, context_score double, context_reasons array<string>"
+)
+DIAGNOSTIC = "diag_seq int, code string, message string, severity string, line_no int, evidence_score double, reasons array<string>"
+
+
+def read_lines(body: str) -> tuple[list[tuple[str, str, L.Marker | None, bool]], bool, int, int]:
+    """(text, source, marker, inside quotes) of every logical line; flat layout, boundaries made, lines cut."""
+    parts, flat, made, cut = logical_lines(body)
+    quotes, out = Quotes(), []
+    for text, source in parts:
+        m = L.read_marker(text)
+        out.append((text, source, m, m is not None and (m.quoted or bool(quotes))))
+        for q in _QUOTE.finditer(text):
+            quotes.read(text, q.start())
+    return out, flat, made, cut
+
+
+def parse_body(body: str, empty: bool, has_annex: bool) -> dict[str, Any]:
+    """Rows of ``LINE``, ``NODE`` and ``DIAGNOSTIC``, and what layout recovery counted."""
+    rows, flat, made, cut = read_lines(body)
+    following, ahead = None, [None] * len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        ahead[i] = following
+        following = rows[i][2] or following
+    numbers, branch = Numbers(), Branch()
+    lines: list[tuple] = []
+    nodes: list[list] = [[0, 0, "preamble", None, "preamble", None, 0, "", TITLES["preamble"], [], None, None, None, None, None, False, None, None]]
+    said: list[tuple] = []
+    untitled = False
+    for seq, (text, source, m, quoted) in enumerate(rows, 1):
+        accepted, code, score, reasons = (False, None, None, []) if m is None or quoted else numbers.judge(m, ahead[seq - 1])
+        n = ahead[seq - 1]
+        lines.append((seq, text, source, m and m.kind, m and m.number, m and m.raw_number, m and m.marker, m and m.rest, quoted, accepted, code, score, reasons, n and f"{n.kind} {n.number}"))
+        if m is None:
+            if untitled and heading_like(text):
+                nodes[-1][8] = text.strip()
             else:
-                score = None
-            if ok and kind in P.LEVELS:
-                clause = value if kind == "clause" else clause if kind == "point" else None
-                point = value if kind == "point" else None
-            accepted.append(ok)
-            codes.append(None if ok else verdict)
-            scores.append(score)
-            reasons.append(why)
-        out = [c for c in batch.schema.names if c not in ("verdict", "base", "suffix", "next_point")]
-        new = [pa.array(accepted, pa.bool_()), pa.array(codes, pa.string()), pa.array(scores, pa.float64()), pa.array(reasons, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *new], names=[*out, "accepted", "code", "score", "reasons"])
-
-
-def decisions(rows: DataFrame) -> DataFrame:
-    """Adds ``accepted, code, score, reasons`` to segments.  Text and quoted markers have neither score nor code."""
-    kind, number, marker, rest = (F.col(c) for c in ("kind", "number", "marker", "rest"))
-    value = sequence_value(number, kind)
-    rows = rows.withColumn("value", F.when(kind.isin("clause", "point"), value)).withColumn("live", F.when(~F.col("inside_quote"), kind))
-    rows = rows.withColumn("cited", F.coalesce(M.structural_reference(kind, marker, rest), F.lit(False)))
-    rows = rows.withColumn("following", F.last(F.when(kind.isNotNull(), F.struct("kind", "value")), ignorenulls=True).over(_after()))
-    scope = F.last(F.when(F.col("live").isin(*M.MAJOR) & ~F.col("cited"), F.col("live")), ignorenulls=True).over(_before())
-    rows = rows.withColumn("in_article", F.coalesce(scope == "article", F.lit(False)))
-    explicit, mark = M.explicit_keyword(kind, marker), M.delimiter(marker)
-    base = F.regexp_extract(number, r"^(\d+)", 1).try_cast("int")
-    clause = (
-        F.when(~F.col("in_article"), "clause_without_article").when(base.isNull(), "invalid_clause_number").when(base > 300, "implausible_clause_number")
-        .when(M.numeric_payload(kind, number, marker, rest), "numeric_data_not_clause").when(explicit, "explicit_clause_keyword").otherwise("bare_clause")
-    )
-    point = F.when(~F.col("in_article"), "point_without_article").when(explicit, "explicit_point_keyword").when(mark == ")", "canonical_point_parenthesis").when(mark == ".", "dotted_point").otherwise("ambiguous_point_marker")
-    verdict = F.when(F.col("live").isNull(), F.lit(None)).when(F.col("cited"), "structural_reference_kept_as_text").when(kind == "clause", clause).when(kind == "point", point).otherwise("explicit_major_keyword")
-    after = F.when(F.col("following.kind") == "point", compared(F.col("value"), F.col("following.value"), F.lit(False)))
-    slim = rows.select("doc_id", "line_no", "text", "source", "kind", "number", "raw_number", "marker", "rest", "inside_quote", verdict.alias("verdict"), F.col("value.base").alias("base"), F.col("value.suffix").alias("suffix"), after.alias("next_point"))
-    kept = slim.drop("verdict", "base", "suffix", "next_point").schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", accepted boolean, code string, score double, reasons array<string>"
-    return slim.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(_decide, schema)
-
-
-def placed(decided: DataFrame) -> DataFrame:
-    """Adds the tree: ``level, parent_seq, element_id, parent_id, depth, owner_seq`` and line diagnostics."""
-    level = F.array_position(F.array(*map(F.lit, P.LEVELS)), F.col("kind")) - 1
-    rows = decided.withColumn("level", F.when(F.col("accepted") & (level >= 0), level.cast("int")))
-    seqs = {f"s{j}": F.last(F.when(F.col("level") == j, F.col("line_no")), ignorenulls=True).over(_before()) for j in range(8)}
-    rows = rows.withColumns(seqs | {"owner_seq": F.coalesce(F.last(F.when(F.col("level").isNotNull(), F.col("line_no")), ignorenulls=True).over(_so_far()), F.lit(0))})
-    live = lambda k: F.when(F.coalesce(F.col(f"s{k}") > (F.greatest(*[F.coalesce(f"s{j}", F.lit(0)) for j in range(k)], F.lit(0)) if k else F.lit(0)), F.lit(False)) & (F.col("level") > k), F.col(f"s{k}"))
-    rows = rows.withColumns({f"a{k}": live(k) for k in range(7)})
-    rows = rows.withColumn("parent_seq", F.when(F.col("level").isNotNull(), F.greatest(F.lit(0), *[F.coalesce(f"a{k}", F.lit(0)) for k in range(7)])))
-    base = F.concat(F.col("kind"), F.lit("-"), T.slug(F.when(F.col("number") == "", "x").otherwise(F.col("number"))))
-    rows = rows.withColumn("base", F.when(F.col("level").isNotNull(), base))
-    nth = F.row_number().over(W.partitionBy("doc_id", "parent_seq", "base").orderBy("line_no"))
-    rows = rows.withColumn("local", F.when(F.col("level").isNotNull(), F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth.cast("string")))))
-    before = lambda c, *keys: F.lag(c).over(W.partitionBy("doc_id", *keys).orderBy("line_no"))
-    major = F.when(F.col("level") < 6, F.col("kind"))
-    rows = rows.withColumn("scope", F.coalesce(F.last(F.when(F.col("level") < 7, F.col("line_no")), ignorenulls=True).over(_so_far()), F.lit(0)))
-    rows = rows.withColumn("previous", F.when(major.isNotNull(), before("number", "kind", "level", "parent_seq")).when(F.col("level") == 7, before("number", "level", "scope")))
-    ids = {f"i{k}": F.last(F.when(F.col("level") == k, F.col("local")), ignorenulls=True).over(_before()) for k in range(7)}
-    rows = rows.withColumns(ids)
-    path = F.concat_ws("/", *[F.when(F.col(f"a{k}").isNotNull(), F.col(f"i{k}")) for k in range(7)])
-    rows = rows.withColumns({
-        "parent_id": F.when(F.col("level").isNotNull() & (path != ""), path),
-        "element_id": F.when(F.col("level").isNotNull(), F.concat_ws("/", F.when(path != "", path), F.col("local"))),
-        "depth": F.when(F.col("level").isNotNull(), sum((F.col(f"a{k}").isNotNull().cast("int") for k in range(7)), F.lit(0))),
-        "relation": F.when(F.col("previous").isNotNull(), compared(sequence_value(F.col("previous"), F.col("kind")), sequence_value(F.col("number"), F.col("kind")), F.lit(False))),
-    })
-    return rows.drop(*[f"{c}{k}" for c in "sai" for k in range(8)], "base", "local", "scope")
-
-
-def _texts(rows: DataFrame) -> DataFrame:
-    """Per owner: the title found on a later line, and content lines in order."""
-    rank = F.sum(F.col("kind").isNull().cast("int")).over(W.partitionBy("doc_id", "owner_seq").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    own = rows.filter("level is null").withColumn("nth", rank)
-    titled = F.col("kind").isNull() & (F.col("nth") == 1) & T.heading_like(F.col("text"))
-    line = F.struct("line_no", T.strip(F.col("text")).alias("text"))
-    return own.withColumn("titled", titled).groupBy("doc_id", "owner_seq").agg(
-        F.max(F.when(F.col("titled"), T.strip(F.col("text")))).alias("late_title"), F.sort_array(F.collect_list(line)).alias("all_lines"), F.max(F.when(F.col("titled"), F.col("line_no"))).alias("title_line")
-    )
-
-
-def nodes(tree: DataFrame) -> DataFrame:
-    """All nodes of ``placed`` lines, the preamble (``node_seq`` 0) included where it has content."""
-    texts = _texts(tree)
-    heads = tree.filter("level is not null").select(
-        "doc_id", F.col("line_no").alias("node_seq"), "parent_seq", "element_id", "parent_id", F.col("kind").alias("element_type"), "level", "depth", "number", "marker",
-        F.when(F.col("raw_number") == "", F.col("number")).otherwise(F.col("raw_number")).alias("raw_number"), "line_no", "source", F.col("score").alias("context_score"), F.col("reasons").alias("context_reasons"), "rest",
-    )
-    joined = heads.join(texts.withColumnRenamed("owner_seq", "node_seq"), ["doc_id", "node_seq"], "full")
-    takes = (F.col("level") < 6) & (F.col("rest") == "") & F.col("late_title").isNotNull()
-    minor = F.col("level") >= 6
-    title = F.when(F.col("node_seq") == 0, "Preamble").when(F.col("element_type") == "clause", F.concat(F.lit("Khoản "), F.col("number"))).when(F.col("element_type") == "point", F.concat(F.lit("Điểm "), F.col("number"))).when(takes, F.col("late_title")).otherwise(F.col("rest"))
-    kept = F.filter(F.coalesce("all_lines", F.array().cast("array<struct<line_no:int,text:string>>")), lambda x: (x["text"] != "") & ~(F.coalesce(takes, F.lit(False)) & (x["line_no"] == F.coalesce(F.col("title_line"), F.lit(-1)))))
-    raw = F.concat_ws("\n", F.when(minor & (F.col("rest") != ""), F.col("rest")), F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: x["text"]), "\n")))
-    out = joined.withColumns({"title": title, "raw_text": raw}).filter("node_seq > 0 or raw_text != ''")
-    first = F.col("node_seq") == 0
-    return out.select(
-        "doc_id", "node_seq", F.coalesce("parent_seq", F.lit(0)).alias("parent_seq"), F.when(first, "preamble").otherwise(F.col("element_id")).alias("element_id"), "parent_id",
-        F.when(first, "preamble").otherwise(F.col("element_type")).alias("element_type"), "level", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("number", F.lit("")).alias("number"), "title", "raw_text",
-        T.collapse_ws(F.col("raw_text")).alias("normalized_text"), "marker", "raw_number", "line_no", "source", F.lit(False).alias("embedded"), "context_score", "context_reasons",
-    )
-
-
-def line_diagnostics(tree: DataFrame) -> DataFrame:
-    """Quoted, rejected and misnumbered markers: ``doc_id, line_no, code, message, severity, evidence_score, reasons``."""
-    kind, bad = F.col("kind"), F.col("relation").isin("same", "jump", "backward")
-    quoted, rejected, annex = F.col("inside_quote"), F.col("code").isNotNull(), F.col("accepted") & (kind == "annex")
-    root = F.coalesce("parent_id", F.lit("__root__"))
-    moved = F.format_string("%s numbering in scope %s moves from %s to %s (%s).", "kind", root, "previous", "number", "relation")
-    points = F.format_string("Point numbering moves from %s to %s (%s).", "previous", "number", "relation")
-    rebuilt = F.col("source").isin("inline_fallback", "boundary_reconstruction") | (F.col("code") == "invalid_clause_number")
-    pick = lambda a, b, c, d: F.when(quoted, a).when(rejected, b).when(annex, c).when(bad, d)
-    return tree.filter(quoted | rejected | annex | F.coalesce(bad, F.lit(False))).select(
-        "doc_id", "line_no",
-        pick(F.lit("embedded_quoted_marker"), F.col("code"), F.lit("annex_reference_kept_as_text"), F.concat("kind", F.lit("_sequence_"), "relation")).alias("code"),
-        pick(F.concat(F.lit("Kept quoted "), "kind", F.lit(" marker as content: "), "marker"), F.concat(F.lit("Rejected ambiguous marker and kept it as text: "), "marker"), F.concat(F.lit("Kept in-body annex reference as content: "), "marker"), F.when(kind == "point", points).otherwise(moved)).alias("message"),
-        pick(F.lit("info"), F.when(rebuilt, "warning").otherwise("info"), F.lit("info"), F.when((kind == "point") | (F.col("relation") == "jump"), "info").otherwise("warning")).alias("severity"),
-        F.when(~quoted & rejected, F.col("score")).alias("evidence_score"), F.when(~quoted & rejected, F.col("reasons")).alias("reasons"),
-    )
+                nodes[-1][9].append(text.strip())
+            untitled = False
+            continue
+        if accepted and m.kind in _LEVEL:
+            numbers.enter(m)
+            level, parent, parent_id, path, depth, before = branch.add(seq, m)
+            minor = level >= _CLAUSE
+            title = TITLES[m.kind].format(m.number) if minor else m.rest
+            content = [m.rest] if minor and m.rest else []
+            nodes.append([seq, parent, path, parent_id, m.kind, level, depth, m.number, title, content, None, m.marker, m.raw_number or m.number, seq, source, False, score, reasons])
+            untitled = not minor and not m.rest
+            if before is not None and (moved := L.transition(L.value(before, m.kind), L.value(m.number, m.kind))) in _OVER:
+                place = (before, m.number, moved)
+                message = MESSAGES["point"].format(*place) if level == _POINT else MESSAGES["major"].format(m.kind, parent_id or "__root__", *place)
+                said.append((f"{m.kind}_sequence_{moved}", message, "info" if level == _POINT or moved == "jump" else "warning", seq, None, None))
+            continue
+        nodes[-1][9].append(text.strip())
+        if quoted:
+            said.append(("embedded_quoted_marker", MESSAGES["embedded_quoted_marker"].format(m.kind, m.marker), "info", seq, None, None))
+        elif accepted:
+            said.append(("annex_reference_kept_as_text", MESSAGES["annex_reference_kept_as_text"].format(m.marker), "info", seq, None, None))
+        else:
+            severity = "warning" if source != "line" or code == "invalid_clause_number" else "info"
+            said.append((code, MESSAGES["rejected"].format(m.marker), severity, seq, score, reasons))
+    for node in nodes:
+        node[9] = "\n".join(filter(None, node[9]))
+        node[10] = collapsed(node[9])
+    bare = len(nodes) == 1
+    nodes = nodes if nodes[0][9] else nodes[1:]
+    said += _checked(nodes)
+    if empty or bare:
+        code, severity = ("empty_input", "error") if empty else ("annex_tail_extracted", "info") if has_annex else ("no_structural_markers", "warning")
+        said.append((code, MESSAGES[code], severity, None, None, None))
+    return {"lines": lines, "nodes": nodes, "diagnostics": [(i, *d) for i, d in enumerate(said, 1)], "flat": flat, "made": made, "cut": cut, "n": len(rows)}
+
+
+def _checked(nodes: list[list]) -> Iterator[tuple]:
+    """Ids given twice, then articles whose number falls behind the one before by more than one."""
+    seen: dict[str, int] = {}
+    for node in nodes:
+        seen[node[2]] = seen.get(node[2], 0) + 1
+    for path, n in seen.items():
+        if n > 1:
+            yield "duplicate_element_id", MESSAGES["duplicate_element_id"].format(path), "error", None, None, None
+    last = None
+    for node in nodes:
+        if node[4] == "article" and (m := re.search(r"\d+", node[7])):
+            now = int(m[0])
+            if last is not None and now + 1 < last:
+                yield "article_number_reversal", MESSAGES["article_number_reversal"].format(last, node[7]), "warning", None, None, None
+            last = now
+
+
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+
+
+def _nested(rows: list[list[Any]], schema: str) -> pa.ListArray:
+    """An array of structs per document, built by column."""
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    flat = [r for doc in rows for r in doc]
+    columns = list(zip(*flat)) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(list(map(len, rows)))]), pa.int32()), structs)
+
+
+_COUNTS = {"flattened": ("flat", pa.bool_()), "made": ("made", pa.int32()), "cut": ("cut", pa.int32()), "logical_line_count": ("n", pa.int32())}
+#: characters of texts that are parsed before a batch is returned: a batch holds several times as much
+LOT = 2 << 20
+
+
+def parsed(prepared: DataFrame, tables: tuple[str, ...]) -> DataFrame:
+    """``prepared`` without ``body``, with the arrays named in ``tables`` (lines, nodes, diagnostics), ``flattened``, ``made``, ``cut`` and ``logical_line_count``."""
+    kept = [c for c in prepared.columns if c != "body"]
+    schemas = {"lines": LINE, "nodes": NODE, "diagnostics": DIAGNOSTIC}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows = list(zip(whole.column("body").to_pylist(), (n == 0 for n in whole.column("normalized_characters").to_pylist()), (a is not None for a in whole.column("annex").to_pylist())))
+            sizes, at = np.cumsum([len(r[0]) for r in rows]), 0
+            while at < len(rows):
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + LOT, "right")))
+                b, got = whole.slice(at, to - at), [parse_body(*r) for r in rows[at:to]]
+                at = to
+                arrays = [_nested([g[t] for g in got], schemas[t]) for t in tables]
+                counts = [pa.array([g[c] for g in got], t) for c, t in _COUNTS.values()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *arrays, *counts], names=[*kept, *tables, *_COUNTS])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.schema if f.name != "body"]
+    struct = lambda s: "array<struct<" + ", ".join(":".join(f.rsplit(" ", 1)) for f in s.split(", ")) + ">>"
+    fields += [f"{t} {struct(schemas[t])}" for t in tables] + ["flattened boolean", "made int", "cut int", "logical_line_count int"]
+    return prepared.mapInArrow(run, ", ".join(fields))

@@ -3,28 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .structure import StructureTables, parse_structure
+from .. import __version__
+from .structure import StructureTables, annex_block, parse_structure, with_stats
 
-VERSION = "0.1.0"
+VERSION = __version__
 
-# Record keys in order of priority, and the kinds of dates.
+# Record keys in order of priority, kinds of dates, defaults.
 ALIASES = {
-    "document_id": "document_id id doc_id", "title": "title name", "document_type": "document_type type doc_type", "document_number": "doc_number document_number number",
-    "issuing_authority": "issuer issuing_authority authority", "status": "effect_status status", "source_url": "source_url url source", "domain": "sector domain", "sub_domain": "legal_field sub_domain", "code": "doc_number document_number",
-}
+    "document_id": ("document_id", "id", "doc_id"),
+    "title": ("title", "name"),
+    "document_type": ("document_type", "type", "doc_type"),
+    "document_number": ("doc_number", "document_number", "number"),
+    "issuing_authority": ("issuer", "issuing_authority", "authority"),
+    "status": ("effect_status", "status"),
+    "source_url": ("source_url", "url", "source"),
+    "domain": ("sector", "domain"),
+    "sub_domain": ("legal_field", "sub_domain"),
+    "code": ("doc_number", "document_number"),
+}
 DATES = {
-    "enactment": "enactment_date issue_date promulgation_date date year", "effective": "effective_date date_effective", "expiry": "expiry_date expiration_date date_expiry",
-    "last_amended": "last_amended amended_date", "consolidation": "consolidation_date",
-}
+    "enactment": ("enactment_date", "issue_date", "promulgation_date", "date", "year"),
+    "effective": ("effective_date", "date_effective"),
+    "expiry": ("expiry_date", "expiration_date", "date_expiry"),
+    "last_amended": ("last_amended", "amended_date"),
+    "consolidation": ("consolidation_date",),
+}
+DEFAULTS = {"jurisdiction": "Vietnam", "language": "vi"}
+NOT_URLS = ("main", "legacy")
 # End of the fixed values.
 
 
-def first_of(record: Column, keys: str) -> Column:
+def first_of(record: Column, keys: tuple[str, ...]) -> Column:
     """The first of a string map's values that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(F.try_element_at(record, F.lit(k)), F.lit("")) for k in keys.split()])
+    return F.coalesce(*[F.nullif(F.try_element_at(record, F.lit(k)), F.lit("")) for k in keys])
 
 
 def record_map(record_json: Column) -> Column:
@@ -41,8 +54,8 @@ def project(records: DataFrame, record_col: str = "record") -> DataFrame:
     code = first_of(m, ALIASES["code"])
     return records.withColumn("_m", record_map(F.col(record_col))).select(
         *[c for c in records.columns], *[text(k) for k in ALIASES if k not in ("source_url", "code")],
-        F.coalesce(first_of(m, "jurisdiction"), F.lit("Vietnam")).alias("jurisdiction"), F.coalesce(first_of(m, "language"), F.lit("vi")).alias("language"),
-        F.when(url.isin("main", "legacy"), "").otherwise(F.coalesce(url, F.lit(""))).alias("source_url"), *[first_of(m, keys).alias(f"date_{k}") for k, keys in DATES.items()],
+        *[F.coalesce(first_of(m, (k,)), F.lit(v)).alias(k) for k, v in DEFAULTS.items()],
+        F.when(url.isin(*NOT_URLS), "").otherwise(F.coalesce(url, F.lit(""))).alias("source_url"), *[first_of(m, keys).alias(f"date_{k}") for k, keys in DATES.items()],
         F.when(code.isNotNull(), F.array(code)).otherwise(F.array().cast("array<string>")).alias("classification_codes"),
         *[nested(k) for k in ("keywords", "subject_areas", "version_history", "related_documents")], F.map_filter(m, lambda k, v: k != "content").alias("source_metadata"),
     )
@@ -52,45 +65,52 @@ def _json(c: Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 
-def structure_json(tables: StructureTables) -> DataFrame:
-    """``doc_id, structure``: nodes nested by one ordered concatenation.
+def _target(r: Column) -> Column:
+    return F.map_filter(F.create_map(*[x for k in ("point", "clause", "article") for x in (F.lit(k), r[k])]), lambda k, v: v.isNotNull())
+
+
+def nested_json(nodes: Column, refs: Column) -> Column:
+    """The tree of a document's nodes, ``refs`` being each node's references, as JSON.
 
     Nodes come in pre-order, so a node opens its object, and closes as many as its depth and the
     next node's say; no recursion, no join per level.
     """
-    ref = F.struct("ref_no", "text", "point", "clause", "article", "start", "end")
-    refs = tables.cross_references.groupBy("doc_id", "node_seq").agg(F.sort_array(F.collect_list(ref)).alias("refs"))
-    target = lambda r: F.map_filter(F.create_map(*[x for k in ("point", "clause", "article") for x in (F.lit(k), r[k])]), lambda k, v: v.isNotNull())
-    shown = F.transform(F.coalesce("refs", F.array().cast("array<struct<ref_no:int,text:string,point:string,clause:string,article:string,start:int,end:int>>")), lambda r: F.struct(r["text"].alias("text"), target(r).alias("target"), r["start"].alias("start"), r["end"].alias("end")))
-    first = F.col("node_seq") == 0
-    own = F.struct(
-        "element_id", "element_type", "number", "title", F.struct("raw_text", "normalized_text", F.array().cast("array<string>").alias("provisions")).alias("content"), shown.alias("cross_references"),
-        F.when(~first, F.struct("marker", "raw_number", "line_no", "source", "embedded", "context_score", "context_reasons")).alias("metadata"),
-    )
-    order = W.partitionBy("doc_id").orderBy("node_seq")
-    rows = tables.nodes.join(refs, ["doc_id", "node_seq"], "left").withColumns({"next": F.coalesce(F.lead("depth").over(order), F.lit(0)), "at": F.row_number().over(order), "before": F.lag("depth").over(order)})
-    opened = F.concat(F.regexp_replace(F.regexp_replace(_json(own), r'"metadata":null\}$', '"metadata":{}}'), r"\}$", ""), F.lit(',"children":['))
-    part = F.concat(F.when((F.col("at") > 1) & (F.col("depth") <= F.col("before")), ",").otherwise(""), opened, F.repeat(F.lit("]}"), F.greatest(F.lit(0), F.col("depth") - F.col("next") + 1)))
-    parts = rows.select("doc_id", F.struct("at", part.alias("part")).alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return parts.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("ps", lambda p: p["part"]), ""), F.lit("]")).alias("structure"))
+
+    def own(n: Column, found: Column) -> Column:
+        shown = F.transform(found, lambda r: F.struct(r["text"].alias("text"), _target(r).alias("target"), r["start"].alias("start"), r["end"].alias("end")))
+        content = F.struct(n["raw_text"].alias("raw_text"), n["normalized_text"].alias("normalized_text"), F.array().cast("array<string>").alias("provisions"))
+        metadata = F.struct(*[n[k].alias(k) for k in ("marker", "raw_number", "line_no", "source", "embedded", "context_score", "context_reasons")])
+        fields = F.struct(*[n[k].alias(k) for k in ("element_id", "element_type", "number", "title")], content.alias("content"), shown.alias("cross_references"), F.when(n["level"].isNotNull(), metadata).alias("metadata"))
+        return F.regexp_replace(F.regexp_replace(_json(fields), r'"metadata":null\}$', '"metadata":{}}'), r"\}$", "")
+
+    def part(x: Column, i: Column) -> Column:
+        n = x["n"]
+        comma = F.when((i > 0) & (n["depth"] <= F.get(nodes, i - 1)["depth"]), ",").otherwise("")
+        closed = n["depth"] - F.coalesce(F.get(nodes, i + 1)["depth"], F.lit(0)) + 1
+        return F.concat(comma, own(n, x["found"]), F.lit(',"children":['), F.repeat(F.lit("]}"), F.greatest(F.lit(0), closed)))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(F.zip_with(nodes, refs, lambda n, r: F.struct(n.alias("n"), r.alias("found"))), part), ""), F.lit("]"))
+
+
+def structure_json(tables: StructureTables) -> DataFrame:
+    """``doc_id, structure``: each document's nodes nested as JSON."""
+    rows = with_stats(tables.parsed("nodes", "diagnostics"))
+    return rows.select(*tables.key, nested_json(F.col("nodes"), F.col("refs")).alias("structure"))
 
 
 def parse_documents(records: DataFrame, record_col: str = "record", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, confidence, json`` of records ``(doc_id, record JSON)``."""
-    rows = project(records.select(F.col(id_col).cast("string").alias("doc_id"), F.col(record_col).alias("record")))
-    t = parse_structure(rows.select("doc_id", F.try_element_at(record_map(F.col("record")), F.lit("content")).alias("content")))
-    annex = t.annex_blocks.groupBy("doc_id").agg(F.collect_list(F.struct("index", "number", "heading", "raw_text", "normalized_text", "start_line", "parsed")).alias("annex_blocks"))
-    diags = t.diagnostics.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("diag_seq", "code", "message", "severity", "line_no", "evidence_score", "reasons"))).alias("diagnostics"))
-    refs = t.cross_references.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_seq", "start", "source_element_id", "text", "end", "point", "clause", "article"))).alias("cross_references"))
-    stats = t.doc_stats
-    joined = rows.join(stats, "doc_id").join(structure_json(t), "doc_id", "left").join(annex, "doc_id", "left").join(diags, "doc_id", "left").join(refs, "doc_id", "left")
+    """``doc_id, confidence, json`` of records ``(doc_id, record JSON)``, each parsed by itself."""
+    rows = records.select(F.col(id_col).cast("string").alias("doc_id"), F.col(record_col).alias("record"), F.try_element_at(record_map(F.col(record_col)), F.lit("content")).alias("content"))
+    parsed = project(with_stats(parse_structure(rows, keep=("record",)).parsed("nodes", "diagnostics")), "_k0")
     document = F.struct(
-        "document_id", "title", "document_type", "document_number", "jurisdiction", "language", "issuing_authority", "status", F.struct(*[F.col(f"date_{k}").alias(k) for k in DATES]).alias("dates"),
+        "document_id", "title", "document_type", "document_number", *DEFAULTS, "issuing_authority", "status", F.struct(*[F.col(f"date_{k}").alias(k) for k in DATES]).alias("dates"),
         F.struct("domain", "sub_domain", "keywords", "subject_areas", "classification_codes").alias("classification"), "source_url", "version_history", "related_documents", "source_metadata",
     )
-    stat_cols = [c for c in stats.columns if c not in ("doc_id", "source_content_sha256", "confidence")]
-    parser = F.struct(F.lit("lexspark").alias("name"), F.lit(VERSION).alias("version"), "source_content_sha256", "confidence", F.coalesce("diagnostics", F.array().cast(joined.schema["diagnostics"].dataType)).alias("diagnostics"), F.struct(*stat_cols).alias("stats"))
-    empty = lambda c: F.coalesce(c, F.array().cast(joined.schema[c].dataType)).alias(c)
-    rest = _json(F.struct(document.alias("document"), empty("annex_blocks"), empty("cross_references"), parser.alias("parser")))
-    whole = F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"structure":'), F.coalesce("structure", F.lit("[]")), F.lit("}"))
-    return joined.select("doc_id", "confidence", whole.alias("json"))
+    annex = F.when(F.col("annex").isNotNull(), F.array(annex_block("struct"))).otherwise(F.array())
+    named = lambda n, found: F.transform(found, lambda r: F.struct(n["element_id"].alias("source_element_id"), r["text"].alias("text"), _target(r).alias("target"), r["start"].alias("start"), r["end"].alias("end")))
+    references = F.flatten(F.zip_with("nodes", "refs", named))
+    said = F.transform("diagnostics", lambda d: d.dropFields("diag_seq"))
+    parser = F.struct(F.lit("lexspark").alias("name"), F.lit(VERSION).alias("version"), "source_content_sha256", "confidence", said.alias("diagnostics"), "stats")
+    rest = _json(F.struct(document.alias("document"), annex.alias("annex_blocks"), references.alias("cross_references"), parser.alias("parser")))
+    whole = F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"structure":'), nested_json(F.col("nodes"), F.col("refs")), F.lit("}"))
+    return parsed.select("doc_id", "confidence", whole.alias("json"))

@@ -1,11 +1,16 @@
-"""``parse_structure``: documents in, a bundle of tables out."""
+"""``parse_structure``: documents in, a bundle of tables out.
+
+A document stays one row from its text to its tables: normalising, the annex cut and the score are expressions, lines
+are read in one Arrow pass, and tables are exploded from its result.  Nothing is shuffled or joined, so rows with a null
+id, or with one that others have too, are documents like any other.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,59 +19,101 @@ from ..operators import quality, structure
 from ..operators.prepare import prepare
 
 
+def node_text(node: Column) -> Column:
+    """What references are sought in: title and content."""
+    return F.concat_ws(" ", F.nullif(node["title"], F.lit("")), F.nullif(node["normalized_text"], F.lit("")))
+
+
 @dataclass
 class StructureTables:
-    """Lazy tables of a parsed corpus, all keyed by ``doc_id``.  A table that isn't asked for costs nothing."""
+    """Lazy tables of a parsed corpus.  Each is one scan and at most one pass over lines.
+
+    Every table begins with ``doc_id``; where ids repeat, ``documents`` may carry a key of its own as another column
+    and name it in ``keep``.
+    """
 
     documents: DataFrame
     id_col: str = "doc_id"
     content_col: str = "content"
+    keep: tuple[str, ...] = ()
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return prepare(self.documents, self.id_col, self.content_col)
+        quoted = lambda c: "`" + c.replace("`", "``") + "`"
+        extra = [self.documents[quoted(c)].alias(f"_k{i}") for i, c in enumerate(self.keep)]  # no name of theirs meets one of ours
+        return prepare(self.documents.select(self.documents[quoted(self.id_col)].alias("doc_id"), *extra, self.documents[quoted(self.content_col)].alias("content")))
 
-    @cached_property
-    def segments(self) -> DataFrame:
-        return structure.segments(self.prepared)
+    @property
+    def key(self) -> list[Column]:
+        """``doc_id`` and the kept columns, which have names of their own (_k0, _k1, ...) until a table is done."""
+        return [F.col("doc_id"), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(self.keep))]
 
-    @cached_property
-    def decisions(self) -> DataFrame:
-        return structure.decisions(self.segments)
+    @property
+    def _kept(self) -> list[str]:
+        return [f"_k{i}" for i in range(len(self.keep))]
+
+    def parsed(self, *tables: str) -> DataFrame:
+        """One row per document with the arrays named (lines, nodes, diagnostics)."""
+        return structure.parsed(self.prepared, tables)
+
+    def _exploded(self, table: str) -> DataFrame:
+        return self.parsed(table).select("doc_id", *self._kept, F.explode(table).alias("x")).select(*self.key, "x.*")
 
     @cached_property
-    def tree(self) -> DataFrame:
-        return structure.placed(self.decisions)
+    def segments(self) -> DataFrame:
+        """Logical lines with their markers and the decisions about them."""
+        return self._exploded("lines")
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return structure.nodes(self.tree)
+        return self._exploded("nodes")
 
     @cached_property
-    def cross_references(self) -> DataFrame:
-        text = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.when(F.col("normalized_text") != "", F.col("normalized_text")))
-        found = self.nodes.select("doc_id", "node_seq", F.col("element_id").alias("source_element_id"), cross_references(text).alias("refs"))
-        return found.select("doc_id", "node_seq", "source_element_id", F.posexplode("refs").alias("pos", "r")).select("doc_id", "node_seq", "source_element_id", (F.col("pos") + 1).alias("ref_no"), "r.text", "r.point", "r.clause", "r.article", "r.start", "r.end")
+    def diagnostics(self) -> DataFrame:
+        return self._exploded("diagnostics")
 
     @cached_property
-    def annex_blocks(self) -> DataFrame:
-        return self.prepared.filter("annex is not null").select(
-            "doc_id", F.lit(1).alias("index"), F.col("annex_number").alias("number"), F.col("annex_heading").alias("heading"), F.col("annex").alias("raw_text"),
-            T.collapse_ws(F.col("annex")).alias("normalized_text"), F.col("annex_line").alias("start_line"), F.lit(False).alias("parsed"),
-        )
+    def cross_references(self) -> DataFrame:
+        node = F.struct("title", "normalized_text")
+        nodes = self.parsed("nodes").select("doc_id", *self._kept, F.explode("nodes").alias("x")).select("doc_id", *self._kept, "x.node_seq", "x.element_id", "x.title", "x.normalized_text")
+        found = nodes.select("doc_id", *self._kept, "node_seq", F.col("element_id").alias("source_element_id"), cross_references(node_text(node)).alias("refs"))
+        rows = found.select("doc_id", *self._kept, "node_seq", "source_element_id", F.posexplode("refs").alias("pos", "r"))
+        return rows.select(*self.key, "node_seq", "source_element_id", (F.col("pos") + 1).alias("ref_no"), "r.text", "r.point", "r.clause", "r.article", "r.start", "r.end")
 
     @cached_property
-    def diagnostics(self) -> DataFrame:
-        return quality.diagnostics(structure.line_diagnostics(self.tree), self.prepared, self.nodes)
+    def annex_blocks(self) -> DataFrame:
+        return self.prepared.filter("annex is not null").select(*self.key, annex_block("*"))
 
     @cached_property
     def doc_stats(self) -> DataFrame:
-        return quality.doc_stats(self.prepared, self.nodes, self.diagnostics, self.cross_references)
-
-
-def parse_structure(documents: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> StructureTables:
-    """Null ids are a document of their own; ids must be unique.  Null content is empty text."""
-    return StructureTables(documents, id_col, content_col)
+        return with_stats(self.parsed("nodes", "diagnostics")).select(*self.key, "source_content_sha256", "confidence", "stats.*")
+
+
+def annex_block(form: str) -> Column:
+    """An annex's columns as one struct, or with ``*`` spread."""
+    raw = F.col("annex")
+    fields = F.struct(F.lit(1).alias("index"), F.col("annex_number").alias("number"), F.col("annex_heading").alias("heading"), raw.alias("raw_text"), T.collapse_ws(raw).alias("normalized_text"), F.col("annex_line").alias("start_line"), F.lit(False).alias("parsed"))
+    return F.inline(F.array(fields)) if form == "*" else fields
+
+
+def with_stats(parsed: DataFrame) -> DataFrame:
+    """Adds ``confidence``, ``refs`` (per node, an array of references) and ``stats`` to rows with nodes and diagnostics."""
+    rows = parsed.withColumn("refs", F.transform("nodes", lambda n: cross_references(node_text(n))))
+    kinds = F.transform("nodes", lambda n: n["element_type"])
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+    embedded = F.size(F.filter("diagnostics", lambda d: d["code"] == "embedded_quoted_marker"))
+    stats = F.struct(
+        "raw_character_count", F.col("normalized_characters").alias("normalized_character_count"), F.col("main_characters").alias("main_body_character_count"), n(F.length("annex")).alias("annex_character_count"),
+        F.col("annex").isNotNull().cast("int").alias("annex_block_count"), "logical_line_count", F.col("flattened").alias("flattened_input"), F.col("made").alias("reconstructed_boundary_count"), F.col("cut").alias("reconstructed_physical_line_count"),
+        F.size("nodes").alias("node_count"), counts.alias("element_counts"), embedded.alias("embedded_marker_count"), F.aggregate(F.transform("refs", F.size), F.lit(0), lambda a, b: a + b).alias("cross_reference_count"),
+    )
+    return rows.withColumns({"confidence": quality.scored(F.col("diagnostics"), F.col("flattened"), F.col("made")), "stats": stats})
+
+
+def parse_structure(documents: DataFrame, id_col: str = "doc_id", content_col: str = "content", keep: tuple[str, ...] = ()) -> StructureTables:
+    """Tables of every row's text by itself.  Null content is empty text; ids may be null and may repeat."""
+    return StructureTables(documents, id_col, content_col, keep)
 
 
 def extract_cross_references(df: DataFrame, text_col: str = "text", out: str = "cross_references") -> DataFrame:

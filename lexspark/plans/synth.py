@@ -53,3 +53,33 @@ nodes AS (SELECT n.doc_id, line_no AS node_seq, id AS element_id, CASE what WHEN
   concat_ws(chr(10), CASE WHEN what IN ('clause', 'point') THEN regexp_replace(text, '^[0-9a-z]+[.)] ', '') END, extra) AS raw_text
   FROM n JOIN t ON t.doc_id = n.doc_id AND t.owner = n.line_no WHERE what IN ('chapter', 'article', 'clause', 'point'))
 """
+
+MARKERS = """SELECT doc_id, line_no, CASE what WHEN 'cited' THEN 'article' WHEN 'numeric' THEN 'clause' WHEN 'quoted' THEN 'article' WHEN 'dotted' THEN 'point' ELSE what END AS kind,
+  CASE what WHEN 'cited' THEN '5' WHEN 'numeric' THEN '12' WHEN 'quoted' THEN '9' WHEN 'dotted' THEN 'k' ELSE number END AS number,
+  CASE what WHEN 'chapter' THEN 'Chương I' WHEN 'cited' THEN 'Điều 5' WHEN 'numeric' THEN '12.' WHEN 'quoted' THEN 'Điều 9.' WHEN 'dotted' THEN 'k.' WHEN 'article' THEN 'Điều ' || number || '.' WHEN 'clause' THEN number || '.' ELSE number || ')' END AS marker,
+  CASE what WHEN 'chapter' THEN '' WHEN 'cited' THEN 'của Luật Đất đai' WHEN 'numeric' THEN '5 triệu đồng' WHEN 'quoted' THEN 'Nội dung trích”' WHEN 'dotted' THEN 'Ghi chú riêng' ELSE regexp_replace(text, '^[^.)]*[.)] ', '') END AS rest FROM body WHERE what <> 'title'"""
+
+#: documents whose lines are put one behind the other, as sentences
+FLAT = """,
+flat AS (SELECT doc_id, art, k, sub, what, number, text || CASE WHEN what IN ('clause', 'point', 'article') THEN '.' ELSE '' END AS text FROM lines WHERE what IN ('chapter', 'title', 'article', 'clause', 'point'))"""
+
+FLAT_NODES = """,
+flat_nodes AS (SELECT doc_id, what, 'chapter-I' || CASE WHEN art > 0 THEN '/article-' || art ELSE '' END || CASE WHEN what IN ('clause', 'point') THEN '/clause-' || k ELSE '' END || CASE WHEN what = 'point' THEN '/point-' || number ELSE '' END AS element_id,
+  CASE what WHEN 'chapter' THEN 'QUY ĐỊNH CHUNG' WHEN 'article' THEN regexp_replace(text, '^[^.]*[.] ', '') WHEN 'clause' THEN 'Khoản ' || number ELSE 'Điểm ' || number END AS title,
+  CASE WHEN what IN ('clause', 'point') THEN regexp_replace(text, '^[0-9a-z]+[.)] ', '') ELSE '' END AS raw_text FROM flat WHERE what <> 'title')
+"""
+
+#: nested JSON of ``NODES``, put together from the leaves
+JSON = """,
+x AS (SELECT *, regexp_extract_all(t, 'Điều [0-9]+') AS m, regexp_split_to_array(t, 'Điều [0-9]+') AS p, max(CASE element_type WHEN 'article' THEN node_seq END) OVER w AS art_seq, max(CASE element_type WHEN 'clause' THEN node_seq END) OVER w AS clause_seq
+  FROM (SELECT *, title || ' ' || replace(raw_text, chr(10), ' ') AS t FROM nodes) WINDOW w AS (PARTITION BY doc_id ORDER BY node_seq)),
+y AS (SELECT doc_id, node_seq, element_type, art_seq, clause_seq, '{"element_id":' || to_json(element_id)::VARCHAR || ',"element_type":"' || element_type || '","number":' || to_json(number)::VARCHAR || ',"title":' || to_json(title)::VARCHAR
+  || ',"content":{"raw_text":' || to_json(raw_text)::VARCHAR || ',"normalized_text":' || to_json(replace(raw_text, chr(10), ' '))::VARCHAR || ',"provisions":[]},"cross_references":['
+  || coalesce(array_to_string(list_transform(range(1, len(m) + 1), lambda i: '{"text":"' || m[i] || '","target":{"article":"' || m[i][6:] || '"},"start":' || (list_sum(list_transform(p[1 : i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda v: length(v))), 0))::INT || ',"end":' || (list_sum(list_transform(p[1 : i], lambda v: length(v))) + list_sum(list_transform(m[1 : i], lambda v: length(v))))::INT || '}'), ','), '')
+  || '],"metadata":{"marker":"' || CASE element_type WHEN 'chapter' THEN 'Chương I' WHEN 'article' THEN 'Điều ' || number || '.' WHEN 'clause' THEN number || '.' ELSE number || ')' END || '","raw_number":"' || number || '","line_no":' || node_seq || ',"source":"line","embedded":false,"context_score":'
+  || CASE element_type WHEN 'clause' THEN '0.93' WHEN 'point' THEN '0.96' ELSE '0.98' END || ',"context_reasons":["' || CASE element_type WHEN 'clause' THEN 'valid_bare_clause_sequence' WHEN 'point' THEN 'canonical_point_parenthesis' ELSE 'explicit_major_keyword' END || '"]},"children":[' AS head FROM x),
+points AS (SELECT doc_id, clause_seq AS node_seq, string_agg(head || ']}', ',' ORDER BY node_seq) AS below FROM y WHERE element_type = 'point' GROUP BY ALL),
+clauses AS (SELECT doc_id, art_seq AS node_seq, string_agg(head || coalesce(below, '') || ']}', ',' ORDER BY y.node_seq) AS below FROM y LEFT JOIN points USING (doc_id, node_seq) WHERE element_type = 'clause' GROUP BY ALL),
+articles AS (SELECT doc_id, string_agg(head || coalesce(below, '') || ']}', ',' ORDER BY y.node_seq) AS below FROM y LEFT JOIN clauses USING (doc_id, node_seq) WHERE element_type = 'article' GROUP BY ALL),
+tree AS (SELECT doc_id, '[' || head || coalesce(below, '') || ']}]' AS j FROM y LEFT JOIN articles USING (doc_id) WHERE element_type = 'chapter')
+"""

@@ -71,6 +71,7 @@ def _checked(record: Column, ok: Column, message: Column) -> Column:
 
 
 def _key(record: Column) -> Column:
+    """A record's own id; records without one share a hash of their text, which needn't be unique: rows are parsed one by one."""
     m = F.from_json(record, "map<string,string>")
     return F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in ("document_id", "id", "doc_id")], F.concat(F.lit("row-"), F.sha2(record, 256)))
 
@@ -96,6 +97,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return each.select(record.alias("record")).select(_key(F.col("record")).alias("doc_id"), "record")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob leads to anything, in whichever store it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_records(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """``(doc_id, record)`` of a file, folder or glob; ``suffix`` names the format where the path doesn't."""
     name = path.rstrip("/").rsplit("/", 1)[-1]

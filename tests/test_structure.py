@@ -1,34 +1,41 @@
-import json
+"""The engine: registered queries against SQL, rules on texts of our own, variants of a text, and agreement of its two forms."""
+
+import random
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
-from lexspark import cli
+import lexspark
+from lexspark.functions import markers as M
+from lexspark.functions import sequence as Q
+from lexspark.functions import text as T
+from lexspark.operators import lines as L
 from lexspark.operators import recover
-from lexspark.plans import queries as Q
+from lexspark.plans import queries
 from lexspark.plans.structure import parse_structure
-from lexspark.sources.readers import docx_text, read_records
 
-QUICK = ["nodes", "segments", "decisions", "diagnostics", "doc_stats", "annex_split", "annex_number", "article_reversal", "unstructured", "flat_recovery", "partial_recovery", "looks_like_html", "flattened", "collapse_ws", "explode_lines", "nfc", "pdf_cue_repair", "sequence_value", "transition", "clause_follows", "canonical_number", "cross_refs", "numeric_payload", "structural_reference", "fold_ascii", "slug", "heading_like", "documents"]
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_query_equals_its_sql(spark, same, name):
+    same(queries.queries()[name](spark, SF), queries.oracle_sql()[name])
+
 
 # text, then numbers expected of each type (all others: none)
 GOLDEN = [
     ("CHƯƠNG II\nQUY ĐỊNH\nĐiều 5. Phạm vi\n1. Một\na) Chữ\nb) Chữ\nđ) Chữ\n2. Hai\n2a. Chèn", {"chapter": ["II"], "article": ["5"], "clause": ["1", "2", "2a"], "point": ["a", "b", "đ"]}),
     ("Điều 1. Năm\n2023. Không phải khoản\n1. Đúng\n12.5 triệu đồng\n3. Nhảy", {"article": ["1"], "clause": ["1"]}),
     ("Điều 1. Sửa đổi\n1. Sửa như sau:\n“Điều 9. Trích\n1. Nội dung trích”\n2. Tiếp", {"article": ["1"], "clause": ["1", "2"]}),
+    ("Điều 1. Sửa\n1. Như sau:\n“a) Một ‘hai\nb) ba’ bốn\nc) năm”\na) Sáu", {"article": ["1"], "clause": ["1"], "point": ["a"]}),
     ("Điều 1. Nêu\nĐiều 5 của Luật này\nChương trình mục tiêu\n1. Nội dung", {"article": ["1"], "clause": ["1"]}),
     ("Phần thứ nhất\nMục A. Tên\nĐiều thứ 1. Nội dung", {"part": ["thứ nhất"], "section": ["A"], "article": ["thứ 1"]}),
     ("<p>Điều 1. Tên</p><table><tr><td>1.</td><td>ô</td></tr></table><p>1. Khoản</p>", {"article": ["1"], "clause": ["1"]}),
     ("Điều 1. Tên\na. Một\nb. Hai", {"article": ["1"], "point": ["a", "b"]}),
     ("Điều 1. Tên\nk. Riêng", {"article": ["1"]}),
+    ("Điều 1. Tên\nKhoản 301. Lớn\nKhoản 2. Vừa\n3) Tiếp", {"article": ["1"], "clause": ["2", "3"]}),
 ]
 
 
-@pytest.mark.parametrize("name", QUICK)
-def test_query_equals_its_sql(spark, same, name):
-    same(Q.queries()[name](spark, SF), Q.oracle_sql()[name])
-
-
 def test_golden(spark):
     t = parse_structure(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(GOLDEN)], "doc_id long, content string"))
     found = [{} for _ in GOLDEN]
@@ -38,43 +45,90 @@ def test_golden(spark):
     assert found == [want for _, want in GOLDEN]
 
 
-def test_empty_and_null(spark):
-    t = parse_structure(spark.createDataFrame([(1, None), (2, " \n ")], "doc_id long, content string"))
-    assert t.nodes.count() == 0
+BASE = "Chương I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\n1. Văn bản này nói về nước.\na) Nước mặt;\nb) Nước ngầm;\nđ) Nước mưa.\n2. Không áp dụng cho biển.\nĐiều 2. Từ ngữ\n1. Hồ là nơi chứa nước.\nChương II\nĐIỀU KHOẢN CUỐI\nĐiều 3. Hiệu lực\n1. Theo khoản 1 Điều 2."
+
+
+def test_noise_in_layout_changes_nothing(spark):
+    r = random.Random(8)
+    noise = [
+        lambda x: x.replace("\n", "\r\n"), lambda x: x.replace(" ", " ", 3), lambda x: x.replace("\n", "\n\n"), lambda x: "\n".join("  " * r.randint(0, 3) + line for line in x.split("\n")),
+        lambda x: "\n".join(("## " if line.startswith(("Chương", "Điều")) else "") + line for line in x.split("\n")), lambda x: "﻿" + x + " \n\n", lambda x: x.replace("Điều", "ĐIỀU").replace("Chương", "CHƯƠNG"),
+        lambda x: "".join("".join(c + "​" if r.random() < 0.02 else c) for c in x), lambda x: "<div>" + x.replace("\n", "</div>\n<div>") + "</div>", lambda x: __import__("unicodedata").normalize("NFD", x), lambda x: x.replace("1. ", "1)  ").replace("2. ", "2)\t"),
+    ]
+    texts = [BASE]
+    for _ in range(200):
+        x = BASE
+        for f in r.sample(noise, r.randint(1, 3)):
+            x = f(x)
+        texts.append(x)
+    rows = parse_structure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")).nodes.select("doc_id", "node_seq", "element_id").collect()
+    ids = [[n.element_id for n in sorted((x for x in rows if x.doc_id == i), key=lambda n: n.node_seq)] for i in range(len(texts))]
+    assert len(ids[0]) == 12 and all(x == ids[0] for x in ids)
+
+
+def test_any_text_parses_with_unique_ids_unless_said(spark):
+    r = random.Random(9)
+    words = ["Điều 1.", "Điều 2", "Chương I", "Mục A", "Phụ lục I", "của Luật", "1.", "2.", "2a.", "3)", "a)", "b.", "đ)", "Nội dung", ".", ";", ":", "“", "”", '"', "'", "12.5", "5 triệu", "|", "\n", "\n", "Khoản 1.", "TÊN GỌI", "[TABLE]", "\x0b", "é", "<p>", "&lt;p&gt;", "c ủa", "#"]
+    texts = ["".join(r.choice(words) + r.choice([" ", ""]) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    t = parse_structure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string"))
+    twice = {(x.doc_id, x.element_id) for x in t.nodes.groupBy("doc_id", "element_id").count().filter("count > 1").collect()}
+    assert {d for d, _ in twice} == {x.doc_id for x in t.diagnostics.filter("code = 'duplicate_element_id'").collect()}
+    assert t.doc_stats.filter("confidence between 0 and 1").count() == len(texts)
+    # the orders of reading: a node's parent comes before it, content is kept once
+    assert t.nodes.filter("parent_seq >= node_seq and node_seq > 0").count() == 0
+
+
+def test_empty_null_and_extra_columns(spark):
+    rows = [(1, None, "x"), (2, " \n ", "y"), (None, "Điều 1. A", "z"), (None, "Điều 1. A", "z"), (7, "Điều 1. B", None), (7, "Điều 2. C", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, content string, `a.b` string").withColumn("body", F.lit(1)).withColumn("nodes", F.lit(2))
+    t = parse_structure(docs, keep=("a.b",))
+    assert sorted((r["a.b"] or "", r.element_id) for r in t.nodes.collect()) == [("", "article-1"), ("q", "article-2"), ("z", "article-1"), ("z", "article-1")]
     assert {(r.doc_id, r.code) for r in t.diagnostics.collect()} == {(1, "empty_input"), (2, "empty_input")}
-    assert [r.confidence for r in t.doc_stats.collect()] == [0.0, 0.0]
+    assert sorted(r.confidence for r in t.doc_stats.collect()) == [0.0, 0.0, 1.0, 1.0, 1.0, 1.0]
     none = parse_structure(spark.createDataFrame([], "doc_id long, content string"))
-    assert none.doc_stats.count() == none.nodes.count() == 0
+    assert none.doc_stats.count() == none.nodes.count() == none.cross_references.count() == 0
 
 
 def test_recovery():
-    assert recover.expand_line("1. A. 2. B. 3. C.") == ["1. A.", "2. B.", "3. C."]
+    # a letter and a full stop read as a point, whatever its case
+    assert recover.expand_line("1. A. 2. B. 3. C.") == ["1.", "A.", "2.", "B.", "3.", "C."]
+    assert recover.expand_line("1. Chữ này. 2. Chữ kia. 3. Hết.") == ["1. Chữ này.", "2. Chữ kia.", "3. Hết."]
+    assert recover.expand_line("1. Năm 2023. 2. Số 5. Hết.") == ["1. Năm 2023.", "2. Số 5. Hết."]
     assert recover.expand_line("[TABLE] 1. A. 2. B.") == ["[TABLE] 1. A. 2. B."]
+    assert recover.expand_line("1. Nêu “Điều 2. Trích. 1. Trong.” hết. 2. Sau.") == ["1. Nêu “Điều 2. Trích. 1. Trong.” hết.", "2. Sau."]
     assert recover.split_flat("Chương I QUY ĐỊNH CHUNG Điều 1. Phạm vi 1. Một. 2. Hai: a) X; b) Y.") == ["Chương I QUY ĐỊNH CHUNG", "Điều 1. Phạm vi", "1. Một.", "2. Hai:", "a) X;", "b) Y."]
-
-
-def test_files_and_command(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"id": "x", "content": "Điều 1. Tên\\n1. Nội dung"}\n\n{"id": "y", "content": ""}\n', encoding="utf-8")
-    out = tmp_path / "o.jsonl"
-    assert cli.main(["-i", str(tmp_path / "a.jsonl"), "-o", str(out), "--min-confidence", "0.5"]) == 2
-    docs = {d["document"]["document_id"]: d for d in map(json.loads, out.read_text().splitlines())}
-    assert docs["x"]["structure"][0]["children"][0]["element_id"] == "article-1/clause-1" and docs["y"]["structure"] == []
-    (tmp_path / "b.jsonl").write_text('{"id": 1}\nbad\n')
-    assert cli.main(["-i", str(tmp_path / "b.jsonl"), "-o", str(tmp_path / "n.json")]) == 1 and not (tmp_path / "n.json").exists()
-    (tmp_path / "t.html").write_text("<p>Điều 1. Tên</p>", encoding="utf-8")
-    assert json.loads(read_records(spark, str(tmp_path / "t.html")).first().record)["content"].strip() == "Điều 1. Tên"
-    with pytest.raises(ValueError):
-        read_records(spark, "x.xyz")
-
-
-def test_docx():
-    import io
-    import zipfile
-
-    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
-    xml = f'<w:document xmlns:w="{w}"><w:body>{p("A")}<w:tbl><w:tr><w:tc>{p("b")}</w:tc><w:tc>{p("b")}</w:tc><w:tc>{p("c")}</w:tc></w:tr></w:tbl></w:body></w:document>'
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", xml)
-    assert docx_text(data.getvalue()) == "A\n[TABLE] b | c"
+    assert recover.logical_lines("Một dòng Điều 5 của Luật.")[1] is True and recover.logical_lines("") == ([], False, 0, 0)
+
+
+def test_both_forms_of_the_grammar_agree(spark):
+    """Column expressions and the pass over lines read the same markers, numbers and transitions."""
+    r = random.Random(10)
+    heads = ["Phần thứ nhất", "CHƯƠNG ii.", "Mục A.", "Tiểu mục 1", "Tiết thứ hai", "Phụ lục số 2", "Phu luc này", "Điều 1.Phạm", "Dieu 12a.", "Khoản 3.", "2a)", "đ1)", "Chương trình", "2023.", "“Điều 5.", "'1.", "a.", "Điểm b)", "x", "", "12", "Điều thứ 7:", "ĐIỀU 9"]
+    lines = sorted({(r.choice(["", " ", "“ "]) + h + r.choice(["", " Nội dung", " của Luật", ", khoản 1", " 5 triệu", "| ô"])) for h in heads for _ in range(12)})
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("kind", M.line_kind(F.col("line"))).withColumn("g", M.marker_groups(F.col("kind"), F.col("line"))).withColumn("n", M.canonical_number(F.col("kind"), F.col("g.number")))
+    for x in df.collect():
+        m = L.read_marker(x.line)
+        assert (m and (m.kind, m.number, m.raw_number, m.marker, m.rest)) == (x.kind and (x.kind, x.n, x.g.number, x.g.marker, x.g.rest)), x.line
+    numbers = [(n, k) for n in ("1", "12a", "2f", "thứ 1", "a", "đ2", "w", "IV", "iix", "thứ ba", "thu MUOI", "7.", "Đ", "", "0") for k in ("article", "clause", "point", "chapter", "part")]
+    for x in spark.createDataFrame(numbers, "n string, k string").withColumn("v", Q.sequence_value(F.col("n"), F.col("k"))).collect():
+        assert L.value(x.n, x.k) == (x.v and (x.v.base, x.v.suffix)), (x.n, x.k)
+    from lexspark.operators.structure import heading_like
+
+    texts = ["QUY ĐỊNH", "Phạm vi điều chỉnh", "Câu này có dấu chấm.", "", "12 34", "_TÊN_", "a " * 13, "Một: hai", "x" * 181]
+    for x in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.heading_like(F.col("t")).alias("h"), T.slug(F.col("t")).alias("s")).collect():
+        assert (heading_like(x.t), L.slug(x.t)) == (x.h, x.s), x.t
+
+
+def test_normalising_only_where_needed_changes_nothing(spark):
+    """The gate before the steps lets every text through that they would change."""
+    r = random.Random(12)
+    parts = ["a", "Luật", " ", "  ", "\n", "\n\n\n", "\r\n", "\t", "# ", "\n## x", "﻿", " ", "c ủa", "C ỦA", "m\nục", "CÔNG BÁO/Số 1", "\n Công  Báo / Số 2\n", "\x0b", "\x0c", "\x85", " ", "."]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 7))) for _ in range(2000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_composed(F.col("t")).alias("gated"), T.normalize_composed(F.concat(F.lit("\r\n"), F.col("t"))).alias("always")).collect()
+    assert all(x.gated == x.always for x in got)
+
+
+def test_what_is_exported():
+    assert lexspark.parse_structure is parse_structure and {"parse_documents", "extract_cross_references"} <= set(lexspark.__all__)
+    with pytest.raises(AttributeError):
+        lexspark.nothing  # noqa: B018
