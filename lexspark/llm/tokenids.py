@@ -34,11 +34,11 @@ BLOCK = 65536
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: bytes of a worker's newer cache generation; when it is full it replaces the older one
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 64 << 20
 #: characters of the longest pretoken that is cached
 LONG = 64
 #: bytes of texts that are encoded at once (a longer text alone)
-LOT = 4 << 20
+LOT = 8 << 20
 
 MAGIC = b"BPS1"
 
@@ -239,7 +239,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], key: pa.DataType, tokenizer: str,
         return out
 
     for keys, texts in _lots(batches):
-        common.released()
         for doc_id, own in zip(keys.to_pylist(), enc.encode(texts)):
             data, at, began = np.append(own, end), 0, first + held
             total = len(data)
