@@ -6,33 +6,38 @@ many times its size, so suffixes are sorted only where an earlier copy is possib
 
 1. *Anchors.*  In every window of LENGTH bytes the q-gram with the least hash is an anchor, so equal
    windows have equal anchors; about one byte in 35 is one.  An anchor's context is all that the windows
-   choosing it can cover.  Of anchors with one (q-gram, context) hash all but the earliest are
-   copies in full: their contexts are removed.  This is settled inside map tasks first.
-2. *Edges.*  What is left in q-gram groups with several contexts: the first of each context.  Their context
-   bytes meet by q-gram, and a suffix array of them is refined with bucket pointers: buckets of initial
-   8-grams are named, then sorted on the pair (own bucket, bucket of a later offset) at offsets 8, 16, 32
-   and LENGTH - 64, each round using the names that the round before refined.  Strings of LENGTH bytes
-   in one final bucket are equal; all but the earliest are removed.
+   choosing it can cover.  Of anchors with one q-gram and one context all but the earliest are
+   copies in full: their contexts are removed.  This is settled inside map tasks first.  Here strings are told
+   by hashes: 64 bits of the q-gram, and among those of one q-gram 64 bits of the context.
+2. *Edges.*  What is left in q-gram groups with several contexts: the first of each context.  Their bytes meet by
+   q-gram, in lots of bounded size, and a lot's suffixes are sorted: buckets of initial 8-grams are refined by
+   sorting on the pointer at a later offset to the bucket there.  Only unresolved buckets are refined, a few at a time, and
+   their parts' names are written at once, so those refined after them sort by the newer names.  Neighbours
+   in that order are compared byte by byte; of equal strings all but the earliest are removed.
 3. The intervals of both are united per document.
 
-Q-gram groups with more than ``CAP`` edges aren't sorted in one task: their windows are hashed
-(128 bits) and the earliest of each is found by a grouped minimum with partial aggregation.
+A q-gram of more than ``CAP`` edges is split by longer strings: the windows of its contexts are dealt into two halves by their
+offset, each half under all bytes that its windows have in common, and again if that isn't enough.  Halves of one
+window each hold equal strings only, whose earliest is a grouped minimum.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH = 100
 Q = 32
+#: edges of a q-gram that are sorted together; more are split by longer strings
 CAP = 20_000
 #: bytes of contexts that are sorted at once, beyond which a task goes on with the next q-grams
 SORTED_BYTES = 2 << 20
@@ -89,88 +94,150 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, q: int = Q
         yield grams[at], context, text, at + base - starts[text]
 
 
-def _order(h: np.ndarray, c: np.ndarray, k: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted without repeats; whether a row is its (h, c)'s first, and its h's first."""
-    order = np.lexsort((pos, k, c, h))
-    h, c, k, pos = h[order], c[order], k[order], pos[order]
-    new_h = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]]) if len(h) else new_h
-    same = np.concatenate([[False], (k[1:] == k[:-1]) & (pos[1:] == pos[:-1])]) & ~new_c if len(h) else new_h
-    keep = ~same
-    return order[keep], new_c[keep], new_h[keep]
-
-
 _ANCHOR = "h bigint, c bigint, k bigint, pos bigint, sure boolean"
+_MARK = "h bigint, k bigint, pos bigint, sure boolean"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of texts ``(k, base, t)``; a place in a text is ``base`` plus the byte's number."""
     for batch in batches:
-        raw = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
-        ids, data, ends = batch.column(0).to_numpy(), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
+        raw = [t.encode() if t else b"" for t in batch.column(2).to_pylist()]
+        ids, base = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
         got = list(anchors(data, ends)) if len(data) >= LENGTH else []
         if not got:
             continue
         h, c, text, pos = (np.concatenate(x) for x in zip(*got))
-        h, c, k = h.view(np.int64), c.view(np.int64), ids[text]
-        order, first, _ = _order(h, c, k, pos)
-        h, c, k, pos = h[order].copy(), c[order], k[order], pos[order]
+        h, c, k, pos = h.view(np.int64), c.view(np.int64), ids[text], pos + base[text]
+        order = np.lexsort((pos, k, c, h))
+        h, c, k, pos = h[order], c[order], k[order], pos[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        again = np.concatenate([[False], (k[1:] == k[:-1]) & (pos[1:] == pos[:-1])]) & ~new  # a row that is there twice
+        h, c, k, pos, sure = h[~again], c[~again], k[~again], pos[~again], ~new[~again]
         # a copy of what this task has seen is settled; it needs no company, so it is dealt at random
-        h[~first] = _mixed((k * 31 + pos)[~first].view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(k), pa.array(pos), pa.array(~first)], names=["h", "c", "k", "pos", "sure"])
+        h = np.where(sure, _mixed((k * 31 + pos).view(np.uint64)).view(np.int64), h)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(k), pa.array(pos), pa.array(sure)], names=["h", "c", "k", "pos", "sure"])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    h, c, k, pos, sure = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(5))
-    names = ["h", "k", "pos", "sure"]
-    yield pa.RecordBatch.from_arrays([pa.array(h[sure]), pa.array(k[sure]), pa.array(pos[sure]), pa.array(sure[sure])], names=names)
-    h, c, k, pos = h[~sure], c[~sure], k[~sure], pos[~sure]
-    order, first, new_h = _order(h, c, k, pos)
-    group = np.cumsum(new_h) - 1
-    several = np.bincount(group, first, len(group))[group] > 1 if len(group) else np.zeros(0, bool)
-    keep = ~first | several
-    order, first = order[keep], first[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(k[order]), pa.array(pos[order]), pa.array(~first)], names=names)
+    """Copies and edges of anchors sorted by (sure, h, c, k, pos); of a q-gram that goes on in the next batch one row is held."""
+    last: tuple | None = None  # (h, c, k, pos) of the row before
+    head: tuple | None = None  # (h, k, pos) of a q-gram's first row, while it has but one context
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, c, k, pos, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        settled = int(sure.sum())  # false comes first
+        n = len(h) - settled
+        before = last or (0, 0, 0, 0)
+        prior = [np.concatenate([[v], x[:-1]]) for v, x in zip(before, (h, c, k, pos))]
+        new_h, new_c, same = h != prior[0], c != prior[1], (k == prior[2]) & (pos == prior[3])
+        if last is None:
+            new_h[0] = True
+        new_h, new_c, same = new_h[:n], (new_c[:n] | new_h[:n]), same[:n]
+        copy = ~new_c & ~same
+        group = np.cumsum(new_h)  # 0: the q-gram of the batch before
+        several = np.zeros(int(group[-1]) + 1 if n else 1, bool)
+        several[group[new_c & ~new_h]] = True
+        edge = (new_c & ~new_h) | (new_h & several[group])
+        rows = [np.flatnonzero(copy), np.flatnonzero(edge)]
+        held = []
+        if head is not None and n:
+            if several[0]:
+                held.append(head)
+            head = None if several[0] or group[-1] > 0 else head
+        if n and new_h.any() and not several[-1]:
+            at = int(np.flatnonzero(new_h)[-1])
+            head = (h[at], k[at], pos[at])
+        elif n and new_h.any():
+            head = None
+        at = np.concatenate([*rows, np.arange(n, len(h))])
+        out = [np.concatenate([x[at], np.array([v[i] for v in held], np.int64)]) for i, x in enumerate((h, k, pos))]
+        flags = np.concatenate([np.ones(len(rows[0]), bool), np.zeros(len(rows[1]), bool), np.ones(len(h) - n, bool), np.zeros(len(held), bool)])
+        last = (h[n - 1], c[n - 1], k[n - 1], pos[n - 1]) if n else last
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), pa.array(flags)], names=["h", "k", "pos", "sure"])
+
+
+_EDGE = "h bigint, k bigint, start bigint, left int, context binary, low int, high int"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(k, base, t, edges)`` every edge with its bytes: ``left`` of them stand before the anchor, windows begin up to ``high`` - 1 before it."""
     wide = LENGTH - Q
     for batch in batches:
         hs, ks, starts, lefts, parts = [], [], [], [], []
-        for k, text, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for k, base, text, edges in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = text.encode()
             for e in edges:
-                s = max(0, e["pos"] - wide)
+                at = e["pos"] - base
+                s = max(0, at - wide)
                 hs.append(e["h"])
                 ks.append(k)
-                starts.append(s)
-                lefts.append(e["pos"] - s)
-                parts.append(raw[s : e["pos"] + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int64()), pa.array(lefts, pa.int32()), pa.array(parts, pa.binary())], names=["h", "k", "start", "left", "context"])
+                starts.append(s + base)
+                lefts.append(at - s)
+                parts.append(raw[s : at + LENGTH])
+        n = len(hs)
+        columns = [pa.array(hs, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int64()), pa.array(lefts, pa.int32()), pa.array(parts, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, wide + 1, np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _EDGE.split(", ")])
+
 
+def suffix_order(data: np.ndarray, depth: int, parts: int = 4) -> np.ndarray:
+    """Positions of ``data`` so that suffixes with ``depth`` bytes in common are neighbours, by bucket-pointer refinement.
 
-def bucket_pointers(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Final buckets of the strings of ``length`` (64 to 128) bytes at ``starts``: equal if and only if the strings are."""
-    v = data.astype(np.uint64)
-    for k in (1, 2, 4):  # initial 8-grams
+    A bucket holds suffixes that begin alike; its name is the place of its first suffix in the order.  A round takes buckets
+    of more than one suffix, sorts each by the names that its suffixes have further on, and doubles how much is alike.
+    It does so in ``parts``, and a part's new names are written before the next part is sorted.
+    """
+    n, alike = len(data), 8
+    v = np.concatenate([data, np.zeros(alike, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
         v = (v[:-k] << np.uint64(8 * k)) | v[k:]
-    pointer = np.unique(v, return_inverse=True)[1].astype(np.uint64)
-    offset = 8
-    while offset < 64:  # refine on the bucket of a later offset; the next round uses the refined names
-        pair = (pointer[:-offset] << np.uint64(32)) | pointer[offset:]
-        pointer = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        offset *= 2
-    pair = (pointer[starts] << np.uint64(32)) | pointer[starts + length - 64]
-    return np.unique(pair, return_inverse=True)[1]
-
-
-def _windows(left: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context number, offset) of every window that the contexts' anchors stand for."""
-    n = np.maximum(np.minimum(left, sizes - LENGTH) + 1, 0)
+    v = v[:n]
+    order = np.argsort(v, kind="stable")
+    new = np.concatenate([[True], v[order][1:] != v[order][:-1]])
+    pointer = np.zeros(n + 1, np.int64)  # what is behind the end stands before all
+    pointer[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
+    slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(slots) and alike < depth:
+        kept = []
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(pointer[order[slots]]) != 0]))
+        cuts = np.unique(np.concatenate([heads[np.searchsorted(heads, len(slots) * np.arange(1, parts) // parts, "left").clip(max=len(heads) - 1)], [0, len(slots)]]))
+        for lo, hi in zip(cuts, cuts[1:]):
+            mine = slots[lo:hi]
+            at = order[mine]
+            bucket, later = pointer[at], pointer[np.minimum(at + alike, n)]
+            by = np.lexsort((later, bucket))
+            at, bucket, later = at[by], bucket[by], later[by]
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])])
+            order[mine] = at
+            pointer[at] = np.maximum.accumulate(np.where(new, mine + 1, 0))
+            kept.append(mine[~(new & np.append(new[1:], True))])
+        slots, alike = np.concatenate(kept), 2 * alike
+    return order
+
+
+def equal_strings(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Numbers for the strings of ``length`` bytes at ``starts``, equal if and only if the strings are: neighbours in suffix order are compared byte by byte."""
+    order = suffix_order(data, length)
+    place = np.empty(len(data), np.int64)
+    place[order] = np.arange(len(data))
+    by = np.argsort(place[starts])
+    sorted_ = starts[by]
+    same = np.ones(max(0, len(sorted_) - 1), bool)
+    for i in range(length):
+        left = np.flatnonzero(same)
+        same[left] = data[sorted_[left] + i] == data[sorted_[left + 1] + i]
+    out = np.empty(len(starts), np.int64)
+    out[by] = np.cumsum(np.concatenate([[0], ~same])) if len(starts) else 0
+    return out
+
+
+def _windows(left: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context number, offset) of every window that begins from ``low`` to ``high`` - 1 bytes before its context's anchor."""
+    first = np.maximum(0, left - high + 1)
+    n = np.maximum(np.minimum(left - low, sizes - LENGTH) - first + 1, 0)
     which = np.repeat(np.arange(len(left)), n)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
 
 
 def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -201,12 +268,12 @@ def _sorted_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sorted_lot(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k, start, left = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (1, 2, 3))
+    k, start, left, low, high = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (1, 2, 3, 5, 6))
     parts = [p for b in got for p in b.column(4).to_pylist()]
     sizes = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts) + bytes(LENGTH), np.uint8)
-    which, offset = _windows(left, sizes)
-    bucket = bucket_pointers(data, (np.cumsum(sizes) - sizes)[which] + offset)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    which, offset = _windows(left, sizes, low, high)
+    bucket = equal_strings(data, (np.cumsum(sizes) - sizes)[which] + offset)
     at, owner = start[which] + offset, k[which]
     order = np.lexsort((at, owner, bucket))
     head = np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, bool)
@@ -221,22 +288,42 @@ def _sorted_lot(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[which[begin]]), pa.array(at[begin]), pa.array(at[last] + LENGTH)], names=["k", "s", "e"])
 
 
-def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of q-grams over the cap, twice: the windows that begin nearer to the anchor and those that begin further before it.
+
+    ``h`` becomes a hash of the bytes that all windows of a half hold; it only decides who meets whom.  A half whose common
+    bytes a context lacks has no window there.
+    """
     for b in batches:
-        rows = [(hashlib.blake2b(c[o : o + LENGTH], digest_size=16).digest(), k, s + o) for k, s, left, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))) for o in range(min(left, len(c) - LENGTH) + 1)]
-        w, k, at = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(k, pa.int64()), pa.array(at, pa.int64())], names=["w", "k", "at"])
+        rows = []
+        for h, k, start, left, context, low, high in zip(*(b.column(i).to_pylist() for i in range(7))):
+            middle = (low + high) // 2
+            for a, z in ((low, middle), (middle, high)):
+                begin, end = left - a, left - z + 1 + LENGTH  # all windows lie over these bytes
+                if a < z and begin >= 0 and end <= len(context):
+                    digest = hashlib.blake2b(b"%d %d %d " % (h, a, z) + context[begin:end], digest_size=8).digest()
+                    rows.append((int.from_bytes(digest, "little", signed=True), k, start, left, context, a, z))
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in _EDGE.split(", ")])
 
 
 def _edge_intervals(contexts: DataFrame, cap: int) -> DataFrame:
-    large = common.written(contexts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("h"), "suffix-large")
-    if large.isEmpty():
-        return common.mapped(contexts.repartition("h").sortWithinPartitions("h"), _sorted_edges, "k bigint, s bigint, e bigint")
-    rest = common.mapped(contexts.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h"), _sorted_edges, "k bigint, s bigint, e bigint")
-    windows = common.mapped(contexts.join(large, "h", "left_semi"), _hashed_windows, "w binary, k bigint, at bigint")
-    least = windows.groupBy("w").agg(F.min(F.struct("k", "at")).alias("least"))
-    late = windows.join(least, "w").filter(F.struct("k", "at") > F.col("least"))
-    return rest.unionByName(late.select("k", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e")))
+    """Intervals of late windows; q-grams over the cap are halved until they aren't, or until a half is one window."""
+    sort = lambda df: common.mapped(df.repartition("h").sortWithinPartitions("h"), _sorted_edges, "k bigint, s bigint, e bigint")
+    found, todo = [], contexts
+    while True:
+        sizes = todo.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("wide")).filter(F.col("n") > cap)
+        large = common.written(sizes.select("h", (F.col("wide") > 1).alias("more")), "suffix-large")
+        if large.isEmpty():
+            found.append(sort(todo))
+            return functools.reduce(DataFrame.unionByName, found)
+        found.append(sort(todo.join(large, "h", "left_anti")))
+        windows = todo.join(large.filter("not more"), "h", "left_semi").select("k", (F.col("start") + F.col("left") - F.col("low")).alias("s"), F.substring("context", F.col("left") - F.col("low") + 1, F.lit(LENGTH)).alias("w")).filter(F.length("w") == LENGTH)
+        least = windows.groupBy("w").agg(F.min(F.struct("k", "s")).alias("least"))
+        late = windows.join(least, "w").filter(F.struct("k", "s") > F.col("least"))
+        found.append(late.select("k", "s", (F.col("s") + LENGTH).alias("e")))
+        todo = common.written(common.mapped(todo.join(large.filter("more"), "h", "left_semi"), _halved, _EDGE), "suffix-halves")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +332,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = batch.column("spans")
         bounds, values = spans.offsets.to_numpy(), spans.values
         s_all, e_all = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for i, text in enumerate(batch.column("t").to_pylist()):
+        for i, (text, base) in enumerate(zip(batch.column("t").to_pylist(), batch.column("base").to_pylist())):
             raw = text.encode()
-            s, e = s_all[bounds[i] : bounds[i + 1]], e_all[bounds[i] : bounds[i + 1]]
+            s, e = s_all[bounds[i] : bounds[i + 1]] - base, e_all[bounds[i] : bounds[i + 1]] - base
             kept, at, gone, runs = hashlib.sha256(), 0, 0, []
             if len(s):
                 s, e = np.maximum(s, 0), np.minimum(e, len(raw))
@@ -266,29 +353,46 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+#: places in texts of one id differ above these bits
+_BITS = 40
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    """``rows (k, th)`` of ids with several texts: ``k, th, base``, a multiple of 2 ** ``_BITS`` by the order of the texts' hashes."""
+    several = rows.groupBy("k").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low != high").select("k")
+    texts = rows.join(several, "k", "left_semi").distinct()
+    return texts.withColumn("base", (F.row_number().over(W.partitionBy("k").orderBy("th")) - 1) * F.lit(1 << _BITS))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row; spans are the removed byte runs.
 
     Nulls: a null text is empty.  A row without an id counts as smaller than all others, and is ordered
     among such rows by a hash of its text.  Ties: rows repeated whole aren't earlier than each other, so both are
-    judged against the rest alike.  An id must not stand for two different texts.  Ids must be integers.
-    Texts of under 100 bytes lose nothing.  An empty table gives no rows.
+    judged against the rest alike; different texts of one id are documents of their own, the one of the smaller hash
+    earlier.  Ids must be integers.  Texts of under 100 bytes lose nothing.  An empty table gives no rows.
     """
     common.small_batches(docs)
     key, text = common.column(docs, id_col), common.column(docs, text_col).cast("string")
     hidden = F.lit(-(1 << 62)) + F.xxhash64(text).bitwiseAND(F.lit((1 << 60) - 1))
-    name = docs.schema[id_col].dataType.simpleString()
+    name = docs.select(key).schema[0].dataType.simpleString()
     rows = docs.select(key.alias("doc_id"), F.coalesce(key.cast("long"), hidden).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    found = common.mapped(rows.select("k", "t"), _anchor_rows, _ANCHOR)
-    marks = common.written(common.mapped(found.repartition("h"), _marks, "h bigint, k bigint, pos bigint, sure boolean"), "suffix-marks")
-    edges = marks.filter("not sure").groupBy("k").agg(F.collect_list(F.struct("h", "pos")).alias("edges"))
-    contexts = common.mapped(rows.join(edges, "k").select("k", "t", "edges"), _contexts, "h bigint, k bigint, start bigint, left int, context binary")
-    contexts = common.written(contexts, "suffix-contexts")
-    sure = marks.filter("sure").select("k", (F.col("pos") - (LENGTH - Q)).alias("s"), (F.col("pos") + LENGTH).alias("e"))
-    spans = common.written(sure.unionByName(_edge_intervals(contexts, cap)).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
+    variants = common.written(_variants(rows.select("k", F.xxhash64("t").alias("th"))), "suffix-variants")
+    if variants.isEmpty():
+        rows = rows.select("doc_id", "k", F.lit(0).cast("long").alias("base"), "t")
+    else:
+        rows = rows.withColumn("th", F.xxhash64("t")).join(variants, ["k", "th"], "left").select("doc_id", "k", F.coalesce("base", F.lit(0)).cast("long").alias("base"), "t")
+    base = F.shiftleft(F.shiftright("pos", _BITS), _BITS).alias("base")
+    found = common.mapped(rows.select("k", "base", "t"), _anchor_rows, _ANCHOR)
+    marks = common.written(common.mapped(found.repartition("h").sortWithinPartitions("sure", "h", "c", "k", "pos"), _marks, _MARK), "suffix-marks")
+    edges = marks.filter("not sure").groupBy("k", base).agg(F.collect_list(F.struct("h", "pos")).alias("edges"))
+    contexts = common.written(common.mapped(rows.join(edges, ["k", "base"]).select("k", "base", "t", "edges"), _contexts, _EDGE), "suffix-contexts")
+    sure = marks.filter("sure").select("k", "pos", (F.col("pos") - (LENGTH - Q)).alias("s"), (F.col("pos") + LENGTH).alias("e"))
+    late = _edge_intervals(contexts, cap).select("k", F.col("s").alias("pos"), "s", "e")
+    spans = common.written(sure.unionByName(late).groupBy("k", base).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix-spans")
     common.dropped(marks, contexts)
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    joined = rows.join(spans.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2"), "left").select("doc_id", "t", F.coalesce("spans", none).alias("spans"))
+    joined = rows.join(spans, ["k", "base"], "left").select("doc_id", "base", "t", F.coalesce("spans", none).alias("spans"))
     return common.mapped(joined, _removed, f"doc_id {name}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s:bigint,e:bigint>>")
 
 

@@ -46,7 +46,7 @@ def test_every_operator_takes_odd_rows_and_none(spark, docs):
         assert run(docs.limit(0)).count() == 0, name
     for keep in (simhash.keep_first, mixing.mixed, lambda d: decontam.keep_clean(d, items), lambda d: langid.keep_identified(d, model)):
         assert keep(docs).columns == docs.columns and keep(docs.limit(0)).count() == 0
-    assert suffixdedup.remove_repeats(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).count() == 8
+    assert suffixdedup.remove_repeats(docs).count() == 11
     assert suffixdedup.remove_repeats(docs.limit(0)).count() == 0
     chats = spark.createDataFrame([(1, 0, "user", None), (1, 0, None, "a"), (None, None, "x", "y")], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(chats).count() == 2 and chat.format_chats(chats.limit(0)).count() == 0
@@ -118,27 +118,75 @@ def test_token_ids(spark):
 
 
 def removed(rows):
-    seen, out = set(), {}
-    for d, t in sorted(rows):
+    """By the contract: (bytes, removed bytes, runs, digest of the rest); texts of one id in the order of their hashes."""
+    seen, out = set(), []
+    for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - 99):
             if b[i : i + 100] in seen:
                 gone[i : i + 100] = b"\1" * 100
             seen.add(b[i : i + 100])
-        out[d] = (len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("lot,cap", [(2 << 20, 20_000), (2000, 20_000), (2 << 20, 2)])
+def after_removal(spark, rows, **options):
+    found = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    return sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found)
+
+
+@pytest.mark.parametrize("lot,cap", [(2 << 20, 20_000), (2000, 20_000), (2 << 20, 12), (2 << 20, 1)])
 def test_suffix_dedup(spark, monkeypatch, lot, cap):
+    """With lots of few bytes, and with q-grams over the cap, halved until they aren't."""
     monkeypatch.setattr(suffixdedup, "SORTED_BYTES", lot)
     r = random.Random(5)
     passages = [prose(50 + i, 40) for i in range(5)]
     rows = [(d, prose(d, r.randint(0, 60)) + "".join(r.choice(passages)[: r.randint(50, 250)] + prose(d + 9, 3) for _ in range(r.randint(0, 3)))) for d in range(80)]
     rows += [(80, None), (81, "x" * 1500), (82, rows[3][1])]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cap=cap).collect()}
-    assert got == removed(rows)
+    assert after_removal(spark, rows, cap=cap) == sorted(removed(rows))
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    long = prose(77, 220_000)
+    assert len(long.encode()) > (1 << 20) + 20_000
+    rows = [(1, prose(1, 300)), (2, long[:900_000] + prose(1, 300) + long[900_000:]), (3, prose(3, 50) + long[-5000:-100] + prose(4, 50)), (4, long[1000:1_200_000])]
+    assert after_removal(spark, rows) == sorted(removed(rows))
+
+
+def test_suffix_dedup_of_one_id_with_several_texts(spark):
+    one, two = prose(1, 60), "short"
+    rows = [(1, one + " | " + one), (1, two), (2, one), (2, one), (None, one), (None, one + two), (3, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.xxhash64("text").alias("h"), F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)).alias("hidden")).collect()
+    order = sorted(texts, key=lambda x: (x.doc_id is not None, x.doc_id or x.hidden, x.h))
+    want, done = [], {}
+    for x in order:  # rows repeated whole are judged alike
+        key = (x.doc_id, x.text)
+        if key not in done:
+            done[key] = None
+    for (d, t), w in zip(done, removed(list(done))):
+        want += [w] * sum((x.doc_id, x.text) == (d, t) for x in texts)
+    assert sorted(after_key(x) for x in want) == sorted(after_key(tuple(x)) for x in suffix_rows(spark, rows))
+
+
+def after_key(x):
+    return tuple(map(repr, x))
+
+
+def suffix_rows(spark, rows):
+    return suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+
+
+def test_suffix_order_keeps_strings_that_begin_alike_together():
+    r = random.Random(1)
+    for _ in range(60):
+        base = "".join(r.choice(r.choice(["ab", "abc\0", "abcdefgh"])) for _ in range(r.randint(100, 500)))
+        data = (base + base[r.randint(0, 50) :] + base[:150]).encode()
+        starts = sorted(r.sample(range(len(data) - 99), 60))
+        got, first = suffixdedup.equal_strings(np.frombuffer(data, np.uint8), np.array(starts)), {}
+        want = [first.setdefault(data[s : s + 100], i) for i, s in enumerate(starts)]
+        assert len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
 
 
 def test_simhash_components(spark):
