@@ -7,8 +7,10 @@ documents (for the benchmark's vocabulary).  Document positions that hold some w
 prefix token become candidates; the positional bound (the window must lie inside the document
 at the offset of its token) and the length bound come next, and the words are then compared.
 
-At scale: documents are scanned, never shuffled with their text; the prefix table is joined by
-broadcast only if it has at most ``MAX_BROADCAST`` rows, else by a shuffle on the token.
+At scale: while the windows take at most ``MAX_BROADCAST`` bytes they are broadcast, and documents are scanned without
+being shuffled.  Beyond it tokens are counted before they meet the vocabulary, narrow rows (document, position,
+token, hash of the next token) meet the prefixes by token, and candidates meet their document's words once
+to be compared: all of it grows with the documents' words and the candidates, no matter how long a document is.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-MAX_BROADCAST = 200_000
+#: bytes of windows, as Spark holds them, up to which they are broadcast
+MAX_BROADCAST = 64 << 20
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,40 +33,63 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, window: int) -> DataFrame:
-    """Distinct windows ``(win, items)``; ``items`` are ids as strings."""
+    """Every item's windows, ``(item, win)``."""
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - F.lit(window) + 1, F.lit(1)))
-    runs = items.filter(n > 0).select("item", F.explode(starts).alias("at"), "w").select("item", F.expr(f"slice(w, at, {window})").alias("win"))
-    return runs.groupBy("win").agg(F.collect_set("item").alias("items"))
+    runs = items.filter(n > 0).select("item", F.explode(starts).alias("at"), "w")
+    return runs.select("item", F.expr(f"slice(w, at, {window})").alias("win")).distinct()
 
 
-def prefix_table(docs: DataFrame, items: DataFrame, window: int, max_broadcast: int) -> tuple[DataFrame, bool]:
-    """``token, offset, len, win, items`` by each window's rarest token; whether it may be broadcast."""
-    wins = common.written(windows(items, window).withColumn("id", F.monotonically_increasing_id()), "decontam-windows")
-    small = wins.count() <= max_broadcast
-    hint = F.broadcast if small else (lambda x: x)
+def prefix_table(docs: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
+    """``token, offset, next, win, id`` by the rarest token of each window ``(id, win)``; ``next`` is a hash of the token behind it.
+
+    Windows with a token that no document has are left out.
+    """
     vocabulary = wins.select(F.explode("win").alias("token")).distinct()
-    counts = docs.select(F.explode("w").alias("token")).join(hint(vocabulary), "token").groupBy("token").count()
+    tokens = docs.select(F.explode("w").alias("token"))
+    if small:
+        counts = tokens.join(F.broadcast(vocabulary), "token").groupBy("token").count()
+    else:
+        counts = tokens.groupBy("token").count().join(vocabulary, "token")
     placed = wins.select("id", F.posexplode("win").alias("offset", "token")).join(counts, "token", "left")
     rarest = placed.groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "offset")).alias("r"))
-    table = wins.join(rarest.filter("r.n > 0"), "id").select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), F.size("win").alias("len"), "win", "items")
-    return common.written(table, "decontam-prefix"), small
+    after = F.get("win", F.col("r.offset") + 1)
+    table = wins.join(rarest.filter("r.n > 0"), "id").select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), F.when(after.isNotNull(), F.xxhash64(after)).alias("next"), "win", "id")
+    return common.written(table, "decontam-prefix")
+
+
+def _scanned(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Occurrences ``(doc_id, th, start, len, id)`` with the windows broadcast."""
+    at = F.col("pos") - F.col("offset")
+    words_ = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "token"))
+    inside = words_.join(F.broadcast(table), "token").filter((at >= 0) & (at + F.size("win") <= F.size("w")))
+    return inside.filter(F.slice("w", at + 1, F.size("win")) == F.col("win")).select("doc_id", "th", at.alias("start"), F.size("win").alias("len"), "id")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+def _shuffled(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The same with windows and words meeting by token."""
+    at = F.col("pos") - F.col("offset")
+    pairs = F.transform("w", lambda x, i: F.struct(x.alias("token"), F.xxhash64(F.get("w", i + 1)).alias("behind")))
+    narrow = rows.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(pairs).alias("pos", "x")).select("doc_id", "th", "n", "pos", "x.token", "x.behind")
+    near = narrow.join(table, "token").filter((at >= 0) & (at + F.size("win") <= F.col("n")) & (F.col("next").isNull() | (F.col("next") == F.col("behind"))))
+    asked = near.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct(at.alias("start"), F.size("win").alias("len"), "id", "win")).alias("asked"))
+    met = rows.dropDuplicates(["doc_id", "th"]).join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")))
+    held = F.filter("asked", lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["win"])
+    return met.select("doc_id", "th", F.explode(held).alias("x")).select("doc_id", "th", "x.start", "x.len", "x.id")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, max_broadcast: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents ``(doc_id, th, w)``, occurrences of windows in them, and the items of each window ``(id, item)``."""
     text = common.column(docs, text_col).cast("string")
     rows = docs.select(common.column(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("th"), words(text).alias("w"))
     items = benchmark.select(common.column(benchmark, item_col).cast("string").alias("item"), words(common.column(benchmark, item_text_col).cast("string")).alias("w"))
-    table, small = prefix_table(rows, items, window, max_broadcast)
-    at = F.col("pos") - F.col("offset")
-    hits = (
-        rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "token"))
-        .join(F.broadcast(table) if small else table, "token")
-        .filter((at >= 0) & (at + F.col("len") <= F.size("w")))
-        .filter(F.slice("w", at + 1, F.col("len")) == F.col("win"))
-        .select("doc_id", "th", F.struct(at.alias("start"), "len").alias("span"), "items")
-    )
-    return rows, hits
+    owned = common.written(windows(items, window), "decontam-windows")
+    wins = common.written(owned.select("win").distinct().withColumn("id", F.monotonically_increasing_id()), "decontam-ids")
+    # 16 bytes and the rounded-up string for each word, and what a row and its place in a hash table take
+    size = wins.agg(F.sum(F.aggregate("win", F.lit(128).cast("long"), lambda n, x: n + F.octet_length(x) + 24))).first()[0] or 0
+    small = size <= max_broadcast
+    table = prefix_table(rows, wins, small)
+    return rows, (_scanned if small else _shuffled)(rows, table), owned.join(wins, "win").select("id", "item")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -77,12 +103,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     Ties: among equally rare tokens the smaller one is the prefix, which changes no result.
     Repeated rows each give a row; empty tables give no rows or no hits.
     """
-    rows, hits = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, max_broadcast)
-    found = hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(
-        F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    rows, hits, owners = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, max_broadcast)
+    hits = common.written(hits, "decontam-hits")
+    spans = hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    named = hits.select("doc_id", "th", "id").distinct().join(owners, "id").groupBy(F.col("doc_id").alias("nd"), F.col("th").alias("nt")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
-    found = found.withColumn("n_hit", covered)
+    found = spans.withColumn("n_hit", covered).join(named, F.col("d").eqNullSafe(F.col("nd")) & (F.col("t") == F.col("nt")), "left")
     return (
         rows.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
         .join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
@@ -95,8 +121,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of any item occurs."""
-    _, hits = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, max_broadcast)
+    """The rows of ``docs``, all columns, in which no window of any item occurs.
+
+    Nulls: a null text has no words and stays, as do rows without an id.  Rows repeated whole stay or go together; equal texts of
+    different ids are judged alike.  An empty benchmark or table takes nothing away.
+    """
+    _, hits, _ = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, max_broadcast)
     keys = common.written(hits.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_hash")).distinct(), "decontam-hit")
     return common.semi(docs, keys, id_col, text_col, anti=True)
 

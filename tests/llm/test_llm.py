@@ -189,6 +189,29 @@ def test_suffix_order_keeps_strings_that_begin_alike_together():
         assert len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
 
 
+def test_decontamination_by_broadcast_and_by_shuffle(spark, same):
+    """Beyond the bound of a broadcast windows and words meet by token, with the same result; rare, common and repeated words."""
+    d = common.documents(spark, SF)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    out = decontam.decontaminate(d, items, max_broadcast=0)
+    same(out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")), decontam.OP9_SQL)
+    r = random.Random(4)
+    texts = [(i, " ".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for i in range(40)] + [(3, "A b. a!"), (None, "a b a a"), (None, None), (50, "b " * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("token", F.lit("x"))
+    bench = spark.createDataFrame([(1, "a b b a"), (2, "a b a"), (None, "b b b b b b"), (3, ""), (4, "zz a"), (5, "b a b b a b a a b b a b")], "item_id long, text string")
+    key = lambda df: sorted((repr(x.doc_id), x.n_words, x.n_hit, x.n_items, tuple(x.items), tuple(map(tuple, x.spans or []))) for x in df.collect())
+    got = key(decontam.decontaminate(docs, bench, window=5))
+    assert got == key(decontam.decontaminate(docs, bench, window=5, max_broadcast=0))
+    for d_, n, n_hit, n_items, items_, spans in got:
+        assert n_items == len(items_) and n_hit == len({p for s, k in spans for p in range(s, s + k)}) and n_hit <= n, d_
+    by_hand = ["a b b a", "a b a", "b b b b b", "b a b b a", "a b b a b", "b b a b a", "b a b a a", "a b a a b", "b a a b b", "a a b b a"]
+    text = dict(texts[:40])
+    want = {i: sum(any(p <= q < p + len(w.split()) for w in by_hand for p in range(len(t.split())) if t.split()[p : p + len(w.split())] == w.split()) for q in range(len(t.split()))) for i, t in text.items()}
+    assert all(want[int(x[0])] == x[2] for x in got if x[0] not in ("None", "3", "50"))
+    kept = [sorted(repr(x.doc_id) for x in decontam.keep_clean(docs, bench, window=5, max_broadcast=m).collect()) for m in (0, 1 << 30)]
+    assert kept[0] == kept[1] == sorted(x[0] for x in got if x[2] == 0)
+
+
 def test_simhash_components(spark):
     rows = queries.queries()["op8_simhash"](spark, SF).collect()
     fps = {int(r.fingerprint, 16) for r in rows}
