@@ -24,8 +24,12 @@ BIN_BITS = 6
 _POS = 30
 _MASK = (1 << _POS) - 1
 _BIN = 33 + _POS - BIN_BITS
+#: rows that are put in order by one task, about
 ROWS_A_BUCKET = 2048
+#: buckets by bounds in the plan; where more are needed each is cut into as many again by bounds in a table
 MAX_BUCKETS = 4096
+#: buckets whose heads are broadcast; more are joined
+MAX_HEADS = 1 << 20
 
 
 def _pair(h: Column, pos: Column) -> Column:
@@ -84,34 +88,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def _below(bounds: Column, most: int) -> Column:
+    """How many of up to ``most`` sorted bounds aren't above ``k``, by bisection."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= F.col("k")), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, extra: list[str]) -> DataFrame:
     """Adds ``next_<c>`` for ``t`` and ``extra`` columns: those of the next row in descending (k, t).
 
-    ``k`` is a long without nulls.  Rows are dealt into buckets between quantiles of k, so the
-    order is global without one task seeing all rows.  A bucket's last row needs the head of the
-    bucket below: that head is dealt to both.  The driver holds a bound for each bucket, at most 4,096.
+    ``k`` is a long without nulls.  Rows are dealt into buckets of about ``ROWS_A_BUCKET`` between quantiles of k, so the
+    order is global without one task seeing all rows.  A bucket's last row needs the head of the bucket below: that head is
+    dealt to both.  Quantiles are values of k other than the least, so every bucket has rows.
     """
-    n, approx = docs.agg(F.count("*"), F.percentile_approx("k", [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)], 20_000)).first()
-    buckets = max(1, min(MAX_BUCKETS, n // ROWS_A_BUCKET))
-    approx = approx or []
-    bounds = sorted({approx[i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)}) if approx else []
-    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    if bounds:
-        depth = len(bounds).bit_length()
-        steps = F.array(*[F.lit(1 << i) for i in reversed(range(depth))])
-        bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(longs(bounds), at + step - 1) <= F.col("k")), at + step).otherwise(at))
-    else:
-        bucket = F.lit(0)
-    dealt = docs.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["k"] for r in dealt.select("k", "bucket").groupBy("bucket").agg(F.max("k").alias("k")).collect()}
-    order = sorted(heads) or [0]
-    above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    size = len(bounds) + 1
-    head, target = longs([heads.get(b, 0) for b in range(size)]), longs([above.get(b, 0) for b in range(size)])
-    place = lambda b, tail: F.struct(b.cast("int").alias("bucket"), F.lit(tail).alias("tail"))
-    here = F.array(place(F.col("bucket"), False))
-    both = F.array(place(F.col("bucket"), False), place(F.get(target, F.col("bucket")), True))
-    placed = dealt.withColumn("place", F.explode(F.when(F.get(head, F.col("bucket")) == F.col("k"), both).otherwise(here)))
+    wanted = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    n, low, approx = docs.agg(F.count("*"), F.min("k"), F.percentile_approx("k", wanted, 20_000)).first()
+    buckets = max(1, n // ROWS_A_BUCKET)
+    first = min(MAX_BUCKETS, buckets)
+    bounds = sorted({approx[i * MAX_BUCKETS // first - 1] for i in range(1, first)} - {low}) if approx else []
+    longs = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    dealt = docs.withColumn("bucket", (_below(longs, len(bounds)) if bounds else F.lit(0)).cast("long"))
+    inner = min(MAX_BUCKETS, -(-buckets // MAX_BUCKETS))
+    if inner > 1:
+        spread = dealt.groupBy("bucket").agg(F.percentile_approx("k", [i / inner for i in range(1, inner)]).alias("cuts"), F.min("k").alias("low"))
+        cuts = common.written(spread.select("bucket", F.array_distinct(F.filter("cuts", lambda x: x > F.col("low"))).alias("cuts")), "minhash-cuts")
+        # MAX_BUCKETS rows, of up to as many longs; a plain join beyond 64 MB
+        hint = F.broadcast if len(bounds) * inner <= 8 << 20 else (lambda x: x)
+        dealt = dealt.join(hint(cuts), "bucket").withColumn("bucket", F.col("bucket") * MAX_BUCKETS + _below(F.col("cuts"), inner)).drop("cuts")
+    by_bucket = W.orderBy("bucket")  # one row for each bucket
+    above = F.coalesce(F.lead("bucket").over(by_bucket), F.min("bucket").over(by_bucket.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = common.written(dealt.groupBy("bucket").agg(F.max("k").alias("head")).select("bucket", "head", above.alias("above")), "minhash-heads")
+    hint = F.broadcast if buckets <= MAX_HEADS else (lambda x: x)
+    place = lambda b, tail: F.struct(F.col(b).alias("bucket"), F.lit(tail).alias("tail"))
+    here, both = F.array(place("bucket", False)), F.array(place("bucket", False), place("above", True))
+    placed = dealt.join(hint(heads), "bucket").withColumn("place", F.explode(F.when(F.col("k") == F.col("head"), both).otherwise(here)))
     w = W.partitionBy("place.bucket").orderBy("place.tail", F.desc("k"), F.desc("t"))
     return placed.select(*docs.columns, "place", *(F.lead(c).over(w).alias(f"next_{c}") for c in ["t", *extra])).filter("not place.tail").drop("place")
 

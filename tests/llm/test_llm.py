@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -94,6 +95,45 @@ def test_edits(spark):
     assert len({(rows[d], got[d].fingerprint) for d in rows}) == len(set(rows.values()))
 
 
+def order_minhash(text):
+    """Bins with their 40 bits, by the definition: minimal pairs of (word pair, occurrence) in text order."""
+    import xxhash
+
+    chained = lambda *parts: __import__("functools").reduce(lambda seed, b: xxhash.xxh64_intdigest(b, seed), parts, 42)
+    w = [x for x in re.split("[\x09-\x0d ]+", text) if x]
+    grams = [tuple(w[i : i + 2]) for i in range(max(len(w) - 1, min(len(w), 1)))]
+    seen, bins = {}, {}
+    for pos, g in enumerate(grams):
+        h, n = chained(*(x.encode() for x in g)) >> 31, seen.get(g, 0)
+        seen[g] = n + 1
+        h = h if n == 0 else chained(h.to_bytes(8, "little"), n.to_bytes(4, "little")) >> 31
+        bins.setdefault(h >> 27, []).append((h, pos))
+    out = {}
+    for b, pairs in sorted(bins.items()):
+        kept = sorted(sorted(pairs)[:2], key=lambda x: x[1])
+        out[b] = chained(*(h.to_bytes(8, "little") for h, _ in kept)) >> 24
+    return out
+
+
+@pytest.mark.parametrize("rows,buckets", [(2048, 4096), (20, 4096), (5, 3)])
+def test_order_minhash(spark, monkeypatch, rows, buckets):
+    """Fingerprints and likenesses against the definition, in one bucket, in many, and in buckets of buckets."""
+    monkeypatch.setattr(orderminhash, "ROWS_A_BUCKET", rows)
+    monkeypatch.setattr(orderminhash, "MAX_BUCKETS", buckets)
+    r = random.Random(6)
+    texts = {i * 3: prose(i % 90, r.randint(0, 200)) + " ab" * r.randint(0, 9) for i in range(150)} | {1: "", 2: "x", 451: "a b a b a b", 452: None}
+    order = sorted(texts, reverse=True)
+    got = {x.doc_id: x for x in orderminhash.fingerprint_edits(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, d in enumerate(order):
+        t, after = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = map(order_minhash, (t, edited, after))
+        shown = lambda x: "".join(f"{k << 40 | v:012x}" for k, v in x.items())
+        like = lambda x, y: sum(x.get(k) == v for k, v in y.items()) / len(x.keys() | y.keys()) if x or y else 1.0
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (shown(a), shown(b)) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (got[d].near_edited, got[d].near_next) == pytest.approx((like(a, b), like(a, c)))
+
+
 def test_token_ids(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
