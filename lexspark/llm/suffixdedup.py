@@ -181,34 +181,38 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _EDGE.split(", ")])
 
 
-def suffix_order(data: np.ndarray, depth: int, parts: int = 4) -> np.ndarray:
-    """Positions of ``data`` so that suffixes with ``depth`` bytes in common are neighbours, by bucket-pointer refinement.
+def eight_grams(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position, as numbers that sort like them; zeros stand behind the end."""
+    v = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        v = (v[:-k] << np.uint64(8 * k)) | v[k:]
+    return v
+
+
+def suffix_order(grams: np.ndarray, depth: int, parts: int = 4) -> np.ndarray:
+    """Positions of a string, given its ``eight_grams``, so that suffixes with ``depth`` bytes in common are neighbours, by bucket-pointer refinement.
 
     A bucket holds suffixes that begin alike; its name is the place of its first suffix in the order.  A round takes buckets
     of more than one suffix, sorts each by the names that its suffixes have further on, and doubles how much is alike.
     It does so in ``parts``, and a part's new names are written before the next part is sorted.
     """
-    n, alike = len(data), 8
-    v = np.concatenate([data, np.zeros(alike, np.uint8)]).astype(np.uint64)
-    for k in (1, 2, 4):
-        v = (v[:-k] << np.uint64(8 * k)) | v[k:]
-    v = v[:n]
-    order = np.argsort(v, kind="stable")
-    new = np.concatenate([[True], v[order][1:] != v[order][:-1]])
+    n, alike = len(grams), 8
+    order = np.argsort(grams)
+    new = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
     pointer = np.zeros(n + 1, np.int64)  # what is behind the end stands before all
     pointer[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
     slots = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(slots) and alike < depth:
         kept = []
         heads = np.flatnonzero(np.concatenate([[True], np.diff(pointer[order[slots]]) != 0]))
-        cuts = np.unique(np.concatenate([heads[np.searchsorted(heads, len(slots) * np.arange(1, parts) // parts, "left").clip(max=len(heads) - 1)], [0, len(slots)]]))
+        cuts = np.unique(np.concatenate([heads[np.searchsorted(heads, len(slots) * np.arange(1, parts) // parts).clip(max=len(heads) - 1)], [0, len(slots)]]))
         for lo, hi in zip(cuts, cuts[1:]):
             mine = slots[lo:hi]
             at = order[mine]
-            bucket, later = pointer[at], pointer[np.minimum(at + alike, n)]
-            by = np.lexsort((later, bucket))
-            at, bucket, later = at[by], bucket[by], later[by]
-            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])])
+            key = pointer[at] * (n + 1) + pointer[np.minimum(at + alike, n)]
+            by = np.argsort(key)
+            at, key = at[by], key[by]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
             order[mine] = at
             pointer[at] = np.maximum.accumulate(np.where(new, mine + 1, 0))
             kept.append(mine[~(new & np.append(new[1:], True))])
@@ -217,18 +221,19 @@ def suffix_order(data: np.ndarray, depth: int, parts: int = 4) -> np.ndarray:
 
 
 def equal_strings(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Numbers for the strings of ``length`` bytes at ``starts``, equal if and only if the strings are: neighbours in suffix order are compared byte by byte."""
-    order = suffix_order(data, length)
+    """Numbers for the strings of ``length`` bytes at ``starts``, equal if and only if the strings are: neighbours in suffix order are compared by all their bytes."""
+    grams = eight_grams(data)
     place = np.empty(len(data), np.int64)
-    place[order] = np.arange(len(data))
+    place[suffix_order(grams, length)] = np.arange(len(data))
     by = np.argsort(place[starts])
-    sorted_ = starts[by]
-    same = np.ones(max(0, len(sorted_) - 1), bool)
-    for i in range(length):
-        left = np.flatnonzero(same)
-        same[left] = data[sorted_[left] + i] == data[sorted_[left + 1] + i]
-    out = np.empty(len(starts), np.int64)
-    out[by] = np.cumsum(np.concatenate([[0], ~same])) if len(starts) else 0
+    at = starts[by]
+    same = np.flatnonzero(grams[at[1:]] == grams[at[:-1]]) if len(at) else at
+    for i in (*range(8, length - 8, 8), length - 8):
+        same = same[grams[at[same] + i] == grams[at[same + 1] + i]]
+    new = np.ones(len(at), bool)
+    new[same + 1] = False
+    out = np.empty(len(at), np.int64)
+    out[by] = np.cumsum(new)
     return out
 
 
