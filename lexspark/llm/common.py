@@ -106,6 +106,27 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(wrapped, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by their first column put together to about so many rows, no value of it on both sides of a cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if sum(b.num_rows for b in held) >= rows:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            other = key != held[-1].column(0)[-1].as_py()
+            cut = int(other.argmax()) if other.any() else len(key)
+            held.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+            if not batch.num_rows:
+                continue
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def column(df: DataFrame, name: str) -> Column:
     """``name`` of ``df``; quoted, so a name with dots or spaces works too."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -10,7 +10,7 @@ A part of threshold 0 is probed by its value, one of threshold 1 by its value an
 with one set bit cleared (of two values a bit apart, the one that has the bit probes the other).
 Within a bucket candidates are verified and only a spanning star of the links is emitted, never all
 pairs.  A bucket over ``CAP`` fingerprints is dealt again by blocks of all bits, of which any linked pair
-shares one, so that a task holds a piece of it and no link is lost.
+shares one, and again by other blocks while it is over the cap, up to ``SPLITS`` times; no link is lost.
 
 Only distinct fingerprints are searched; documents meet them again in a join.
 """
@@ -35,6 +35,7 @@ RADIUS = 2
 SEED = 42
 PLAN_SAMPLE = 2000
 CAP = 1 << 15
+SPLITS = 4  # times that a bucket over the cap is dealt again
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PAIRS = 1 << 21  # candidates that are verified at once
 BLOCK = 1 << 20  # shingles in a block of a bucket's texts; two blocks meet in a task
@@ -231,36 +232,37 @@ def _walk(fps: np.ndarray, n_own: int, radius: int) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(out_u), np.concatenate(out_v)) if out_u else (fps[:0], fps[:0])
 
 
+#: probes that are compared at once, whole buckets
+LOT = 1 << 18
+
+
 def _links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links ``(u, v)`` within the buckets of ``(bucket, fp, own)``; all rows of a bucket in one task."""
+    """Links ``(u, v)`` within the buckets of ``(bucket, fp, own)``; all rows of a bucket in one task, a lot of buckets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-        if got:
-            b, f, o = (np.concatenate(x) for x in zip(*got))
-            us, vs = [], []
-            for u, v in links_in_buckets(b, f.view(np.uint64), o, radius):
-                us.append(u)
-                vs.append(v)
-            u, v = stars(np.concatenate([np.zeros(0, np.uint64), *us]), np.concatenate([np.zeros(0, np.uint64), *vs]))
+        for lot in common.whole_groups(batches, LOT):
+            b, f, o = (lot.column(i).to_numpy() for i in range(3))
+            found = list(links_in_buckets(b, f.view(np.uint64), o, radius))
+            u, v = stars(*(np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]) for i in (0, 1)))
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return common.mapped(rows.repartition("bucket"), run, "u bigint, v bigint")
+    return common.mapped(rows.repartition("bucket").sortWithinPartitions("bucket"), run, "u bigint, v bigint")
 
 
-def _split(rows: DataFrame, radius: int) -> DataFrame:
+def _split(rows: DataFrame, radius: int, depth: int) -> DataFrame:
     """Large buckets, dealt again.
 
-    A pair differs in at most ``radius`` bits, so of ``radius + 1`` blocks of the 64 bits it agrees in one:
-    the bucket is dealt again by (block, block value).  Probing fingerprints go along.
+    A pair differs in at most ``radius`` bits, so of any ``radius + 1`` blocks of the 64 bits it agrees in one: the bucket is dealt
+    again by (block, block value), with other blocks at every ``depth``.  Probing fingerprints go along.
     """
+    bits = np.random.default_rng(depth).permutation(64) if depth else np.arange(64)
+    blocks = [[int(x) for x in block] for block in np.array_split(bits, radius + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             old, fps, own = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
-            for k, block in enumerate(np.array_split(np.arange(64), radius + 1)):
-                v = _part_values(fps, [int(x) for x in block])
-                new = (old ^ _bucket(v, k)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            for k, block in enumerate(blocks):
+                new = (old ^ _bucket(_part_values(fps, block), k)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), b.column(1), pa.array(own)], names=["bucket", "fp", "own"])
 
     return common.mapped(rows, run, "bucket bigint, fp bigint, own boolean")
@@ -279,13 +281,16 @@ def links(fps: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(own)], names=["bucket", "fp", "own"])
 
     rows = common.mapped(fps.select("fp"), run, "bucket bigint, fp bigint, own boolean")
-    large = common.written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("bucket"), "simhash-large")
-    if large.isEmpty():
-        return _links(rows, radius)
-    # the buckets over the cap: few, as each holds more than cap fingerprints
-    rest = rows.join(large, "bucket", "left_anti")
-    again = _split(rows.join(large, "bucket", "left_semi"), radius)
-    return _links(rest.unionByName(again), radius)
+    found = []
+    for depth in range(SPLITS + 1):
+        large = common.written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > cap).select("bucket"), "simhash-large")
+        if depth == SPLITS or large.isEmpty():  # what is still large then is compared as it is
+            found.append(_links(rows, radius))
+            break
+        # the buckets over the cap: few, as each holds more than cap fingerprints
+        found.append(_links(rows.join(large, "bucket", "left_anti"), radius))
+        rows = common.written(_split(rows.join(large, "bucket", "left_semi"), radius, depth), "simhash-split")
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _roots(rows: DataFrame, radius: int, cap: int) -> tuple[DataFrame, DataFrame]:

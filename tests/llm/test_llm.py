@@ -273,6 +273,32 @@ def test_simhash_components(spark):
     assert all(r.component_id == least[root(int(r.fingerprint, 16))] for r in rows)
 
 
+def test_simhash_fingerprints_and_links_by_brute_force(spark, monkeypatch):
+    """Every bit by counting, and components of all pairs, also where buckets are over the cap and lots are small."""
+    import xxhash
+
+    r = random.Random(13)
+    texts = ["", None, "One", "a B", " \t", "Ab cd ab CD ab cd", "É é É", "x " * 200, *(prose(i, r.randint(3, 40)) for i in range(30))]
+    texts += [" ".join(t.split()[:-1] + ["zz"]) for t in texts[10:30]] + texts[15:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def fingerprint(t):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = [x for x in re.split("[\x20\x09-\x0d]+", lower) if x]
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [fingerprint(t) for t in texts]
+    for radius, cap, lot in ((2, simhash.CAP, simhash.LOT), (2, 2, 4), (9, 3, 5)):
+        monkeypatch.setattr(simhash, "LOT", lot)
+        label = list(range(len(fps)))
+        for _ in fps:
+            label = [min(label[j] for j, g in enumerate(fps) if (f ^ g).bit_count() <= radius) for f in fps]
+        got = sorted(simhash.near_duplicates(docs, radius=radius, cap=cap).collect())
+        assert [(x.doc_id, x.fp % (1 << 64), x.component_id) for x in got] == [(i, f, c) for i, (f, c) in enumerate(zip(fps, label))], (radius, cap)
+
+
 def test_near_copies_go_and_others_stay(spark):
     base = [prose(100 + i, 200) for i in range(20)]
     near = [b.rsplit(" ", 1)[0] + " changed" for b in base]
