@@ -100,9 +100,11 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Shard, position in the shard and virtual slot of every row.
 
-    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot,
-    map_version``.  ``size`` is the text's UTF-8 bytes (null: none) plus one; ``slot`` is
-    the row's place in its shard, gapless from 0; the law is ``bytes``.
+    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version, next_shard,
+    next_version``.  ``size`` is the text's UTF-8 bytes (null: none) plus one; ``slot`` is
+    the row's place in its shard, gapless from 0; the law is ``bytes``.  The map is then edited for one more
+    shard (version 2 gives it slots of the others, version 3 evens out what that left), every version is stored, and the last is read
+    back as ``next_shard``.
 
     Nulls: a null text has size 1 and checksum 0; rows without an id are spread by a hash of
     their text.  Ties and repeated rows: rows with one id share a slot and are placed in the
@@ -117,15 +119,19 @@ def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, id_col: s
         F.pmod(F.xxhash64(key, F.when(key.isNull(), text)), F.lit(n_slots)).cast("int").alias("virtual_slot"),
     )
     per_slot = narrow.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    slot_map = plan({r["virtual_slot"]: r["bytes"] for r in per_slot}, n_shards, n_slots)
+    slot_map = plan({r["virtual_slot"]: r["bytes"] for r in per_slot}, n_shards, n_slots)  # version 1
     path = map_path or common.new_path(spark, "slot-map")
-    save_map(spark, slot_map, path)
+    sizes = {r["virtual_slot"]: r["bytes"] for r in per_slot}
+    grown = grow(slot_map, sizes)
+    for version in (slot_map, grown, rebalance(grown, sizes)):
+        save_map(spark, version, path)
     before, seen = {}, [0] * n_shards
     for r in sorted(per_slot, key=lambda r: r["virtual_slot"]):
         before[r["virtual_slot"]] = seen[slot_map.shard_of[r["virtual_slot"]]]
         seen[slot_map.shard_of[r["virtual_slot"]]] += r["n"]
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "virtual_slot int, before long")
-    mapped = load_map(spark, path, slot_map.version).join(F.broadcast(offsets), "virtual_slot")
+    newest = load_map(spark, path).select("virtual_slot", F.col("shard").alias("next_shard"), F.col("version").cast("int").alias("next_version"))
+    mapped = load_map(spark, path, slot_map.version).join(F.broadcast(offsets), "virtual_slot").join(F.broadcast(newest), "virtual_slot")  # n_slots rows
     place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return (
         narrow.withColumn("place", place)
@@ -133,7 +139,7 @@ def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, id_col: s
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("before") + F.col("place") - 1).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").cast("int").alias("map_version"),
+            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").cast("int").alias("map_version"), "next_shard", "next_version",
         )
     )
 
