@@ -58,7 +58,20 @@ def _files_cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def cleared() -> Iterator[None]:
+    """Scratch tables that are written inside are deleted at the end, when whatever was made of them has been written with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        dropped(*_OPEN.pop())
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -66,6 +79,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _OPEN and not keep:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -81,7 +96,8 @@ def dropped(*tables: DataFrame) -> None:
 def small_batches(df: DataFrame) -> None:
     """Arrow batches of whole texts hold fewer rows: a batch is copied several times on its way.
 
-    It decides memory, not results.  A smaller setting of the session's own stays.
+    It decides memory, not results.  A smaller setting of the session's own stays.  Plans read it when they run, so the
+    session keeps it afterwards.
     """
     conf = df.sparkSession.conf
     conf.set(BATCH, str(min(ROWS, int(conf.get(BATCH, "10000")) or ROWS)))
