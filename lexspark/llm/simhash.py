@@ -324,9 +324,9 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.array(sorted({xxhash.xxh64_intdigest(x) for x in runs}), np.uint64)
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """``(root, h, fp, key, set, mh)``: the shingle set and the least hash of each round (0 for an empty set)."""
-    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(rounds)]
+def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int, hashes: int) -> Iterator[pa.RecordBatch]:
+    """``(root, h, fp, key, set, mh)``: the shingle set and its least hash by each of several orders (0 for an empty set)."""
+    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(hashes)]
     for batch in batches:
         sets = [shingle_set((t or "").encode(), words) for t in batch.column("t").to_pylist()]
         least = [[int((x * o ^ (x * o) >> np.uint64(29)).min().view(np.int64)) if len(x) else 0 for o in odd] for x in sets]
@@ -408,15 +408,14 @@ def _rest(left: DataFrame, similarity: float, block: int) -> DataFrame:
     return common.mapped(rows.repartition(*place).sortWithinPartitions(*place, "key").select(*place, "side", "h", "fp", "set"), run, "h bigint, fp bigint").distinct()
 
 
-def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, block: int = BLOCK) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 9, hashes: int = 6, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: texts whose sets of ``words``-word shingles have Jaccard ``similarity``.
 
     SimHash proposes, exact sets decide.  Fingerprints of the set of single words are linked at ``radius``
-    bits (of pairs at 0.8 about 94 in 100 are, see the README), components of the links are candidates.
-    A component is compared in ``rounds``: in each, texts that share a MinHash of their shingles are measured
-    against the one of the smallest id and go if they are similar.  Of those left after the rounds, all that share
-    a MinHash of any round are compared with each other, and the later of two similar ones goes.  A similar pair
-    shares one with probability of at least ``similarity`` a round, so six rounds miss one candidate in 15,000; no
+    bits (the README says how many pairs are), components of the links are candidates.  Of a component's texts that share the first
+    MinHash of their shingles, those similar to the one of the smallest id go; this settles most copies of large groups.  Of those left all that
+    share any of ``hashes`` MinHashes are compared with each other, and the later of two similar ones goes.  A similar pair
+    shares one of them but with probability ``(1 - similarity) ** hashes``, so six miss one candidate in 15,000; no
     group's pairs are emitted.
 
     Nulls: rows without an id are kept only if no copy has an id; text null counts as empty.  Equal texts are
@@ -433,16 +432,12 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     body = docs.select(common.column(docs, id_col).alias("k"), F.xxhash64(text).alias("th"), text.alias("t"))
     sets = near.join(body, body.k.eqNullSafe(F.col("l.doc_id")) & (body.th == near.h)).dropDuplicates(["h", "fp"]).select("root", "h", "fp", F.struct("l.none", "l.doc_id", "h", "fp").alias("key"), "t")
     kind = sets.schema["key"].dataType.simpleString()
-    left = common.written(common.mapped(sets, lambda it: _shingle_sets(it, words, rounds), f"root bigint, h bigint, fp bigint, key {kind}, set array<bigint>, mh array<bigint>"), "simhash-sets")
-    gone = []
-    for k in range(rounds):
-        at = left.withColumn("m", F.get("mh", F.lit(k)))
-        leads = at.groupBy("root", "m").agg(F.min("key").alias("lead"), F.min_by("set", "key").alias("lead_set"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        copies = common.written(at.join(leads, ["root", "m"]).filter((F.col("key") > F.col("lead")) & similar(F.col("set"), F.col("lead_set"), similarity)).select("h", "fp"), "simhash-copies")
-        gone.append(copies)
-        left = common.written(left.join(copies, ["h", "fp"], "left_anti"), "simhash-sets")
-    gone.append(common.written(_rest(left, similarity, block), "simhash-copies"))
-    removed = functools.reduce(DataFrame.unionByName, gone).select(F.col("h").alias("text_hash"), "fp")
+    left = common.written(common.mapped(sets, lambda it: _shingle_sets(it, words, hashes), f"root bigint, h bigint, fp bigint, key {kind}, set array<bigint>, mh array<bigint>"), "simhash-sets")
+    at = left.withColumn("m", F.get("mh", F.lit(0)))
+    leads = at.groupBy("root", "m").agg(F.min("key").alias("lead"), F.min_by("set", "key").alias("lead_set"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = common.written(at.join(leads, ["root", "m"]).filter((F.col("key") > F.col("lead")) & similar(F.col("set"), F.col("lead_set"), similarity)).select("h", "fp"), "simhash-copies")
+    others = common.written(_rest(left.join(copies, ["h", "fp"], "left_anti"), similarity, block), "simhash-copies")
+    removed = copies.unionByName(others).select(F.col("h").alias("text_hash"), "fp")
     kept = common.written(texts.join(removed, ["text_hash", "fp"], "left_anti").select("least.doc_id", "text_hash"), "simhash-kept")
     return common.semi(docs, kept, id_col, text_col, once=True)
 
