@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -103,10 +104,22 @@ def small_batches(df: DataFrame) -> None:
     conf.set(BATCH, str(min(ROWS, int(conf.get(BATCH, "10000")) or ROWS)))
 
 
+#: glibc's M_MMAP_THRESHOLD, and the bytes from which a block is mapped by itself and so goes back when it is freed
+_MAPPED, _BLOCK = -3, 1 << 20
+
+
+@functools.cache
+def _frugal() -> None:
+    """Large blocks of this worker, Arrow's too, go back to the machine when they are freed and aren't kept for later."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library has its own ways
+        ctypes.CDLL("libc.so.6").mallopt(_MAPPED, _BLOCK)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def released() -> None:
     """Give the memory that Arrow and the C library hold without need back to the machine."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
@@ -114,6 +127,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """``df.mapInArrow(run, schema)``; a worker that waits for its next task holds no more than that task will need."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
         try:
             yield from run(batches)
         finally:

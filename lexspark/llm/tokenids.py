@@ -34,11 +34,11 @@ BLOCK = 65536
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: bytes of a worker's newer cache generation; when it is full it replaces the older one
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 #: characters of the longest pretoken that is cached
 LONG = 64
 #: bytes of texts that are encoded at once (a longer text alone)
-LOT = 8 << 20
+LOT = 4 << 20
 
 MAGIC = b"BPS1"
 
@@ -76,11 +76,17 @@ _UNSURE = r"[^\x00-\x7EÀ-ÖØ-öø-ɏ\x{1E00}-\x{1EFF}‘’“”–—…«»
 _CUT = "\x1f"
 
 
-def _gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The runs of ``values``, of the given sizes, that ``codes`` name, one after the other."""
-    starts, n = np.cumsum(sizes) - sizes, sizes[codes]
-    total = np.cumsum(n)
-    return values[np.arange(total[-1] if len(total) else 0) + np.repeat(starts[codes] - (total - n), n)]
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that ``codes`` name, one after the other; a lot has far fewer than 2 ** 31 ids."""
+    n = sizes[codes]
+    ends = np.cumsum(n, dtype=np.int32)
+    at = np.repeat(starts[codes] - (ends - n), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes, dtype=np.int32) - sizes
 
 
 class Encoder:
@@ -92,7 +98,7 @@ class Encoder:
     Ids are then gathered by their numbers.  A text with other white space, or with characters that Unicode tables
     class in different ways, is encoded as it is.
 
-    The cache holds two generations of about ``CACHE_BYTES`` each (230 bytes are reckoned for an entry, its objects
+    Pretokens that come once in a lot aren't kept: most never come again.  The cache holds two generations of about ``CACHE_BYTES`` each (230 bytes are reckoned for an entry, its objects
     and its place in the table included); pretokens of over ``LONG`` characters aren't kept.
     """
 
@@ -117,33 +123,38 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def ids(self, names: list[str]) -> list[bytes]:
-        """Ids of pretokens, as bytes."""
+    def ids(self, names: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pretokens: all of them, and where each one's start and how many they are.  Of new ones those that come ``often`` are kept."""
         out = list(map(self.new.get, names))
         if self.old:
             again = [i for i, v in enumerate(out) if v is None]
             found = list(map(self.old.get, map(names.__getitem__, again)))
-            for i, v in zip(again, found):
+            back = [(i, v) for i, v in zip(again, found) if v is not None]
+            for i, v in back:
                 out[i] = v
-            self.keep([names[i] for i, v in zip(again, found) if v is not None], [v for v in found if v is not None])
+            self.keep([names[i] for i, _ in back], [v for _, v in back])
         missing = [i for i, v in enumerate(out) if v is None]
-        # those after a space tell their first id by it, others are joined by line feeds
+        # those after a space tell their first id by it, others are joined by line feeds; white space and nothing are encoded as they are
         after = [i for i in missing if names[i][:1] == " " and len(names[i]) > 1]
         others = [i for i in missing if names[i][:1] != " " and names[i] and not names[i].isspace()]
-        for of, feed in ((after, False), (others, True)):
-            learnt = [names[i] for i in of]
-            got = self.whole(("\n" if feed else "").join(learnt))
-            edge = np.flatnonzero(got == self.feed) if feed else np.flatnonzero(self.spaced[got])[1:]
-            raw, ends = got.tobytes(), [*(edge * 4).tolist(), 4 * len(got)]
-            begins = [0, *(e + 4 * feed for e in ends[:-1])]
-            values = [raw[a:b] for a, b in zip(begins, ends)] if of else []
-            for i, v in zip(of, values, strict=True):
-                out[i] = v
-            self.keep(learnt, values)
-        for i in missing:  # white space and nothing
-            if out[i] is None:
-                out[i] = self.whole(names[i]).tobytes()
-        return out
+        for i in set(missing).difference(after, others):
+            out[i] = self.whole(names[i]).tobytes()
+        starts, sizes = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
+        known = [i for i, v in enumerate(out) if v is not None]
+        values = [out[i] for i in known]
+        sizes[known] = np.array(list(map(len, values)), np.int32) // 4
+        starts[known] = _starts(sizes[known])
+        tokens = [np.frombuffer(b"".join(values), "<u4")]
+        for of, feed in ((after, 0), (others, 1)):
+            if of:
+                got = self.whole(("\n" if feed else "").join([names[i] for i in of]))
+                edge = np.flatnonzero(got == self.feed) if feed else np.flatnonzero(self.spaced[got])[1:]
+                begin, end = np.concatenate([[0], edge + feed]), np.append(edge, len(got))
+                starts[of], sizes[of] = begin + sum(map(len, tokens)), end - begin
+                tokens.append(got)
+                raw, kept = got.tobytes(), np.flatnonzero(often[of])
+                self.keep([names[of[k]] for k in kept.tolist()], [raw[4 * x : 4 * y] for x, y in zip(begin[kept].tolist(), end[kept].tolist())])
+        return np.concatenate(tokens), starts, sizes
 
     def keep(self, names: list[str], values: list[bytes]) -> None:
         if self.size >= CACHE_BYTES:
@@ -161,7 +172,7 @@ class Encoder:
         pieces = pc.split_pattern(texts, " ")
         edge = pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        codes, distinct = coded.indices.to_numpy().copy(), coded.dictionary
         heads, which = np.unique(codes[edge], return_inverse=True)  # a text's first piece has no space before it
         codes[edge] = len(distinct) + which
         forms = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), distinct, ""), distinct.take(pa.array(heads))])
@@ -174,10 +185,11 @@ class Encoder:
         if unsure.any():
             odd |= np.logical_or.reduceat(np.logical_or.reduceat(unsure[parts], at)[codes], edge)
         names = pc.if_else(pa.array(unsure), "", names)  # the texts of those don't use them
-        values = self.ids(pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), _CUT)[0].as_py().split(_CUT))
-        sizes = np.array(list(map(len, values))) // 4
-        in_form = np.add.reduceat(sizes[parts], at)
-        ids = _gathered(_gathered(np.frombuffer(b"".join(values), "<u4"), sizes, parts), in_form, codes)
+        spread = np.diff(np.append(at, len(parts)))
+        times = np.bincount(parts, np.repeat(np.bincount(codes, minlength=len(forms)), spread), len(names))
+        values, starts, sizes = self.ids(pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), _CUT)[0].as_py().split(_CUT), times > 1)
+        in_form = np.add.reduceat(sizes[parts], at, dtype=np.int32)
+        ids = _gathered(_gathered(values, starts, sizes, parts), _starts(in_form), in_form, codes)
         ends = np.cumsum(np.add.reduceat(in_form[codes], edge)).tolist()
         out = [ids[a:b] for a, b in zip([0, *ends], ends)]
         for i in np.flatnonzero(odd).tolist():
