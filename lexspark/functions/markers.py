@@ -79,7 +79,7 @@ def annex_heading(kind: Column, line: Column, rest: Column) -> Column:
     """A line that starts the annex tail."""
     words = F.regexp_extract(strip(line), r"(?U)^(\S+(?:\s+\S+)?)", 1)
     capitals = (F.upper(words) == words) & words.rlike(r"\p{L}")
-    heading = (rest == "") | rest.startswith("(") | (~rest.rlike(P.JAVA + P.ANNEX_REFERENCE) & capitals & (F.length(rest) <= 180))
+    heading = (rest == "") | rest.startswith("(") | (~rest.rlike(P.JAVA + P.ANNEX_REFERENCE) & capitals & (F.length(rest) <= P.HEADING_CHARS))
     return (kind == "annex") & ~strip(line).rlike(_OPEN) & heading
 
 

@@ -87,6 +87,6 @@ def clause_follows(before: Column, now: Column) -> Column:
         plain = F.regexp_extract(F.coalesce(before, F.lit("")), r"^(\d{1,3})[a-zđ]?$", 1).try_cast("int")
         after_unknown = x["before"].isNull() & (x["now"]["base"] == plain + 1) & (x["now"]["suffix"] == 0)
         ok = F.when(before.isNull(), starts).otherwise(goes_on | F.coalesce(after_unknown, F.lit(False)))
-        return F.coalesce(ok & (x["now"]["base"] <= 300), F.lit(False))
+        return F.coalesce(ok & (x["now"]["base"] <= P.LAST_CLAUSE), F.lit(False))
 
     return let(F.struct(sequence_value(before, F.lit("clause")).alias("before"), sequence_value(now, F.lit("clause")).alias("now")), of)

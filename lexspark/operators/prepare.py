@@ -38,7 +38,7 @@ def split_annex(text: Column) -> Column:
         at = F.coalesce(F.array_position(F.transform(nos, lambda n: n.isNotNull()), F.lit(True)), F.lit(0)).cast("int")
 
         def cut(a: Column) -> Column:
-            near = F.get(F.filter(F.slice(nos, a, F.lit(4)), lambda n: n.isNotNull() & (n != "")), F.lit(0))
+            near = F.get(F.filter(F.slice(nos, a, F.lit(P.ANNEX_NEAR + 1)), lambda n: n.isNotNull() & (n != "")), F.lit(0))
             own = F.get(nos, a - 1)
             joined = lambda part: T.strip(F.array_join(part, "\n"))
             return F.struct(
@@ -50,7 +50,7 @@ def split_annex(text: Column) -> Column:
 
     numbered = lambda ls: F.struct(ls.alias("lines"), F.transform(ls, annex_number).alias("nos"))
     keyword = P.KEYWORDS["annex"]
-    return F.when(text.rlike(rf"(?iuU)(?:^|[\n\x0B\x0C\x1C-\x1E\x85  ])\s*[“\"‘']?\s*{keyword}"), T.let(T.let(T.lines(text), numbered), of)).otherwise(whole)
+    return F.when(text.rlike(rf"(?iuU)(?:^|[\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029])\s*[“\"‘']?\s*{keyword}"), T.let(T.let(T.lines(text), numbered), of)).otherwise(whole)
 
 
 def prepare(docs: DataFrame, content: str = "content") -> DataFrame:

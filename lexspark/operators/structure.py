@@ -68,9 +68,10 @@ def collapsed(text: str) -> str:
 def heading_like(line: str) -> bool:
     v = line.strip().strip("_-")
     letters = sum(map(str.isalpha, v))
-    if not letters or len(v) > 180:
+    if not letters or len(v) > P.HEADING_CHARS:
         return False
-    return 5 * sum(map(str.isupper, v)) >= 4 * letters or len(v.split()) <= 12 and not re.search(r"[.!?;:]\n?\Z", v)
+    part, whole = P.HEADING_CAPITALS
+    return whole * sum(map(str.isupper, v)) >= part * letters or len(v.split()) <= P.HEADING_WORDS and not re.search(r"[.!?;:]\n?\Z", v)
 
 
 def cited(m: L.Marker) -> bool:
@@ -124,7 +125,7 @@ class Numbers:
             return self._no("clause_without_article")
         if base is None:
             return self._no("invalid_clause_number")
-        if int(base[0]) > 300:
+        if int(base[0]) > P.LAST_CLAUSE:
             return self._no("implausible_clause_number")
         if not explicit:
             if _payload(m):

@@ -177,7 +177,7 @@ CASES = [
         "<p>Điều 1. A {k}</p><script>Điều 3. B</script><table><tr><td>1.</td><td>ô<br>&amp;amp; {k}</td></tr></table><p>1. Một</p>",
         [("article-1", "1", "A {k}", "[TABLE] 1. | ô & {k}"), _ONE],
     ),
-    Case("﻿## Điều 1. A {k}\r\n\t1.  Nội   dung c ủa {k}\r\nCÔNG BÁO/Số 1\n\n\n\n", [_FIRST, ("article-1/clause-1", "1", "Khoản 1", "Nội dung của {k}")]),
+    Case("\ufeff## Điều 1. A {k}\r\n\t1.  Nội \xa0 dung c ủa {k}\r\nCÔNG BÁO/Số 1\n\n\n\n", [_FIRST, ("article-1/clause-1", "1", "Khoản 1", "Nội dung của {k}")]),
     Case(
         "Điều 1. A {k}\n1. Theo điểm a khoản 2 Điều {k} và khoản 3 Điều 10a, Điều thứ 7\na) Khoản 3 Điều 8",
         [_FIRST, ("article-1/clause-1", "1", "Khoản 1", "Theo điểm a khoản 2 Điều {k} và khoản 3 Điều 10a, Điều thứ 7"), ("article-1/clause-1/point-a", "a", "Điểm a", "Khoản 3 Điều 8")],

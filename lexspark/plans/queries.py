@@ -287,7 +287,7 @@ def _heading_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _normalize_text(spark: SparkSession, d: str) -> DataFrame:
     """Clean texts with all that normalising takes away strewn in."""
-    marked = F.concat(F.lit("﻿## "), F.col("content"), F.lit("\r\n\r\n\r\n\r\nCÔNG BÁO/Số 12\r\n Kết​ thúc \t ."))
+    marked = F.concat(F.lit("\ufeff## "), F.col("content"), F.lit("\r\n\r\n\r\n\r\nCÔNG BÁO/Số 12\r\n Kết\u200b thúc \t ."))
     return synth.legal_corpus(spark, d).select("doc_id", T.normalize_text(marked).alias("text"))
 
 
