@@ -76,9 +76,19 @@ def _key(record: Column) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in ("document_id", "id", "doc_id")], F.concat(F.lit("row-"), F.sha2(record, 256)))
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One record a line; blank lines are skipped, a bad line fails with its file and text."""
-    rows = spark.read.text(path).filter(F.trim("value") != "").withColumn("file", F.col("_metadata.file_path"))
+def read_jsonl(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """One record a line; blank lines are skipped, a bad line fails with its file and text.
+
+    ``numbered`` says the line's number too.  It reads each file in one piece, so it is for files that fit into a task; by
+    default files are split.
+    """
+    file = F.col("_metadata.file_path")
+    if numbered:
+        whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "value"), file.alias("name"))
+        rows = whole.select("value", F.concat(F.lit("line "), (F.col("pos") + 1).cast("string"), F.lit(" of "), "name").alias("file"))
+    else:
+        rows = spark.read.text(path).select("value", file.alias("file"))
+    rows = rows.filter(F.trim("value") != "")
     parsed = F.try_parse_json("value")
     ok = parsed.isNotNull() & (F.schema_of_variant(parsed).startswith("OBJECT"))
     why = F.when(parsed.isNull(), "Invalid JSONL").otherwise("JSONL line is not an object")
@@ -104,14 +114,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_records(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """``(doc_id, record)`` of a file, folder or glob; ``suffix`` names the format where the path doesn't."""
+def read_records(spark: SparkSession, path: str, suffix: str | None = None, numbered: bool = False) -> DataFrame:
+    """``(doc_id, record)`` of a file, folder or glob; ``suffix`` names the format where the path doesn't, ``numbered`` is for ``read_jsonl``."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     suffix = (suffix or (name[name.rfind(".") :] if "." in name else "")).lower()
     kind = SUFFIXES.get(suffix)
     if kind is None:
         raise ValueError(f"Unsupported input format: {suffix}")
-    if kind in ("json", "jsonl"):
-        return (read_json if kind == "json" else read_jsonl)(spark, path)
+    if kind == "jsonl":
+        return read_jsonl(spark, path, numbered)
+    if kind == "json":
+        return read_json(spark, path)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_decoded(kind), "doc_id string, record string")

@@ -47,6 +47,10 @@ def test_json_files(spark, tmp_path):
         (tmp_path / "b.jsonl").write_text(bad)
         with pytest.raises(Exception, match=said):
             read_jsonl(spark, str(tmp_path / "b.jsonl")).collect()
+    (tmp_path / "c.jsonl").write_text('{"id": 1}\r\n\n{"id": 2}\n{bad\n')
+    with pytest.raises(Exception, match="Invalid JSONL in line 4 of .*c.jsonl"):
+        read_jsonl(spark, str(tmp_path / "c.jsonl"), numbered=True).collect()
+    assert sorted(r.doc_id for r in read_jsonl(spark, str(tmp_path / "g.jsonl"), numbered=True).collect()) == ["1", "2"]
 
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -113,7 +117,7 @@ def test_command_line(spark, tmp_path, capsys):
     docs = {d["document"]["document_id"]: d for d in map(json.loads, out.read_text().splitlines())}
     assert docs["x"]["structure"][0]["children"][0]["element_id"] == "article-1/clause-1" and docs["y"]["structure"] == []
     (tmp_path / "b.jsonl").write_text('{"id": 1}\nbad\n')
-    assert cli.main(["-i", str(tmp_path / "b.jsonl"), "-o", str(tmp_path / "n.json")]) == 1 and not (tmp_path / "n.json").exists()
+    assert cli.main(["-i", str(tmp_path / "b.jsonl"), "-o", str(tmp_path / "n.json")]) == 1 and not (tmp_path / "n.json").exists() and "line 2 of" in capsys.readouterr().err
     for wrong in (["-i", str(tmp_path / "none.jsonl"), "-o", str(out)], ["-i", source, "-o", "x.csv"], ["-i", source, "-o", str(out), "--min-confidence", "2"], ["-i", source]):
         with pytest.raises(SystemExit) as e:
             cli.main(wrong)
