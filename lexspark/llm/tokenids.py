@@ -38,7 +38,7 @@ CACHE_BYTES = 32 << 20
 #: characters of the longest pretoken that is cached
 LONG = 64
 #: bytes of texts that are encoded at once (a longer text alone)
-LOT = 4 << 20
+LOT = 8 << 20
 
 MAGIC = b"BPS1"
 
