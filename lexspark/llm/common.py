@@ -123,11 +123,33 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: what a worker keeps from task to task of one stage, each with a ``clear``; and the stage
+_HELD: list = []
+_STAGE: list[str] = [""]
+
+
+def held(kept: dict) -> dict:
+    """``kept``, a worker's store, emptied when the worker turns to another stage."""
+    _HELD.append(kept)
+    return kept
+
+
+def _entered(stage: str) -> None:
+    if _STAGE[0] != stage:
+        for kept in _HELD:
+            kept.clear()
+        _STAGE[0] = stage
+        released()
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow(run, schema)``; a worker that waits for its next task holds no more than that task will need."""
 
+    stage = uuid.uuid4().hex
+
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _frugal()
+        _entered(stage)
         try:
             yield from run(batches)
         finally:

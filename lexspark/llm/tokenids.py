@@ -197,7 +197,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = common.held({})
 
 
 def encoder(tokenizer: str) -> Encoder:
