@@ -1,13 +1,15 @@
 """A deterministic legal corpus made from ``orders`` and ``lineitem``, and what parsing it must give.
 
-One SQL text serves Spark and DuckDB; expectations come from the source rows, without parsing.
+``LINES`` states the corpus, and expectations come from its rows, without parsing.  Spark builds the same texts in one
+aggregation per order and one per customer: each table is read and shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: (line, what it is expected to be) by order key modulo 5
+#: the corpus's lines, and what each is expected to be
 LINES = """
 o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS art
   FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem})),
@@ -30,13 +32,45 @@ lines AS (
 body AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY art, k, sub) AS INT) AS line_no FROM lines WHERE what <> 'annex')
 """
 
-_SPARK = "SELECT doc_id, array_join(transform(array_sort(collect_list(struct(art, k, sub, text))), e -> e.text), chr(10)) AS content FROM lines GROUP BY doc_id"
 DUCK = "SELECT doc_id, string_agg(text, chr(10) ORDER BY art, k, sub) AS content FROM lines GROUP BY doc_id"
 
+_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_TAILS = ("Điều 5 của Luật Đất đai", "12.5 triệu đồng", "“Điều 9. Nội dung trích”", "k. Ghi chú riêng")
 
-def legal_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _documents(spark: SparkSession, sf_dir: str, stop: str, tails: bool, gap: str) -> DataFrame:
+    """A text per customer: ``stop`` ends articles, clauses and points, ``gap`` stands between lines, ``tails`` are noise and annex."""
     orders, lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
-    return spark.sql("WITH " + LINES.replace("{S}", "STRING") + _SPARK, orders=orders, lineitem=lineitem)
+    items = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_ORDER))).alias("items"))
+    having = orders.select("o_custkey", "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "items")
+    grouped = having.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "items"))).alias("orders"))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def order(o: Column, i: Column) -> Column:
+        art = i + 1
+
+        def item(x: Column, n: Column) -> Column:
+            k, flag = n + 1, x["l_returnflag"]
+            own = F.array(said(k, ". Khoản mục có số lượng ", x["l_quantity"].cast("long"), " theo Điều ", art, stop))
+            return F.when(flag == "R", F.concat(own, F.array(said("a) Loại ", flag, stop), said("b) Trạng thái ", x["l_linestatus"], stop)))).otherwise(own)
+
+        lines = [F.array(said("Điều ", art, ". Nội dung đơn hàng ", o["o_orderkey"], stop)), F.flatten(F.transform(o["items"], item))]
+        if tails:
+            tail = F.get(F.array(*map(F.lit, _TAILS)), (o["o_orderkey"] % 5).cast("int"))
+            lines.append(F.array(tail))
+        return F.array_join(F.concat(*lines), gap)
+
+    ends = [F.when(F.col("doc_id") % 7 == 0, gap.join(("PHỤ LỤC I", "1. Biểu mẫu đơn")))] if tails else []
+    return grouped.select("doc_id", F.concat_ws(gap, F.lit(gap.join(("Chương I", "QUY ĐỊNH CHUNG"))), F.array_join(F.transform("orders", order), gap), *ends).alias("content"))
+
+
+def legal_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, "", True, "\n")
+
+
+def flat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without noise or annex whose lines are put one behind the other, as sentences (``FLAT``)."""
+    return _documents(spark, sf_dir, ".", False, " ")
 
 
 def duck(select: str, more: str = "") -> str:
