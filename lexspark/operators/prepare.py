@@ -1,18 +1,14 @@
-"""From raw documents to bodies: normalising and the annex cut, as column expressions."""
+"""The annex cut as column expressions; ``normal`` states the same over plain strings, for the pass over documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions import patterns as P
 from ..functions import text as T
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: rows in an Arrow batch that holds whole texts
-ROWS = 500
-
 
 def annex_number(line: Column) -> Column:
     """Number of a line that starts the annex tail ('' if it has none); null for any other line."""
@@ -51,24 +47,3 @@ def split_annex(text: Column) -> Column:
     numbered = lambda ls: F.struct(ls.alias("lines"), F.transform(ls, annex_number).alias("nos"))
     keyword = P.KEYWORDS["annex"]
     return F.when(text.rlike(rf"(?iuU)(?:^|[\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029])\s*[“\"‘']?\s*{keyword}"), T.let(T.let(T.lines(text), numbered), of)).otherwise(whole)
-
-
-def prepare(docs: DataFrame, content: str = "content") -> DataFrame:
-    """``docs`` with ``content`` replaced by its sizes, its annex and its ``body``.  Null content is the empty text.
-
-    Texts are normalised once for their size, once before the annex cut and once before lines are told:
-    a pass isn't idempotent, and results depend on all three.  No rows meet, so ids may be null or repeated.
-    """
-    conf = docs.sparkSession.conf
-    conf.set(BATCH, str(min(ROWS, int(conf.get(BATCH, "10000")) or ROWS)))  # decides memory, not results
-    kept = [f"`{c}`" for c in docs.columns if c != content]
-    rows = docs.select(*kept, F.coalesce(F.col(content).cast("string"), F.lit("")).alias("body"))
-    rows = _normalised(rows.select(*kept, F.sha2("body", 256).alias("source_content_sha256"), F.length("body").alias("raw_character_count"), "body"))
-    rows = _normalised(rows.withColumn("normalized_characters", F.length("body"))).withColumn("annex_cut", split_annex(F.col("body")))
-    known = [*kept, "source_content_sha256", "raw_character_count", "normalized_characters"]
-    names = {"annex": "annex", "line": "annex_line", "heading": "annex_heading", "number": "annex_number"}
-    return _normalised(rows.select(*known, *[F.col(f"annex_cut.{k}").alias(v) for k, v in names.items()], F.length("annex_cut.main").alias("main_characters"), F.col("annex_cut.main").alias("body")))
-
-
-def _normalised(rows: DataFrame) -> DataFrame:
-    return T.composed_frame(rows, "body").withColumn("body", T.normalize_composed(F.col("body")))

@@ -11,10 +11,3 @@ def confidence(flattened: Column, made: Column, embedded: Column, errors: Column
     layout = F.when(flattened, 80).otherwise(F.least(F.lit(60), made * 5))
     lost = layout + F.least(F.lit(200), embedded * 5) + errors * 180 + warnings * 40 + infos * 5
     return F.greatest(F.lit(0), 1000 - lost) / F.lit(1000.0)
-
-
-def scored(diagnostics: Column, flattened: Column, made: Column) -> Column:
-    """Of a document's array of diagnostics; an empty input scores nothing."""
-    many = lambda field, v: F.size(F.filter(diagnostics, lambda d: d[field] == v))
-    score = confidence(flattened, made, many("code", "embedded_quoted_marker"), *(many("severity", s) for s in ("error", "warning", "info")))
-    return F.when(many("code", "empty_input") > 0, F.lit(0.0)).otherwise(score)

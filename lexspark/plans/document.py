@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
-from .structure import StructureTables, annex_block, parse_structure, with_stats
+from .structure import StructureTables, annex_block, parse_structure
 
 VERSION = __version__
 
@@ -69,48 +69,23 @@ def _target(r: Column) -> Column:
     return F.map_filter(F.create_map(*[x for k in ("point", "clause", "article") for x in (F.lit(k), r[k])]), lambda k, v: v.isNotNull())
 
 
-def nested_json(nodes: Column, refs: Column) -> Column:
-    """The tree of a document's nodes, ``refs`` being each node's references, as JSON.
-
-    Nodes come in pre-order, so a node opens its object, and closes as many as its depth and the
-    next node's say; no recursion, no join per level.
-    """
-
-    def own(n: Column, found: Column) -> Column:
-        shown = F.transform(found, lambda r: F.struct(r["text"].alias("text"), _target(r).alias("target"), r["start"].alias("start"), r["end"].alias("end")))
-        content = F.struct(n["raw_text"].alias("raw_text"), n["normalized_text"].alias("normalized_text"), F.array().cast("array<string>").alias("provisions"))
-        metadata = F.struct(*[n[k].alias(k) for k in ("marker", "raw_number", "line_no", "source", "embedded", "context_score", "context_reasons")])
-        fields = F.struct(*[n[k].alias(k) for k in ("element_id", "element_type", "number", "title")], content.alias("content"), shown.alias("cross_references"), F.when(n["level"].isNotNull(), metadata).alias("metadata"))
-        return F.regexp_replace(F.regexp_replace(_json(fields), r'"metadata":null\}$', '"metadata":{}}'), r"\}$", "")
-
-    def part(x: Column, i: Column) -> Column:
-        n = x["n"]
-        comma = F.when((i > 0) & (n["depth"] <= F.get(nodes, i - 1)["depth"]), ",").otherwise("")
-        closed = n["depth"] - F.coalesce(F.get(nodes, i + 1)["depth"], F.lit(0)) + 1
-        return F.concat(comma, own(n, x["found"]), F.lit(',"children":['), F.repeat(F.lit("]}"), F.greatest(F.lit(0), closed)))
-
-    return F.concat(F.lit("["), F.array_join(F.transform(F.zip_with(nodes, refs, lambda n, r: F.struct(n.alias("n"), r.alias("found"))), part), ""), F.lit("]"))
-
-
 def structure_json(tables: StructureTables) -> DataFrame:
     """``doc_id, structure``: each document's nodes nested as JSON."""
-    rows = with_stats(tables.parsed("nodes", "diagnostics"))
-    return rows.select(*tables.key, nested_json(F.col("nodes"), F.col("refs")).alias("structure"))
+    return tables.summaries("structure").select(*tables.key, "structure")
 
 
 def parse_documents(records: DataFrame, record_col: str = "record", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, confidence, json`` of records ``(doc_id, record JSON)``, each parsed by itself."""
     rows = records.select(F.col(id_col).cast("string").alias("doc_id"), F.col(record_col).alias("record"), F.try_element_at(record_map(F.col(record_col)), F.lit("content")).alias("content"))
-    parsed = project(with_stats(parse_structure(rows, keep=("record",)).parsed("nodes", "diagnostics")), "_k0")
+    parsed = project(parse_structure(rows, keep=("record",)).summaries("diagnostics", "references", "structure"), "_k0")
     document = F.struct(
         "document_id", "title", "document_type", "document_number", *DEFAULTS, "issuing_authority", "status", F.struct(*[F.col(f"date_{k}").alias(k) for k in DATES]).alias("dates"),
         F.struct("domain", "sub_domain", "keywords", "subject_areas", "classification_codes").alias("classification"), "source_url", "version_history", "related_documents", "source_metadata",
     )
     annex = F.when(F.col("annex").isNotNull(), F.array(annex_block("struct"))).otherwise(F.array())
-    named = lambda n, found: F.transform(found, lambda r: F.struct(n["element_id"].alias("source_element_id"), r["text"].alias("text"), _target(r).alias("target"), r["start"].alias("start"), r["end"].alias("end")))
-    references = F.flatten(F.zip_with("nodes", "refs", named))
+    references = F.transform("references", lambda r: F.struct(r["source_element_id"].alias("source_element_id"), r["text"].alias("text"), _target(r).alias("target"), r["start"].alias("start"), r["end"].alias("end")))
     said = F.transform("diagnostics", lambda d: d.dropFields("diag_seq"))
     parser = F.struct(F.lit("lexspark").alias("name"), F.lit(VERSION).alias("version"), "source_content_sha256", "confidence", said.alias("diagnostics"), "stats")
     rest = _json(F.struct(document.alias("document"), annex.alias("annex_blocks"), references.alias("cross_references"), parser.alias("parser")))
-    whole = F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"structure":'), nested_json(F.col("nodes"), F.col("refs")), F.lit("}"))
+    whole = F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"structure":'), F.col("structure"), F.lit("}"))
     return parsed.select("doc_id", "confidence", whole.alias("json"))

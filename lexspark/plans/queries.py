@@ -45,28 +45,28 @@ def _cases(spark: SparkSession, d: str) -> StructureTables:
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).nodes.select(*_NODE)
+    return _synth(spark, d).rows("nodes", *_NODE[1:])
 
 
 def _node_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).nodes.groupBy("element_type").agg(F.count("*").alias("n"))
+    return _synth(spark, d).rows("nodes", "element_type").groupBy("element_type").agg(F.count("*").alias("n"))
 
 
 def _node_tree(spark: SparkSession, d: str) -> DataFrame:
     """Parents, levels and depths."""
-    return _synth(spark, d).nodes.select("doc_id", "node_seq", "parent_seq", "level", "depth")
+    return _synth(spark, d).rows("nodes", "node_seq", "parent_seq", "level", "depth")
 
 
 def _node_content(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).nodes.select("doc_id", "node_seq", F.length("raw_text").alias("chars"), F.sha2("normalized_text", 256).alias("text_sha256"))
+    return _synth(spark, d).rows("nodes", "node_seq", "raw_text", "normalized_text").select("doc_id", "node_seq", F.length("raw_text").alias("chars"), F.sha2("normalized_text", 256).alias("text_sha256"))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).segments.select("doc_id", "line_no", "text", "source", F.col("kind").isNotNull().alias("is_marker"))
+    return _synth(spark, d).rows("lines", "line_no", "text", "source", "kind").select("doc_id", "line_no", "text", "source", F.col("kind").isNotNull().alias("is_marker"))
 
 
 def _line_markers(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).segments.filter("kind is not null").select("doc_id", "line_no", "kind", "number", "marker", "rest")
+    return _synth(spark, d).rows("lines", "line_no", "kind", "number", "marker", "rest").filter("kind is not null")
 
 
 def _marker_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -77,11 +77,14 @@ def _marker_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quote_state(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).segments.filter("inside_quote").select("doc_id", "line_no", "kind", "number")
+    return _synth(spark, d).rows("lines", "line_no", "kind", "number", "inside_quote").filter("inside_quote").select("doc_id", "line_no", "kind", "number")
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(_synth(spark, d).segments.filter("kind is not null")).drop("kind", "number")
+    return _judged(_synth(spark, d).rows("lines", *_JUDGED).filter("kind is not null")).drop("kind", "number")
+
+
+_JUDGED = ("line_no", "kind", "number", "accepted", "code", "score", "reasons")
 
 
 def _judged(lines: DataFrame, *more: str) -> DataFrame:
@@ -90,11 +93,11 @@ def _judged(lines: DataFrame, *more: str) -> DataFrame:
 
 def _lookahead(spark: SparkSession, d: str) -> DataFrame:
     """The next marker of any kind."""
-    return _synth(spark, d).segments.select("doc_id", "line_no", "next_marker")
+    return _synth(spark, d).rows("lines", "line_no", "next_marker")
 
 
 def _diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).diagnostics.select("doc_id", "diag_seq", "code", "message", "severity", "line_no")
+    return _synth(spark, d).rows("diagnostics", "diag_seq", "code", "message", "severity", "line_no")
 
 
 def _doc_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +111,7 @@ def _confidence_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_refs(spark: SparkSession, d: str) -> DataFrame:
-    return _synth(spark, d).cross_references.select("doc_id", "source_element_id", "ref_no", "text", "article", "start", "end")
+    return _synth(spark, d).rows("references", "source_element_id", "ref_no", "text", "article", "start", "end")
 
 
 def _annex_split(spark: SparkSession, d: str) -> DataFrame:
@@ -121,27 +124,18 @@ def _nested_json(spark: SparkSession, d: str) -> DataFrame:
 
 def _flat_recovery(spark: SparkSession, d: str) -> DataFrame:
     """Clean documents without noise or annex, their line breaks lost."""
-    sql = "WITH " + synth.LINES.replace("{S}", "STRING") + synth.FLAT + " SELECT doc_id, array_join(transform(array_sort(collect_list(struct(art, k, sub, text))), e -> e.text), ' ') AS content FROM flat GROUP BY doc_id"
-    docs = spark.sql(sql, orders=_orders(spark, d), lineitem=_lineitem(spark, d))
-    return parse_structure(docs).nodes.select("doc_id", "element_id", "element_type", "title", "raw_text", "source")
+    return parse_structure(synth.flat_corpus(spark, d)).rows("nodes", "element_id", "element_type", "title", "raw_text", "source")
 
 
 # -- the corpus of many shapes ----------------------------------------------------------------
 
 
-def _placed(array: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return _cases(spark, d).parsed(array).select("doc_id", F.posexplode(array).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("place"), "x.*")
-
-    return run
-
-
 def _case_nodes(where: str, *columns: str) -> Query:
-    return lambda spark, d: _placed("nodes")(spark, d).filter(where).select("doc_id", "place", *columns)
+    return lambda spark, d: _cases(spark, d).rows("nodes", "place", *columns).filter(where).select("doc_id", "place", *columns)
 
 
 def _case_diagnostics(where: str) -> Query:
-    return lambda spark, d: _placed("diagnostics")(spark, d).filter(where).select("doc_id", "place", "code", "severity", "line_no")
+    return lambda spark, d: _cases(spark, d).rows("diagnostics", "place", "code", "severity", "line_no").filter(where).select("doc_id", "place", "code", "severity", "line_no")
 
 
 def _case_decisions(where: str) -> Query:
@@ -149,13 +143,13 @@ def _case_decisions(where: str) -> Query:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         stated = spark.createDataFrame([(i, x[0]) for i, c in enumerate(casebook.CASES) for x in c.decided], "shape int, line_no int")
-        return _judged(_cases(spark, d).segments.join(F.broadcast(stated), ["shape", "line_no"])).filter(where)
+        return _judged(_cases(spark, d).rows("lines", *_JUDGED).join(F.broadcast(stated), ["shape", "line_no"])).filter(where)
 
     return run
 
 
 def _case_refs(spark: SparkSession, d: str) -> DataFrame:
-    return _cases(spark, d).cross_references.select("doc_id", "source_element_id", "text", "point", "clause", "article", "start", "end")
+    return _cases(spark, d).rows("references", "source_element_id", "text", "point", "clause", "article", "start", "end").drop("shape")
 
 
 def _case_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +165,7 @@ def _repeated_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document twice, under no id and under an id that all share: each is parsed by itself."""
     docs = casebook.documents(spark, d)
     both = docs.withColumn("key", F.col("doc_id")).withColumn("doc_id", F.explode(F.array(F.lit(None), F.lit(7).cast("long"))))
-    return parse_structure(both, keep=("key",)).nodes.select("doc_id", "key", "element_id", "title", "raw_text")
+    return parse_structure(both, keep=("key",)).rows("nodes", "element_id", "title", "raw_text")
 
 
 # -- records ----------------------------------------------------------------------------------

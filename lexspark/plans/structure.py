@@ -1,7 +1,7 @@
 """``parse_structure``: documents in, a bundle of tables out.
 
-A document stays one row from its text to its tables: normalising, the annex cut and the score are expressions, lines
-are read in one Arrow pass, and tables are exploded from its result.  Nothing is shuffled or joined, so rows with a null
+A document is one row until its tables: one Arrow pass normalises it, cuts the annex, reads its lines and returns the rows
+and columns that are asked for; the score is an expression.  Nothing is shuffled or joined, so rows with a null
 id, or with one that others have too, are documents like any other.
 """
 
@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.references import cross_references
 from ..operators import quality, structure
-from ..operators.prepare import prepare
-
-
-def node_text(node: Column) -> Column:
-    """What references are sought in: title and content."""
-    return F.concat_ws(" ", F.nullif(node["title"], F.lit("")), F.nullif(node["normalized_text"], F.lit("")))
 
 
 @dataclass
@@ -38,47 +32,49 @@ class StructureTables:
     keep: tuple[str, ...] = ()
 
     @cached_property
-    def prepared(self) -> DataFrame:
+    def _source(self) -> DataFrame:
         quoted = lambda c: "`" + c.replace("`", "``") + "`"
         extra = [self.documents[quoted(c)].alias(f"_k{i}") for i, c in enumerate(self.keep)]  # no name of theirs meets one of ours
-        return prepare(self.documents.select(self.documents[quoted(self.id_col)].alias("doc_id"), *extra, self.documents[quoted(self.content_col)].alias("content")))
+        return self.documents.select(self.documents[quoted(self.id_col)].alias("doc_id"), *extra, self.documents[quoted(self.content_col)].alias("content"))
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """Sizes, annex and body of every document."""
+        return structure.prepared(self._source)
 
     @property
     def key(self) -> list[Column]:
         """``doc_id`` and the kept columns, which have names of their own (_k0, _k1, ...) until a table is done."""
         return [F.col("doc_id"), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(self.keep))]
 
-    @property
-    def _kept(self) -> list[str]:
-        return [f"_k{i}" for i in range(len(self.keep))]
+    def rows(self, table: str, *names: str) -> DataFrame:
+        """The key and the columns named of ``table`` (lines, nodes, diagnostics, references); no other leaves the pass."""
+        return structure.table_rows(self._source, table, list(names)).select(*self.key, *(F.col(f"`{n}`") for n in names))
 
-    def parsed(self, *tables: str) -> DataFrame:
-        """One row per document with the arrays named (lines, nodes, diagnostics)."""
-        return structure.parsed(self.prepared, tables)
+    def summaries(self, *more: str) -> DataFrame:
+        """One row per document with ``confidence`` and ``stats``; ``more`` as ``structure.summaries`` has it."""
+        return with_stats(structure.summaries(self._source, more))
 
-    def _exploded(self, table: str) -> DataFrame:
-        return self.parsed(table).select("doc_id", *self._kept, F.explode(table).alias("x")).select(*self.key, "x.*")
+    def _whole(self, table: str) -> DataFrame:
+        names = [n for n in structure._fields(structure.TABLES[table]) if n != "place"]
+        return self.rows(table, *names)
 
     @cached_property
     def segments(self) -> DataFrame:
         """Logical lines with their markers and the decisions about them."""
-        return self._exploded("lines")
+        return self._whole("lines")
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._exploded("nodes")
+        return self._whole("nodes")
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        return self._exploded("diagnostics")
+        return self._whole("diagnostics")
 
     @cached_property
     def cross_references(self) -> DataFrame:
-        node = F.struct("title", "normalized_text")
-        nodes = self.parsed("nodes").select("doc_id", *self._kept, F.explode("nodes").alias("x")).select("doc_id", *self._kept, "x.node_seq", "x.element_id", "x.title", "x.normalized_text")
-        found = nodes.select("doc_id", *self._kept, "node_seq", F.col("element_id").alias("source_element_id"), cross_references(node_text(node)).alias("refs"))
-        rows = found.select("doc_id", *self._kept, "node_seq", "source_element_id", F.posexplode("refs").alias("pos", "r"))
-        return rows.select(*self.key, "node_seq", "source_element_id", (F.col("pos") + 1).alias("ref_no"), "r.text", "r.point", "r.clause", "r.article", "r.start", "r.end")
+        return self._whole("references")
 
     @cached_property
     def annex_blocks(self) -> DataFrame:
@@ -86,7 +82,7 @@ class StructureTables:
 
     @cached_property
     def doc_stats(self) -> DataFrame:
-        return with_stats(self.parsed("nodes", "diagnostics")).select(*self.key, "source_content_sha256", "confidence", "stats.*")
+        return self.summaries().select(*self.key, "source_content_sha256", "confidence", "stats.*")
 
 
 def annex_block(form: str) -> Column:
@@ -96,19 +92,15 @@ def annex_block(form: str) -> Column:
     return F.inline(F.array(fields)) if form == "*" else fields
 
 
-def with_stats(parsed: DataFrame) -> DataFrame:
-    """Adds ``confidence``, ``refs`` (per node, an array of references) and ``stats`` to rows with nodes and diagnostics."""
-    rows = parsed.withColumn("refs", F.transform("nodes", lambda n: cross_references(node_text(n))))
-    kinds = F.transform("nodes", lambda n: n["element_type"])
-    n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    embedded = F.size(F.filter("diagnostics", lambda d: d["code"] == "embedded_quoted_marker"))
+def with_stats(rows: DataFrame) -> DataFrame:
+    """Adds ``confidence`` and ``stats`` to summaries."""
     stats = F.struct(
-        "raw_character_count", F.col("normalized_characters").alias("normalized_character_count"), F.col("main_characters").alias("main_body_character_count"), n(F.length("annex")).alias("annex_character_count"),
+        "raw_character_count", F.col("normalized_characters").alias("normalized_character_count"), F.col("main_characters").alias("main_body_character_count"), F.coalesce(F.length("annex"), F.lit(0)).alias("annex_character_count"),
         F.col("annex").isNotNull().cast("int").alias("annex_block_count"), "logical_line_count", F.col("flattened").alias("flattened_input"), F.col("made").alias("reconstructed_boundary_count"), F.col("cut").alias("reconstructed_physical_line_count"),
-        F.size("nodes").alias("node_count"), counts.alias("element_counts"), embedded.alias("embedded_marker_count"), F.aggregate(F.transform("refs", F.size), F.lit(0), lambda a, b: a + b).alias("cross_reference_count"),
+        "node_count", "element_counts", F.col("embedded").alias("embedded_marker_count"), F.col("reference_count").alias("cross_reference_count"),
     )
-    return rows.withColumns({"confidence": quality.scored(F.col("diagnostics"), F.col("flattened"), F.col("made")), "stats": stats})
+    score = quality.confidence(*map(F.col, ("flattened", "made", "embedded", "errors", "warnings", "infos")))
+    return rows.withColumns({"confidence": F.when(F.col("nothing"), F.lit(0.0)).otherwise(score), "stats": stats})
 
 
 def parse_structure(documents: DataFrame, id_col: str = "doc_id", content_col: str = "content", keep: tuple[str, ...] = ()) -> StructureTables:

@@ -128,6 +128,42 @@ def test_normalising_only_where_needed_changes_nothing(spark):
     assert all(x.gated == x.always for x in got)
 
 
+def test_both_forms_of_normalising_the_annex_cut_and_references_agree(spark):
+    """The pass over documents and the column expressions prepare the same bodies and find the same references."""
+    from lexspark.functions.references import cross_references
+    from lexspark.operators import normal as N
+    from lexspark.operators.prepare import split_annex
+
+    r = random.Random(13)
+    parts = ["a", "Luật", " ", "  ", "\n", "\n", "\n\n\n", "\r\n", "\t", "# ", "\n## x", "\ufeff", "\xa0", "c ủa", "C ỦA", "m\nục", "Đi ều", "CÔNG BÁO/Số 1", "\n Công  Báo / Số 2\n", "\x0b", "\x0c", "\x1f", "\x85", "\u2028", ".", "\u0323", "²", "_", "\nPhụ lục I", "\nPHỤ LỤC", "\n“Phụ lục 2", "Phụ lục số 3", "PHỤ LỤC IV (kèm theo)", "ban hành kèm theo", "DANH MỤC", "điểm a khoản 2 Điều 3", "Khoản 4 điều 5a", "Dieu thu 9", " ĐIỀU 7 ", "\x01", '"']
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.normalize_composed(F.col("t")).alias("n"), split_annex(F.col("t")).alias("x"), cross_references(F.col("t")).alias("r"), F.to_json(F.struct("t")).alias("j")).collect()
+    for x in got:
+        assert N.normalize_composed(x.t) == x.n, x.t
+        assert N.references(x.t) == [(f.start, f.end, f.text, f.point, f.clause, f.article) for f in x.r], x.t
+        assert f'{{"t":{N.quoted(x.t)}}}' == x.j
+        p = N.cut_annex(x.t)
+        assert (p and (*p,)) == (x.x.annex and (x.x.main, x.x.annex, x.x.line, x.x.heading, x.x.number)), x.t
+
+
+def test_a_task_has_one_python_worker_and_its_batches_stay_small(spark):
+    """One pass over a document, whatever is asked for, and lists in long documents aren't searched again per heading."""
+    import time
+
+    docs = spark.createDataFrame([(1, BASE)], "doc_id long, content string")
+    t = parse_structure(docs)
+    for df in (t.nodes, t.doc_stats, t.cross_references, t.annex_blocks, lexspark.parse_documents(docs.selectExpr("doc_id", "to_json(struct(content)) AS record"))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    flat = lambda n: " ".join(f"Điều {i}. Tên. 1. Một. 2. Hai." for i in range(1, n))
+    took = []
+    for n in (1500, 12000):
+        began = time.process_time()
+        assert len(recover.split_flat(flat(n))) == 3 * (n - 1)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]  # eight times the text; it took over fifty times as long
+
+
 def test_what_is_exported():
     assert lexspark.parse_structure is parse_structure and {"parse_documents", "extract_cross_references"} <= set(lexspark.__all__)
     with pytest.raises(AttributeError):
