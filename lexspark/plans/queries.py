@@ -174,6 +174,12 @@ def _repeated_ids(spark: SparkSession, d: str) -> DataFrame:
 _FIELDS = {**{k: v for k, v in ALIASES.items() if k != "code"}, **{f"date_{k}": v for k, v in DATES.items()}}
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """Keys dealt to all cores, before texts are made of them: a file may be a single group of rows, which is a single task."""
+    spark = keys.sparkSession
+    return keys.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """A JSON record per order; which alias holds a field depends on the key, aliases before it are empty."""
     k = F.col("o_orderkey")
@@ -186,7 +192,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     entries += [(F.when(k % 2 == 0, "jurisdiction"), F.concat(F.lit("J"), k)), (F.when(k % 2 == 1, "language"), F.concat(F.lit("L"), k))]
     pairs = F.filter(F.array(*[F.struct(n.alias("n"), v.cast("string").alias("v")) for n, v in entries]), lambda e: e["n"].isNotNull())
     record = F.to_json(F.map_from_entries(pairs))
-    return _orders(spark, d).select(k.cast("string").alias("doc_id"), record.alias("record"))
+    return _spread(_orders(spark, d).select("o_orderkey")).select(k.cast("string").alias("doc_id"), record.alias("record"))
 
 
 def _alias_coalesce(spark: SparkSession, d: str) -> DataFrame:
@@ -196,11 +202,17 @@ def _alias_coalesce(spark: SparkSession, d: str) -> DataFrame:
 
 def _parsed_documents(spark: SparkSession, d: str) -> DataFrame:
     out = parse_documents(_records(spark, d))
-    get = lambda p: F.get_json_object("json", p)
-    named = {f: f"$.document.{f}" for f in ("document_id", "title", "document_type", "document_number", "issuing_authority", "status", "source_url", "jurisdiction", "language")}
-    named |= {f: f"$.document.classification.{f}" for f in ("domain", "sub_domain")} | {f"date_{k}": f"$.document.dates.{k}" for k in DATES}
-    named |= {"code": "$.document.classification.classification_codes[0]", "metadata_keywords": "$.document.source_metadata.keywords", "metadata_content": "$.document.source_metadata.content", "content_sha256": "$.parser.source_content_sha256", "first_id": "$.structure[0].element_id", "first_child": "$.structure[0].children[0].title"}
-    return out.select("doc_id", F.round(F.col("confidence") * 1000).cast("int").alias("confidence"), *[get(p).alias(n) for n, p in named.items()])
+    texts = lambda *names: ",".join(f"{n}:string" for n in names)
+    plain = ("document_id", "title", "document_type", "document_number", "issuing_authority", "status", "source_url", "jurisdiction", "language")
+    document = f"struct<{texts(*plain)},dates:struct<{texts(*DATES)}>,classification:struct<{texts('domain', 'sub_domain')},classification_codes:array<string>>,source_metadata:struct<{texts('keywords', 'content')}>>"
+    schema = f"document {document}, parser struct<source_content_sha256:string>, structure array<struct<element_id:string,children:array<struct<title:string>>>>"
+    x = out.select("doc_id", F.round(F.col("confidence") * 1000).cast("int").alias("confidence"), F.from_json("json", schema).alias("x"))  # each text is read once
+    first, meta = F.get("x.structure", F.lit(0)), "x.document.source_metadata"
+    return x.select(
+        "doc_id", "confidence", *[f"x.document.{n}" for n in plain], *[f"x.document.classification.{n}" for n in ("domain", "sub_domain")], *[F.col(f"x.document.dates.{k}").alias(f"date_{k}") for k in DATES],
+        F.get("x.document.classification.classification_codes", F.lit(0)).alias("code"), F.col(f"{meta}.keywords").alias("metadata_keywords"), F.col(f"{meta}.content").alias("metadata_content"),
+        F.col("x.parser.source_content_sha256").alias("content_sha256"), first["element_id"].alias("first_id"), F.get(first["children"], F.lit(0))["title"].alias("first_child"),
+    )
 
 
 # -- sources and sinks ------------------------------------------------------------------------

@@ -164,6 +164,12 @@ def test_a_task_has_one_python_worker_and_its_batches_stay_small(spark):
     assert took[1] < 24 * took[0]  # eight times the text; it took over fifty times as long
 
 
+def test_records_of_a_file_with_one_group_of_rows_are_dealt_to_all_cores(spark):
+    df = queries.queries()["documents"](spark, SF)
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(document") == 1
+
+
 def test_what_is_exported():
     assert lexspark.parse_structure is parse_structure and {"parse_documents", "extract_cross_references"} <= set(lexspark.__all__)
     with pytest.raises(AttributeError):
