@@ -229,7 +229,7 @@ def _path(spark: SparkSession, name: str) -> str:
 def _sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Parsed documents written as JSONL and read back as records."""
     path = _path(spark, "jsonl")
-    sinks.write_jsonl(parse_documents(_records(spark, d)), path)
+    sinks.write_jsonl(parse_documents(_records(spark, d)), path, compression="gzip")
     back = readers.read_jsonl(spark, path)
     return back.select(F.get_json_object("record", "$.document.document_id").alias("document_id"), F.get_json_object("record", "$.structure[0].title").alias("title"), F.get_json_object("record", "$.parser.confidence").cast("double").alias("confidence"))
 

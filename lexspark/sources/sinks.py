@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 MAX_SINGLE_BYTES = 256 << 20
 
 
-def write_jsonl(documents: DataFrame, path: str, json_col: str = "json") -> None:
-    """A folder of JSONL parts; Spark's committer makes it appear whole."""
-    documents.select(F.col(json_col).alias("value")).write.mode("overwrite").text(path)
+def write_jsonl(documents: DataFrame, path: str, json_col: str = "json", compression: str = "none") -> None:
+    """A folder of JSONL parts; Spark's committer makes it appear whole.  ``gzip`` parts are read by ``read_jsonl`` as they are."""
+    documents.select(F.col(json_col).alias("value")).write.mode("overwrite").text(path, compression=compression)
 
 
 def low_confidence(documents: DataFrame, minimum: float) -> DataFrame:

@@ -137,3 +137,12 @@ def test_micro_batches(spark, tmp_path):
     key = lambda df: sorted((r.doc_id, r.element_id) for r in df.collect())
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.select("batch").distinct().count() == 2 and key(got) == key(parse_structure(docs).nodes)
+
+
+def test_jsonl_in_gzip_is_smaller_and_read_back_whole(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("""concat('{"id": ', id, ', "content": "', repeat('x', 500), '"}') AS json""")
+    for how in ("none", "gzip"):
+        sinks.write_jsonl(rows, str(tmp_path / how), compression=how)
+        assert {int(r.doc_id) for r in read_jsonl(spark, str(tmp_path / how)).collect()} == set(range(2000))
+    plain, small = (sum(f.stat().st_size for f in (tmp_path / how).iterdir()) for how in ("none", "gzip"))
+    assert small * 10 < plain
