@@ -29,12 +29,17 @@ def probe(line: Column) -> Column:
 def line_kind(line: Column) -> Column:
     """Element type of a marker line, or null."""
 
-    def of(p: Column) -> Column:
+    def tried(p: Column, kinds: list[str]) -> Column:
         out = F.when(F.lit(False), F.lit(""))
-        for kind, pattern in P.LINE.items():
-            out = out.when(p.rlike(P.JAVA + pattern), F.lit(kind))
+        for kind in kinds:
+            out = out.when(p.rlike(P.JAVA + P.LINE[kind]), F.lit(kind))
         return out
 
+    def of(p: Column) -> Column:
+        # every other kind begins with a letter, and all but points with a keyword's two
+        first, second = F.substring(p, 1, 1), F.substring(p, 2, 1)
+        return F.when(first.between("0", "9"), tried(p, ["clause"])).when(first.between("a", "z") & second.isin(")", "."), tried(p, ["point"])).otherwise(tried(p, [*P.LINE]))
+
     return let(probe(line), of)
 
 

@@ -71,8 +71,10 @@ def _line_markers(spark: SparkSession, d: str) -> DataFrame:
 
 def _marker_columns(spark: SparkSession, d: str) -> DataFrame:
     """The same from the column expressions, over exploded lines."""
-    lines = _synth(spark, d).prepared.select("doc_id", F.posexplode(T.filled(T.lines(F.col("body")))).alias("pos", "line")).withColumn("kind", M.line_kind(F.col("line"))).filter("kind is not null")
-    rows = lines.withColumn("g", M.marker_groups(F.col("kind"), F.col("line")))
+    lines = _synth(spark, d).prepared.select("doc_id", F.posexplode(T.filled(T.lines(F.col("body")))).alias("pos", "line"))
+    # a line's kind is decided once: what is filtered names the array's element, not the expression
+    found = lines.select("doc_id", "pos", F.explode(F.array(F.struct("line", M.line_kind(F.col("line")).alias("kind")))).alias("x")).filter("x.kind is not null")
+    rows = found.select("doc_id", "pos", "x.kind", M.marker_groups(F.col("x.kind"), F.col("x.line")).alias("g"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("line_no"), "kind", M.canonical_number(F.col("kind"), F.col("g.number")).alias("number"), "g.marker", "g.rest")
 
 

@@ -170,6 +170,13 @@ def test_records_of_a_file_with_one_group_of_rows_are_dealt_to_all_cores(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(document") == 1
 
 
+def test_marker_columns_decide_a_line_once(spark):
+    from lexspark.functions import patterns as P
+
+    df = queries.queries()["marker_columns"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(P.LINE["part"]) <= 1 + 3  # once for the kind, three times for its groups
+
+
 def test_what_is_exported():
     assert lexspark.parse_structure is parse_structure and {"parse_documents", "extract_cross_references"} <= set(lexspark.__all__)
     with pytest.raises(AttributeError):
