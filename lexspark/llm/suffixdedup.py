@@ -10,10 +10,13 @@ many times its size, so suffixes are sorted only where an earlier copy is possib
    copies in full: their contexts are removed.  This is settled inside map tasks first.  Here strings are told
    by hashes: 64 bits of the q-gram, and among those of one q-gram 64 bits of the context.
 2. *Edges.*  What is left in q-gram groups with several contexts: the first of each context.  Their bytes meet by
-   q-gram, in lots of bounded size, and a lot's suffixes are sorted: buckets of initial 8-grams are refined by
-   sorting on the pointer at a later offset to the bucket there.  Only unresolved buckets are refined, a few at a time, and
-   their parts' names are written at once, so those refined after them sort by the newer names.  Neighbours
-   in that order are compared byte by byte; of equal strings all but the earliest are removed.
+   q-gram, in lots of bounded size, and a lot's suffixes are sorted.  Equal windows have their anchor at one place, so a window
+   meets only those that begin as far before theirs.  The suffixes from the anchors on are sorted by words of eight bytes:
+   buckets of equal words are refined by sorting on the pointer at a later word to the bucket there.  Only unresolved buckets
+   are refined, a few at a time, and their parts' names are written at once, so those refined after them sort by the newer
+   names.  Neighbours in that order are compared byte by byte.  Suffixes that begin one byte earlier then need no sort of
+   their own: their bucket is that of the suffix one byte on, split by the byte in front, and goes when one is left in it.
+   Of equal windows all but the earliest are removed.
 3. The intervals of both are united per document.
 
 A q-gram of more than ``CAP`` edges is split by longer strings: the windows of its contexts are dealt into two halves by their
@@ -41,7 +44,8 @@ Q = 32
 CAP = 20_000
 #: bytes of contexts that are sorted at once, beyond which a task goes on with the next q-grams
 SORTED_BYTES = 2 << 20
-_SLICE = 1 << 20
+#: bytes hashed at once: their arrays stay in a core's cache, and below the size from which each is mapped by itself
+_SLICE = 1 << 15
 
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(1, 1 << 63, 256, np.uint64)
@@ -56,6 +60,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _UP, _DOWN = _powers(_BASE, _SLICE + 1), _powers(_INVERSE, _SLICE + 1)
+_PLACES = np.arange(_SLICE, dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,27 +80,46 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, q: int = Q
         piece = data[base : lo + step + 2 * length]
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_TABLE[piece] * _UP[: len(piece)], dtype=np.uint64, out=sums[1:])
-        grams = _mixed((sums[q:] - sums[:-q]) * _DOWN[: len(piece) - q + 1])
-        low = (grams & ~np.uint64(_SLICE - 1)) | np.arange(len(grams), dtype=np.uint64)
+        grams = sums[q:] - sums[:-q]
+        grams *= _DOWN[: len(grams)]
+        low = _mixed(grams)
+        low &= ~np.uint64(_SLICE - 1)
+        low |= _PLACES[: len(low)]
         span = 1
         while 2 * span <= wide:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
         if span < wide:
             low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-        first = np.arange(lo, min(lo + step, base + len(low)))  # starts of windows
-        text = np.searchsorted(ends, first, "right")
-        whole = first + length <= ends[np.minimum(text, len(ends) - 1)]
-        at = np.unique((low[first[whole] - base] & np.uint64(_SLICE - 1)).astype(np.int64))
+        stop = min(lo + step, base + len(low))  # windows start from lo on
+        whole = np.ones(stop - lo, bool)
+        near = ends[np.searchsorted(ends, lo, "right") : np.searchsorted(ends, stop + length, "left")]
+        cut = (near[:, None] - np.arange(1, length)).ravel() - lo  # those go on behind a text's end
+        whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+        at = (low[lo - base : stop - base][whole] & np.uint64(_SLICE - 1)).astype(np.int64)
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # the least of a later window never stands before that of an earlier one
         text = np.searchsorted(ends, at + base, "right")
         left = np.minimum(wide - 1, at + base - starts[text])
         right = np.minimum(length, ends[text] - at - base)
         context = _mixed((sums[at + right] - sums[at - left]) * _DOWN[at - left] + (left * 1000 + right).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        yield grams[at], context, text, at + base - starts[text]
+        yield _mixed(grams[at]), context, text, at + base - starts[text]
 
 
 _ANCHOR = "h bigint, c bigint, k bigint, pos bigint, sure boolean"
 _MARK = "h bigint, k bigint, pos bigint, sure boolean"
+_ROWS = 1 << 14
+
+
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of narrow rows put together to about ``_ROWS``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +133,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         h, c, text, pos = (np.concatenate(x) for x in zip(*got))
         h, c, k, pos = h.view(np.int64), c.view(np.int64), ids[text], pos + base[text]
-        order = np.lexsort((pos, k, c, h))
+        order = np.argsort(h)
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        alone = new & np.append(new[1:], True)
+        some = order[~alone]  # only q-grams that come again are put in order
+        order = np.concatenate([order[alone], some[np.lexsort((pos[some], k[some], c[some], h[some]))]])
         h, c, k, pos = h[order], c[order], k[order], pos[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         again = np.concatenate([[False], (k[1:] == k[:-1]) & (pos[1:] == pos[:-1])]) & ~new  # a row that is there twice
@@ -120,15 +148,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies and edges of anchors sorted by (sure, h, c, k, pos); of a q-gram that goes on in the next batch one row is held."""
+    """Copies and edges of anchors sorted by (h, c, k, pos), and the sure ones among them as they are; of a q-gram that goes on in the next batch one row is held."""
     last: tuple | None = None  # (h, c, k, pos) of the row before
     head: tuple | None = None  # (h, k, pos) of a q-gram's first row, while it has but one context
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, c, k, pos, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        settled = int(sure.sum())  # false comes first
-        n = len(h) - settled
+    for batch in _larger(batches):
+        sure = batch.column(4).to_numpy()
+        order = np.concatenate([np.flatnonzero(~sure), np.flatnonzero(sure)])
+        n = len(sure) - int(sure.sum())
+        h, c, k, pos = (batch.column(i).to_numpy()[order] for i in range(4))
         before = last or (0, 0, 0, 0)
         prior = [np.concatenate([[v], x[:-1]]) for v, x in zip(before, (h, c, k, pos))]
         new_h, new_c, same = h != prior[0], c != prior[1], (k == prior[2]) & (pos == prior[3])
@@ -165,19 +192,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of ``(k, base, t, edges)`` every edge with its bytes: ``left`` of them stand before the anchor, windows begin up to ``high`` - 1 before it."""
     wide = LENGTH - Q
     for batch in batches:
-        hs, ks, starts, lefts, parts = [], [], [], [], []
-        for k, base, text, edges in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            raw = text.encode()
-            for e in edges:
-                at = e["pos"] - base
-                s = max(0, at - wide)
-                hs.append(e["h"])
-                ks.append(k)
-                starts.append(s + base)
-                lefts.append(at - s)
-                parts.append(raw[s : at + LENGTH])
-        n = len(hs)
-        columns = [pa.array(hs, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int64()), pa.array(lefts, pa.int32()), pa.array(parts, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, wide + 1, np.int32))]
+        if not batch.num_rows:
+            continue
+        k, base = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        raw = [t.encode() for t in batch.column(2).to_pylist()]
+        edges = batch.column(3)
+        which = np.repeat(np.arange(len(raw)), np.diff(edges.offsets.to_numpy()))
+        h, pos = (x.to_numpy() for x in edges.flatten().flatten())
+        at = pos - base[which]
+        s = np.maximum(0, at - wide)
+        parts = [raw[i][a:b] for i, a, b in zip(which.tolist(), s.tolist(), (at + LENGTH).tolist())]
+        n = len(h)
+        columns = [pa.array(h), pa.array(k[which]), pa.array(s + base[which]), pa.array((at - s).astype(np.int32)), pa.array(parts, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, wide + 1, np.int32))]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _EDGE.split(", ")])
 
 
@@ -189,14 +215,16 @@ def eight_grams(data: np.ndarray) -> np.ndarray:
     return v
 
 
-def suffix_order(grams: np.ndarray, depth: int, parts: int = 4) -> np.ndarray:
+def suffix_order(grams: np.ndarray, depth: int, parts: int = 4, alike: int = 8) -> np.ndarray:
     """Positions of a string, given its ``eight_grams``, so that suffixes with ``depth`` bytes in common are neighbours, by bucket-pointer refinement.
 
+    With ``alike`` 1 the string is one of numbers, and ``depth`` counts them.
+
     A bucket holds suffixes that begin alike; its name is the place of its first suffix in the order.  A round takes buckets
     of more than one suffix, sorts each by the names that its suffixes have further on, and doubles how much is alike.
     It does so in ``parts``, and a part's new names are written before the next part is sorted.
     """
-    n, alike = len(grams), 8
+    n = len(grams)
     order = np.argsort(grams)
     new = np.concatenate([[True], grams[order][1:] != grams[order][:-1]])
     pointer = np.zeros(n + 1, np.int64)  # what is behind the end stands before all
@@ -221,7 +249,10 @@ def suffix_order(grams: np.ndarray, depth: int, parts: int = 4) -> np.ndarray:
 
 
 def equal_strings(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Numbers for the strings of ``length`` bytes at ``starts``, equal if and only if the strings are: neighbours in suffix order are compared by all their bytes."""
+    """Numbers for the strings of ``length`` bytes at ``starts``, equal if and only if the strings are: neighbours in suffix order are compared by all their bytes.
+
+    This sorts every suffix and supposes nothing of the strings; the query's windows have anchors and go by ``late_windows``.
+    """
     grams = eight_grams(data)
     place = np.empty(len(data), np.int64)
     place[suffix_order(grams, length)] = np.arange(len(data))
@@ -237,12 +268,59 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return out
 
 
-def _windows(left: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context number, offset) of every window that begins from ``low`` to ``high`` - 1 bytes before its context's anchor."""
-    first = np.maximum(0, left - high + 1)
-    n = np.maximum(np.minimum(left - low, sizes - LENGTH) - first + 1, 0)
-    which = np.repeat(np.arange(len(left)), n)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+def late_windows(data: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """At ``[i, d]`` whether the window that begins ``d`` bytes before anchor ``i`` equals that of an anchor of its group with a lower rank.
+
+    Anchor ``i`` is a place in ``data`` with ``left`` bytes of its context before it and ``right`` from it on; its windows have ``d`` from ``low`` to ``high`` - 1.
+    """
+    n, wide, words = len(anchor), LENGTH - Q, -(-LENGTH // 8)
+    padded = np.concatenate([np.zeros(wide, np.uint8), data, np.zeros(8 * words, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, wide + 8 * words)[anchor]
+    from_anchor = np.ascontiguousarray(around[:, wide:])
+    from_anchor[np.arange(8 * words) >= np.minimum(right, LENGTH)[:, None]] = 0
+    from_anchor = from_anchor.view(">u8").astype(np.uint64)
+    place = np.empty(n * words, np.int64)
+    place[suffix_order(from_anchor.ravel(), words, alike=1)] = np.arange(n * words)
+    order = np.lexsort((place[::words], group))
+    # neighbours compared byte by byte: how many they share from the anchor on
+    other = from_anchor[order][1:] ^ from_anchor[order][:-1]
+    word = (other != 0).argmax(1)
+    bits = other[np.arange(n - 1), word]
+    shared = np.concatenate([[-1], 8 * word + ((bits[:, None] >> np.arange(56, -1, -8).astype(np.uint64)) == 0).sum(1)])
+    shared[1:][bits == 0] = 8 * words
+    shared[1:][group[order][1:] != group[order][:-1]] = -1
+    # from here on an anchor's number is its place in that order
+    before = np.ascontiguousarray(around[order, :wide][:, ::-1].T)
+    left, right, rank, low, high, bucket = (x[order] for x in (left, right, rank, low, high, group.astype(np.int64)))
+    late = np.zeros((n, wide + 1), bool)
+    ids = np.arange(n)
+    for d in range(wide + 1):
+        alike = np.cumsum(shared < LENGTH - d)
+        here = (low[ids] <= d) & (d < high[ids]) & (right[ids] >= LENGTH - d)
+        at, behind = ids[here], alike[ids[here]]
+        if len(at):
+            new = np.concatenate([[True], (bucket[here][1:] != bucket[here][:-1]) | (behind[1:] != behind[:-1])])
+            heads = np.flatnonzero(new)
+            late[at, d] = rank[at] > np.repeat(np.minimum.reduceat(rank[at], heads), np.diff(np.append(heads, len(at))))
+        if d < wide:  # suffixes one byte longer: by the pointer to the bucket one byte on, and that byte
+            stay = left[ids] > d
+            ids = ids[stay]
+            key = bucket[stay] * 256 + before[d][ids]
+            by = np.argsort(key, kind="stable")
+            ids, key = ids[by], key[by]
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            several = ~(new & np.append(new[1:], True)[: len(key)])
+            ids, bucket = ids[several], np.cumsum(new)[several]
+    out = np.empty_like(late)
+    out[order] = late
+    return out
+
+
+def _joined(got: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of contexts one behind another, and the size of each."""
+    parts = pa.concat_arrays([b.column(4) for b in got]).cast(pa.large_binary())
+    bounds = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    return np.frombuffer(parts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], np.diff(bounds)
 
 
 def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -262,7 +340,7 @@ def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
             else:
                 continue
         held.append(b)
-        size += sum(map(len, b.column(4).to_pylist()))
+        size += len(_joined([b])[0])
     if held:
         yield held
 
@@ -273,24 +351,19 @@ def _sorted_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sorted_lot(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k, start, left, low, high = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (1, 2, 3, 5, 6))
-    parts = [p for b in got for p in b.column(4).to_pylist()]
-    sizes = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    which, offset = _windows(left, sizes, low, high)
-    bucket = equal_strings(data, (np.cumsum(sizes) - sizes)[which] + offset)
-    at, owner = start[which] + offset, k[which]
-    order = np.lexsort((at, owner, bucket))
-    head = np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, bool)
-    least = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    late = np.zeros(len(order), bool)
-    late[order] = (owner[order] > owner[least]) | ((owner[order] == owner[least]) & (at[order] > at[least]))
-    which, at = which[late], at[late]
-    if len(at):  # windows of one context in a row become one interval
-        new = np.concatenate([[True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)])
-        begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(at)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(k[which[begin]]), pa.array(at[begin]), pa.array(at[last] + LENGTH)], names=["k", "s", "e"])
+    h, k, start, left, low, high = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1, 2, 3, 5, 6))
+    data, sizes = _joined(got)
+    at = start + left
+    by = np.lexsort((at, k))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(np.append(True, (k[by][1:] != k[by][:-1]) | (at[by][1:] != at[by][:-1])))
+    late = late_windows(data, np.cumsum(sizes) - sizes + left, left, sizes - left, np.cumsum(np.append(True, h[1:] != h[:-1])), rank, low, high)
+    # windows of one context in a row become one interval
+    edges = np.diff(np.pad(late, ((0, 0), (1, 1))).view(np.int8), axis=1)
+    which, first = np.nonzero(edges == 1)
+    last = np.nonzero(edges == -1)[1] - 1
+    if len(which):
+        yield pa.RecordBatch.from_arrays([pa.array(k[which]), pa.array(at[which] - last), pa.array(at[which] - first + LENGTH)], names=["k", "s", "e"])
 
 
 def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +462,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = rows.withColumn("th", F.xxhash64("t")).join(variants, ["k", "th"], "left").select("doc_id", "k", F.coalesce("base", F.lit(0)).cast("long").alias("base"), "t")
     base = F.shiftleft(F.shiftright("pos", _BITS), _BITS).alias("base")
     found = common.mapped(rows.select("k", "base", "t"), _anchor_rows, _ANCHOR)
-    marks = common.written(common.mapped(found.repartition("h").sortWithinPartitions("sure", "h", "c", "k", "pos"), _marks, _MARK), "suffix-marks")
+    marks = common.written(common.mapped(found.repartition("h").sortWithinPartitions("h", "c", "k", "pos"), _marks, _MARK), "suffix-marks")
     edges = marks.filter("not sure").groupBy("k", base).agg(F.collect_list(F.struct("h", "pos")).alias("edges"))
     contexts = common.written(common.mapped(rows.join(edges, ["k", "base"]).select("k", "base", "t", "edges"), _contexts, _EDGE), "suffix-contexts")
     sure = marks.filter("sure").select("k", "pos", (F.col("pos") - (LENGTH - Q)).alias("s"), (F.col("pos") + LENGTH).alias("e"))

@@ -283,6 +283,54 @@ def test_suffix_order_keeps_strings_that_begin_alike_together():
         assert len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
 
 
+def test_suffix_edges_are_sorted_from_their_anchors_on(monkeypatch):
+    """A lot sorts a word of eight bytes, not a byte: thirteen suffixes a context; and finds what comparing all windows of a q-gram finds."""
+    sorted_ones, order = [], suffixdedup.suffix_order
+    monkeypatch.setattr(suffixdedup, "suffix_order", lambda grams, *a, **k: sorted_ones.append(len(grams)) or order(grams, *a, **k))
+    r = random.Random(3)
+    some = lambda n: bytes(r.choice(b"ab\0") for _ in range(n))
+    sides = [(some(68), some(68)) for _ in range(3)]
+    rows, want = [], set()
+    for h in range(40):
+        gram, low, high, seen = some(32), *r.choice([(0, 69), (0, 69), (20, 41), (7, 8)]), {}
+        for _ in range(r.randint(1, 12)):
+            near, far = r.choice(sides)[0], r.choice(sides)[1]
+            i, j = r.choice([0, r.randint(0, 68)]), r.choice([68, r.randint(0, 68)])
+            left, right = some(i) + near[i:], far[:j] + some(68 - j)
+            left, right = left[r.choice([0, 0, r.randint(0, 68)]) :], right[: r.choice([68, 68, r.randint(0, 68)])]
+            rows.append((h, r.randint(0, 30), 1000 * r.randint(0, 2), len(left), left + gram + right, low, high))
+        mine = sorted((x for x in rows if x[0] == h), key=lambda x: (x[1], x[2] + x[3]))
+        for _, k, start, n, context, low, high in mine:
+            for d in range(low, high):
+                window = context[n - d : n - d + 100] if n >= d else b""
+                if len(window) == 100:
+                    first = seen.setdefault((d, window), (k, start + n))
+                    if first < (k, start + n):
+                        want |= {(k, start + n - d + i) for i in range(100)}
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+    names = [f.split()[0] for f in suffixdedup._EDGE.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50]), kinds)], names=names) for i in range(0, len(rows), 50)]
+    found = {(x["k"], i) for b in suffixdedup._sorted_edges(iter(batches)) for x in b.to_pylist() for i in range(x["s"], x["e"])}
+    assert want and found == want
+    assert sum(sorted_ones) == 13 * len(rows)
+
+
+def test_suffix_anchors_are_those_of_every_whole_window(monkeypatch):
+    """In slices of a few windows and in one: short, empty and repeated texts, none of whose windows reach into the next."""
+    r = random.Random(8)
+    texts = [prose(i, r.randint(0, 40)).encode()[: r.choice([0, 1, 99, 100, 101, 5000])] for i in range(60)] + [b"x" * 700, b"", b"y" * 99]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    every = []
+    for size in (1 << 9, 1 << 11, suffixdedup._SLICE):
+        monkeypatch.setattr(suffixdedup, "_SLICE", size)
+        got = [np.concatenate(x).tolist() for x in zip(*suffixdedup.anchors(data, ends))]
+        every.append(set(zip(*got)))
+        for i, t in enumerate(texts):
+            at = sorted(p for _, j, p in zip(got[0], got[2], got[3]) if i == j)
+            assert all(any(w <= p <= w + 68 for p in at) for w in range(len(t) - 99)) and (len(t) >= 100 or not at)
+    assert every[0] == every[1] == every[2]
+
+
 def test_decontamination_by_broadcast_and_by_shuffle(spark, same):
     """Beyond the bound of a broadcast windows and words meet by token, with the same result; rare, common and repeated words."""
     d = common.documents(spark, SF)
